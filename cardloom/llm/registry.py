@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import mixing, sharding
+from cardloom.llm import line_dedup, mixing, quality, sharding
 
-MODULES = (mixing, sharding)
+MODULES = (mixing, line_dedup, quality, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
