@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import language_id, line_dedup, mixing, quality, sharding, topk
+from cardloom.llm import language_id, line_dedup, mixing, near_dedup, quality, sharding, topk
 
-MODULES = (mixing, topk, line_dedup, quality, language_id, sharding)
+MODULES = (mixing, near_dedup, topk, line_dedup, quality, language_id, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
