@@ -85,31 +85,30 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, end_id: int, key: s
     )
 
 
-def patterns(window: int, depth: int = 4, step: int = 64) -> np.ndarray:
+def patterns(window: int, depth: int = 5, spread: tuple[int, ...] = (1, 12, 16, 8)) -> np.ndarray:
     """Shallow combinations of lengths that fill a window: rows of depth lengths, largest first, zeros at the end.
 
-    All pairs; and for more pieces every first length with further ones on a grid of step, the
-    last piece taking what is left.
+    For two to depth pieces: every first length, with spread further ones for each number of pieces
+    drawn evenly from what is left; the last piece fills the window. All pairs are among them.
     """
-    found = [np.array([[a, window - a] + [0] * (depth - 2) for a in range(window // 2, window)])]
-    for pieces in range(3, depth + 1):
-        grid = np.arange(step, window, step)
-        rows = np.stack([m.ravel() for m in np.meshgrid(np.arange(1, window), *[grid] * (pieces - 2), indexing="ij")], axis=1) if pieces == 3 else None
-        if rows is None:  # four and more: all but the last on a coarser grid
-            coarse = np.arange(step * 2, window, step * 2)
-            rows = np.stack([m.ravel() for m in np.meshgrid(np.arange(1, window, step // 16 or 1), *[coarse] * (pieces - 2), indexing="ij")], axis=1)
-            rows = rows[(np.diff(rows[:, 1:], axis=1) <= 0).all(axis=1)]
-        last = window - rows.sum(axis=1)
-        rows = np.column_stack([rows, last])[last > 0]
-        found.append(np.pad(rows, ((0, 0), (0, depth - pieces))))
+    drawn = np.random.default_rng(window)
+    found = []
+    for pieces, times in zip(range(2, depth + 1), spread, strict=True):
+        first = np.repeat(np.arange(1, window - pieces + 2), times)
+        row, left = [first], window - first
+        for later in range(pieces - 2, 0, -1):  # each takes about its share of what is left
+            most = np.maximum(1, np.minimum(left - later, 2 * left // (later + 1)))
+            row.append(1 + (drawn.random(len(left)) * most).astype(np.int64).clip(0, left - later - 1))
+            left = left - row[-1]
+        found.append(np.pad(np.column_stack([*row, left]), ((0, 0), (0, depth - pieces))))
     return np.unique(-np.sort(-np.concatenate(found), axis=1), axis=0)
 
 
-def solve_repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+def solve_repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
     """Non-negative least squares: repeats x of each combination with sum of its lengths near the histogram.
 
     Accelerated projected gradient (Beck and Teboulle, 2009) on || A x - h ||, with columns scaled to
-    one norm. A is never built: its columns hold at most four entries.
+    one norm. A is never built: its columns hold at most a few entries.
     """
     scale = 1 / np.sqrt(np.array([(np.unique(row[row > 0], return_counts=True)[1] ** 2).sum() for row in combos], float))
     flat, n = combos.ravel(), len(histogram)
@@ -137,15 +136,16 @@ def round_repeats(combos: np.ndarray, repeats: np.ndarray, histogram: np.ndarray
 
     Raising goes over the combinations once, each by what its lengths still allow.
     """
-    left = histogram.astype(np.int64).copy()
-    whole = np.zeros(len(combos), np.int64)
-    for wanted in (np.floor(repeats).astype(np.int64), np.full(len(combos), np.iinfo(np.int64).max)):
-        for p in np.argsort(-repeats, kind="stable"):
-            lengths, uses = np.unique(combos[p][combos[p] > 0], return_counts=True)
-            more = min(int(wanted[p]), int((left[lengths] // uses).min()))
-            if more > 0:
+    left, rows = histogram.tolist(), [tuple(x for x in row if x) for row in combos.tolist()]
+    whole, order = np.zeros(len(rows), np.int64), np.argsort(-repeats, kind="stable").tolist()
+    for wanted in (np.floor(repeats).astype(np.int64).tolist(), None):
+        for p in order:
+            more = min(left[x] // rows[p].count(x) for x in rows[p])
+            more = more if wanted is None else min(more, wanted[p])
+            if more:
                 whole[p] += more
-                left[lengths] -= more * uses
+                for x in rows[p]:
+                    left[x] -= more
     return whole
 
 
