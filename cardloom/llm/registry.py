@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import language_id, line_dedup, mixing, near_dedup, packing, quality, sharding, topk
+from cardloom.llm import language_id, line_dedup, mixing, near_dedup, packing, quality, sharding, topk, toxicity, url_filter
 
-MODULES = (packing, mixing, near_dedup, topk, line_dedup, quality, language_id, sharding)
+MODULES = (packing, mixing, near_dedup, topk, line_dedup, url_filter, toxicity, quality, language_id, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
