@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.text import WORD, text_or_empty
-from cardloom.session import cut, table
+from cardloom.llm.line_dedup import wide_hash
+from cardloom.llm.text import WORD, text_or_empty, words_of
+from cardloom.session import cut, table, written
 
 #: Hash ranges of a source's documents; only the one in which its share ends is put in order.
 RANGES = 1024
@@ -40,7 +41,7 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Words to take from each document so that the sources meet their targets.
 
@@ -53,13 +54,13 @@ def mix(
 
     Null and word-free texts have size 0 and are never taken. Repeated rows are told apart only by
     chance of order, so the rows returned are the same on every run. A source without words gets
-    nothing. An empty table gives an empty result. Other columns are dropped.
+    nothing. An empty table gives an empty result. Other columns are dropped, but for those to carry.
     Texts are read once; narrow rows are written and all else works on them. The documents of a
     source are never brought together: their sums over hash ranges are, and the documents of the
     one range in which the source's share ends.
     """
     order = F.xxhash64(F.lit(seed), F.col(key), F.col("size"))
-    narrow = docs.select(F.col(key), F.col(source).alias("source"), word_count(text).alias("size"))
+    narrow = docs.select(F.col(key), F.col(source).alias("source"), word_count(text).alias("size"), *carry)
     narrow = narrow.select("*", F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name")).alias("_source"), order.alias("_order"))
     narrow = cut(narrow.withColumn("_range", F.pmod(F.col("_order"), F.lit(RANGES)).cast("int")))
 
@@ -84,13 +85,35 @@ def mix(
     both = inside.unionByName(edge)
     full = F.col("part") >= F.col("size")
     return both.select(
-        key, "source", "size", "source_size", "target",
+        key, "source", "size", "source_size", "target", *carry,
         (F.col("_whole") * F.col("size") + F.col("part")).alias("taken"),
         (F.col("_whole") + F.when(full & (F.col("size") > 0), 1).otherwise(0)).cast("long").alias("copies"),
         F.when(full, F.lit(0)).otherwise(F.col("part")).cast("long").alias("part"),
     )
 
 
+def row_id(*columns: str) -> Column:
+    """128 bits that tell rows apart; rows equal in the columns share them."""
+    first, second = wide_hash(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns))
+    return F.struct(first.alias("a"), second.alias("b"))
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each document as often as mix() repeats it, and cut to its first words where a repetition is cut short.
+
+    Columns stay as they are; a cut text has its words joined by single spaces. Equal rows are
+    repeated by the sum of their repetitions. Documents that are not taken do not appear.
+    """
+    named = docs.withColumn("_row", row_id(key, text, source))
+    plan = mix(named, weights, max_epochs, seed, key, text, source, carry=("_row",))
+    plan = plan.filter((F.col("copies") > 0) | (F.col("part") > 0)).groupBy("_row").agg(F.sum("copies").alias("_copies"), F.max("part").alias("_part"))
+    both = named.dropDuplicates(["_row"]).join(written(plan), "_row")
+    times = (F.col("_copies") + F.when(F.col("_part") > 0, 1).otherwise(0)).cast("int")
+    turns = both.withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
+    cut_short = F.array_join(F.slice(words_of(text_or_empty(text)), F.lit(1), F.col("_part").cast("int")), " ")
+    return turns.withColumn(text, F.when(F.col("_turn") > F.col("_copies"), cut_short).otherwise(F.col(text))).select(docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with weights 1, 2, 3 by source, no source above three epochs."""
     taken = mix(table(spark, sf_dir, "documents"))
