@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple = ()
+from cardloom.plans import market  # noqa: E402
+
+MODULES: tuple = (market,)
 
 
 def queries() -> dict[str, Query]:
