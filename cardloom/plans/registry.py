@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from cardloom.plans import market  # noqa: E402
+from cardloom.plans import market, portfolio  # noqa: E402
 
-MODULES: tuple = (market,)
+MODULES: tuple = (market, portfolio)
 
 
 def queries() -> dict[str, Query]:
