@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from cardloom.plans import market, portfolio  # noqa: E402
+from cardloom.plans import catalog, market, portfolio  # noqa: E402
 
-MODULES: tuple = (market, portfolio)
+MODULES: tuple = (market, portfolio, catalog)
 
 
 def queries() -> dict[str, Query]:
