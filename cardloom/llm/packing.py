@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,31 +24,45 @@ REMEMBERED = 1 << 19
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves, others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + at) for at, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of texts by a byte-level BPE file of the tokenizers library.
 
-    Texts are split at the vocabulary's own pre-token pattern, and each distinct pre-token is
-    encoded once and remembered: merges never cross pre-tokens, so the ids are those of the whole text.
+    Texts are split at the vocabulary's own pre-token pattern; the library's model encodes each
+    distinct pre-token once, and its ids are remembered as bytes. Merges never cross pre-tokens, so
+    the ids are those of the whole text.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.split = regex.compile(PRE_TOKEN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids (the machine's order, as all that Spark runs on)."""
         parts, known = self.split(text), self.known
         if len(known) > REMEMBERED:
             known.clear()
-        fresh = list(set(parts).difference(known))
-        for part, got in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False) if fresh else (), strict=True):
-            known[part] = tuple(got.ids)
-        return np.fromiter((i for part in parts for i in known[part]), np.uint32)
+        for part in set(parts).difference(known):
+            letters = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            known[part] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return b"".join(map(known.__getitem__, parts))
+
+
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process, so that its tasks share what it remembers."""
+    return Encoder(path)
 
 
 def default_vocabulary() -> str:
@@ -64,16 +79,16 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, end_id: int, key: s
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder, end = encoder_of(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
                 for x in part.column(1):
-                    ids = np.append(encoder.encode(x.as_py()), np.uint32(end_id)).astype("<u4")
-                    full = len(ids) // window
-                    rest = ids[full * window :].tobytes()
-                    rows.append((len(ids), [zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(full)], len(rest) // 4, zlib.compress(rest, 1) if rest else b"", zlib.crc32(rest)))
+                    ids = encoder.encode(x.as_py()) + end
+                    full = len(ids) // (4 * window)
+                    rest = ids[full * 4 * window :]
+                    rows.append((len(ids) // 4, [zlib.crc32(ids[i * 4 * window : (i + 1) * 4 * window]) for i in range(full)], len(rest) // 4, zlib.compress(rest, 1) if rest else b"", zlib.crc32(rest)))
                 tokens, crcs, length, ids, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(crc, pa.int64())],
