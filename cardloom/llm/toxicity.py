@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm.language_id import id_remainder
+from cardloom.llm.near_dedup import signed
+from cardloom.llm.shingles import Bands
 from cardloom.llm.text import text_or_empty
 from cardloom.session import table, written
 
@@ -33,6 +36,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_examples: int, key:
     return texts.groupBy(F.col(key).alias("doc")).agg(F.max(F.struct("text", "toxic")).alias("_row")).select("doc", "_row.toxic", "_row.text")
 
 
+def one_of_each_group(sample: DataFrame) -> DataFrame:
+    """doc, toxic, text: the first row of those that share a band of three minhash minima of 3-word shingles, for each of four bands.
+
+    Copies of one text, also changed ones, are not independent evidence for its words.
+    """
+    bands = Bands(rows=3, count=4)
+    rows = sample.join(signed(sample, "doc", "text", 3, bands).select("doc", "keys"), "doc")
+    for band in range(bands.count):
+        group = F.coalesce(F.get("keys", F.lit(band)), F.xxhash64("doc"))
+        rows = rows.groupBy(group.alias("_group")).agg(F.min(F.struct("doc", "toxic", "text", "keys")).alias("_row")).select("_row.*")
+    return rows.select("doc", "toxic", "text")
+
+
 def term_counts(texts: DataFrame, keep: frozenset[str] | None = None) -> DataFrame:
     """term, n, toxic_n: texts that hold each term, summed in each task before they are shuffled.
 
@@ -152,19 +168,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
     """A model from at most max_examples labelled rows.
 
     The vocabulary is the terms that go with the label: held by at least three examples and with a
-    chi-square of at least 30 (p < 5e-8, as very many terms are tried), the max_terms strongest. Their document frequencies
+    likelihood ratio (G) that chance would give about one of all tried terms, the
+    max_terms strongest; of copies one counts. Their document frequencies
     count all documents. What reaches the driver is bounded: max_terms counts, and the examples'
     counts of these terms.
     """
     sample = written(labelled_sample(docs, labels, max_examples, key, text, label))
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    counts = term_counts(sample).filter("n >= 3")
+    apart = written(one_of_each_group(sample))
+    n, toxic = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counts = written(term_counts(apart).filter("n >= 3"))
+    least = NormalDist().inv_cdf(1 - 0.5 / max(1, counts.count())) ** 2
     a, b = F.col("toxic_n"), F.col("n") - F.col("toxic_n")
     c, d = F.lit(toxic) - a, F.lit(n - toxic) - b
-    margin = (a + b).cast("double") * (c + d) * (a + c) * (b + d)
-    chi = F.when(margin > 0, F.lit(float(n)) * F.pow((a * d - b * c).cast("double"), F.lit(2.0)) / margin).otherwise(F.lit(0.0))
+    part = lambda x, row, column: F.when(x > 0, x * F.log(x.cast("double") * n / ((row[0] + row[1]) * (column[0] + column[1])))).otherwise(F.lit(0.0))
+    surprise = 2 * (part(a, (a, b), (a, c)) + part(b, (a, b), (b, d)) + part(c, (c, d), (a, c)) + part(d, (c, d), (b, d)))
     toxic_side = a * F.lit(max(n, 1)) > F.col("n") * F.lit(toxic)
-    chosen = counts.withColumn("_chi", chi).filter((F.col("_chi") >= 30) & toxic_side).orderBy(F.desc("_chi"), "term").limit(max_terms)
+    chosen = counts.withColumn("_g", surprise).filter((F.col("_g") >= least) & toxic_side).orderBy(F.desc("_g"), "term").limit(max_terms)
     terms = sorted(row["term"] for row in chosen.select("term").collect())
     total = docs.count()
     found = {row["term"]: row["n"] for row in term_counts(docs.select(text_or_empty(text).alias("text"), F.lit(0).alias("toxic")), frozenset(terms)).collect()} if terms else {}
@@ -182,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
     order = np.lexsort((np.arange(len(vectors)), vectors.argmax(axis=1) if terms else np.zeros(len(vectors))))
     order = order[vectors[order].any(axis=1)] if len(vectors) else order
     index = BlockMaxIndex(terms, idf, vectors[order], examples["toxic"].to_numpy(float)[order], examples["doc"].to_numpy()[order])
-    model = ToxicityModel(index, float(toxic) / n if n else 0.0, k, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if not toxic:
+    model = ToxicityModel(index, float(examples["toxic"].mean()) if len(examples) else 0.0, k, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    if not examples["toxic"].any():
         model.rates = np.zeros(2)
         return model
     outcomes = np.concatenate([index.toxic, examples["toxic"].to_numpy(float)[~vectors.any(axis=1)]])
