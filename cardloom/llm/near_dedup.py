@@ -16,9 +16,9 @@ from cardloom.llm.shingles import U64, Bands, Shingler, set_fingerprint
 from cardloom.session import table, written
 
 #: Rows, and shingles in them, of one side of a comparison within a bucket.
-SIDE_ROWS, SIDE_SHINGLES = 1024, 1 << 20
+SIDE_ROWS, SIDE_SHINGLES = 512, 1 << 19
 #: Shingles that a block comparison takes at once.
-COLUMNS = 4096
+COLUMNS = 2048
 
 
 def is_linked(shared: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -113,20 +113,20 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def link_block(group: pa.Table, threshold: Fraction) -> pa.Table:
     """The links between the left and the right rows of one comparison whose components differ; one link for each pair of components."""
     side = group["left"].to_numpy(zero_copy_only=False)
-    comp, docs = group["comp"].to_numpy(), group["doc"].to_numpy()
-    sets = np.array([None] * len(docs), object)
-    sets[:] = [np.frombuffer(x.as_py(), U64) for x in group["set"]]
+    names, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
+    column = group["set"].combine_chunks()
+    sets = [np.frombuffer(x.as_buffer(), U64) for x in column]
     a, b = np.flatnonzero(side), np.flatnonzero(~side)
-    found: tuple = ([], [])
+    codes = np.empty(0, np.int64)
     if len(a) and len(b):
-        shared = shared_counts(list(sets[a]), list(sets[b]))
+        shared = shared_counts([sets[i] for i in a], [sets[i] for i in b])
         sizes = np.array([len(x) for x in sets])
-        good = is_linked(shared, sizes[a][:, None], sizes[b][None, :], threshold) & (comp[a][:, None] != comp[b][None, :])
-        i, j = np.nonzero(good)
-        ends = np.sort(np.column_stack([comp[a[i]], comp[b[j]]]), axis=1)
-        ends = np.unique(ends, axis=0) if len(ends) else ends
-        found = (ends[:, 0], ends[:, 1])
-    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+        for at, row in enumerate(shared):
+            near = b[is_linked(row, sizes[a[at]], sizes[b], threshold)]
+            ends = np.unique(comp[near])
+            ends = ends[ends != comp[a[at]]]
+            codes = np.union1d(codes, np.minimum(ends, comp[a[at]]) * len(names) + np.maximum(ends, comp[a[at]]))
+    return pa.table({"a": pa.array(names[codes // max(len(names), 1)], pa.int64()), "b": pa.array(names[codes % max(len(names), 1)], pa.int64())})
 
 
 def links_in_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 
 U64 = np.uint64
 #: Words whose hashes a task remembers before it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
