@@ -37,7 +37,7 @@ def clamp(x: Column | str, low, high) -> Column:
 def days_before(then: Column | str, now: Column | str) -> Column:
     """Fractional days from then to now, 0 for later times, null for a null time."""
     gap = F.unix_micros(col(now).cast("timestamp")) - F.unix_micros(col(then).cast("timestamp"))
-    return F.greatest(gap / F.lit(86400000000.0), F.lit(0.0))
+    return F.when(gap.isNotNull(), F.greatest(gap / F.lit(86400000000.0), F.lit(0.0)))
 
 
 def window_days(text: Column | str, default: int = 90, longest: int = 3650) -> Column:
