@@ -110,7 +110,8 @@ class BlockMaxIndex:
         """Positions and cosines of the k nearest examples with a positive cosine, the larger cosine and then the earlier one first.
 
         Blocks come in the order of the sum over terms of query weight times the block's maximum,
-        until that bound falls below the kth cosine.
+        until that bound falls below the kth cosine. Blocks behind the kth example, whose bound is
+        no larger than its cosine, could only tie with it and come later; they are passed over.
         """
         terms = np.flatnonzero(query)
         bounds = self.maxima[:, terms] @ query[terms]
@@ -118,6 +119,8 @@ class BlockMaxIndex:
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or bounds[b] < kth - 1e-12:
                 break
+            if kth > 0 and bounds[b] < kth + 4e-13 and b * self.block > places[-1]:
+                continue
             scores = np.zeros(min(self.block, len(self.vectors) - b * self.block))
             for t in terms:
                 held, weights = self.postings[b][t]
@@ -144,8 +147,24 @@ class ToxicityModel:
     def vote(self, query: np.ndarray, skip: int | None = None) -> tuple[float, np.ndarray]:
         """Toxic share among the nearest, by cosine over distance, with one vote of the base rate."""
         places, cosines = self.index.nearest(query, self.k, skip)
+        return self.share(places, cosines), places
+
+    def share(self, places: np.ndarray, cosines: np.ndarray) -> float:
         weights = cosines / (1.05 - cosines)
-        return float((weights @ self.index.toxic[places] + self.base) / (weights.sum() + 1)), places
+        return float((weights @ self.index.toxic[places] + self.base) / (weights.sum() + 1))
+
+    def votes_of_others(self) -> list[float]:
+        """The vote on each example without itself; examples of equal vectors share one search for k + 1."""
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        votes = []
+        for at, query in enumerate(self.index.vectors):
+            name = query.tobytes()
+            if name not in known:
+                known[name] = self.index.nearest(query, self.k + 1)
+            places, cosines = known[name]
+            others = np.flatnonzero(places != at)[: self.k]
+            votes.append(self.share(places[others], cosines[others]))
+        return votes
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, self.edges, self.rates))
@@ -206,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
         model.rates = np.zeros(2)
         return model
     outcomes = np.concatenate([index.toxic, examples["toxic"].to_numpy(float)[~vectors.any(axis=1)]])
-    held = [model.vote(query, skip)[0] for skip, query in enumerate(index.vectors)]  # each example without itself
+    held = model.votes_of_others()
     votes = np.array(held + [model.vote(np.zeros(len(terms)))[0]] * (len(outcomes) - len(held)))
     model.edges, model.rates = monotone(votes.round(6), outcomes)
     return model
