@@ -37,19 +37,33 @@ class Encoder:
     Texts are split at the vocabulary's own pre-token pattern; the library's model encodes each
     distinct pre-token once, and its ids are remembered as bytes. Merges never cross pre-tokens, so
     the ids are those of the whole text.
+
+    With added, texts are first split at the file's added tokens, which have ids of their own;
+    else those are spelled out like other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize = tokenizer.model.tokenize
         self.split = regex.compile(PRE_TOKEN).findall
+        tokens = tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
+            raise ValueError("added tokens that depend on what is around them are not supported")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        longest_first = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
+        self.apart = regex.compile(f"({longest_first})").split if self.added else lambda text: [text]
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids (the machine's order, as all that Spark runs on)."""
+        return b"".join(self.added[part] if at % 2 else self.between(part) for at, part in enumerate(self.apart(text)))
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text in which added tokens have no meaning."""
         parts, known = self.split(text), self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -62,7 +76,7 @@ class Encoder:
 @cache
 def encoder_of(path: str) -> Encoder:
     """One encoder for each worker process, so that its tasks share what it remembers."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def default_vocabulary() -> str:
@@ -188,8 +202,8 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str | None = None, end
 
     Returns key, start, length, ids_crc32, doc_tokens, sequence_id, offset: a piece holds its
     document's ids start .. start + length - 1 and lies at offset in its sequence; ids_crc32 is over
-    little-endian unsigned 32-bit ids. Documents end with end_id; a null text counts as empty and
-    gives that id alone. Rows with a null id are packed like others. Repeated rows are packed each.
+    little-endian unsigned 32-bit ids. The vocabulary's added tokens have their own ids wherever a
+    text holds them. Documents end with end_id; a null text counts as empty and gives that id alone. Rows with a null id are packed like others. Repeated rows are packed each.
     An empty table gives no pieces. Other columns are not read.
 
     Full windows of a document are sequences of their own. What is left over of each document has

@@ -27,6 +27,18 @@ def test_encoder_gives_the_ids_of_the_whole_text():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\ny <|endoftext", "no such token", ""]
+    found = {r["doc_id"]: r for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), window=64).collect() if r["start"] == 0}
+    for at, text in enumerate(texts):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert found[at]["doc_tokens"] == len(ids)
+        assert found[at]["ids_crc32"] == zlib.crc32(ids[: found[at]["length"]].tobytes())
+
+
 def test_patterns_fill_the_window_and_least_squares_fit():
     combos = patterns(256)
     assert (combos.sum(axis=1) == 256).all() and (combos[:, :2] > 0).all()
