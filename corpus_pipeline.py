@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.language_id import identify
 from cardloom.llm.line_dedup import dedup_lines
-from cardloom.llm.mixing import mixed_texts
+from cardloom.llm.mixing import mixed_texts, row_id
 from cardloom.llm.near_dedup import near_duplicates
 from cardloom.llm.packing import pack
 from cardloom.session import table, written
@@ -35,10 +35,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked at 0.8 of their 5-word shingles; of rows that share an id, one."""
-    gone = near_duplicates(docs.select("doc_id", "text"), width=5, threshold=Fraction(4, 5)).filter(~F.col("kept")).select("doc_id")
-    stay = docs.filter(F.col("doc_id").isNotNull()).join(written(gone.distinct()), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """One row of each group linked at 0.8 of their 5-word shingles: the first by id, then by the other columns; null ids come last.
+
+    Rows are linked by text alone, so those that share an id or have none are rows like others.
+    Rows without words stay, one of those that share id and text.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select("_row", "text"), width=5, threshold=Fraction(4, 5), key="_row").select("_row", "n_shingles", "component_id")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    narrow = rows.select("_row", "doc_id", row_id("text").alias("_text"), *others).join(found, "_row")
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless, F.col("component_id")).alias("_component"), F.when(wordless, F.col("doc_id")).alias("_id"), F.when(wordless, F.col("_text")).alias("_same")]
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *others, "_text", "_row")
+    first = narrow.groupBy(*group).agg(F.min(order).alias("_first")).select("_first._row")
+    return rows.join(written(first), "_row", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,3 +111,14 @@ def test_pipeline_of_hard_rows(spark, tmp_path):
         part = rows.select("doc_id", "text", "lang", "source", "n_chars")
         part.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = text("a").replace("a59", "other")
+    rows = [(5, text("a"), "en"), (5, text("b"), "en"), (6, near, "en"), (4, text("c"), "en"), (5, text("c"), "en"), (7, text("d"), "fr"), (7, text("d"), "de"), (None, text("e"), "en"), (None, text("e"), "en"), (None, text("b"), "en"), (8, " ", "en"), (9, " ", "en"), (9, " ", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_dedup(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    expected = [(5, text("a"), "en"), (5, text("b"), "en"), (4, text("c"), "en"), (7, text("d"), "de"), (None, text("e"), "en"), (8, " ", "en"), (9, " ", "en")]
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
