@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +31,24 @@ def tumbling_counts(events: DataFrame, time: str, width: str, *by: str) -> DataF
 def first_hit_windows(events: DataFrame, key: str, time_us: str, width_us: int, limit: int) -> DataFrame:
     """key, at, used, allowed: hits of each key in windows that begin at its first hit after the last one ended.
 
-    The windows depend on what came before, so a key's times are folded in order; they are gathered
-    as numbers of 8 bytes for that.
+    The windows depend on what came before, so a key's times are folded in order: they are one
+    stream through one task, read in batches; the start of the window and its hits are all that is kept.
     """
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(time_us)).alias("_times"))
-    nothing = F.array().cast("array<struct<at:bigint,used:int>>")
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("used"), nothing.alias("out"))
-
-    def step(state: Column, at: Column) -> Column:
-        fresh = state["start"].isNull() | (at - state["start"] >= width_us)
-        used = F.when(fresh, 1).otherwise(state["used"] + 1)
-        return F.struct(F.when(fresh, at).otherwise(state["start"]).alias("start"), used.alias("used"), F.concat(state["out"], F.array(F.struct(at.alias("at"), used.alias("used")))).alias("out"))
-
-    folded = times.select(key, F.inline(F.aggregate("_times", zero, step, lambda s: s["out"])))
+    hits = events.filter(F.col(time_us).isNotNull()).select(F.col(key), F.col(time_us).cast("long").alias("at"))
+    dealt = hits.repartition(key).sortWithinPartitions(key, "at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, used = object(), 0, 0
+        for batch in batches:
+            counts = []
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != now or at - start >= width_us:
+                    now, start, used = name, at, 0
+                used += 1
+                counts.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], [key, "at", "used"])
+
+    folded = dealt.mapInArrow(fold, f"`{key}` {hits.schema[key].dataType.simpleString()}, at bigint, used int")
     return folded.withColumn("allowed", F.col("used") <= limit)
 
 

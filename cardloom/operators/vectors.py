@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +74,45 @@ def label_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = after.drop("_moved")
 
 
+def joined_hashes(rows: DataFrame, by: str, hashed: str) -> DataFrame:
+    """by and group_hash: the sha256 of each group's hashes, sorted and joined by '|', copies as often as they occur.
+
+    Copies are counted in each task before the shuffle; a group's distinct hashes are one stream
+    through one task, read in batches and never held whole.
+    """
+    counts = rows.filter(F.col(by).isNotNull()).groupBy(F.col(by), F.col(hashed).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.repartition(by).sortWithinPartitions(by, "_hash")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, lead = None, None, b""
+        kind = None
+
+        def made(names: list, hashes: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(hashes, pa.string())], [by, "group_hash"])
+
+        for batch in batches:
+            kind, names, hashes = batch.column(0).type, [], []
+            for name, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest is None or name != now:
+                    if digest is not None:
+                        names.append(now)
+                        hashes.append(digest.hexdigest())
+                    now, digest, lead = name, hashlib.sha256(), b""
+                if text is not None:
+                    digest.update(lead + text.encode())
+                    lead, again = b"|", b"|" + text.encode()
+                    for at in range(1, n, 4096):
+                        digest.update(again * min(4096, n - at))
+            yield made(names, hashes)
+        if digest is not None:
+            yield made([now], [digest.hexdigest()])
+
+    return dealt.mapInArrow(fold, f"`{by}` {rows.schema[by].dataType.simpleString()}, group_hash string")
+
+
 def group_splits(rows: DataFrame, by: str, hashed: str, shares: tuple[int, int, int] = (70, 15, 15)) -> DataFrame:
     """Rows with group_hash and split: a group's split comes from the hash of its members' hashes in order, so it never straddles splits."""
-    groups = rows.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(hashed)), "|"), 256).alias("group_hash"))
+    groups = joined_hashes(rows, by, hashed)
     bucket = F.conv(F.substring("group_hash", 1, 8), 16, 10).cast("long") % 100
     split = F.when(bucket < shares[0], "train").when(bucket < shares[0] + shares[1], "validation").otherwise("test")
     return rows.join(groups.withColumn("split", split), by)
