@@ -38,10 +38,12 @@ def lookup_keys(host: Column, path: Column) -> Column:
 def validity(entries: DataFrame) -> DataFrame:
     """pattern, action, valid_from, valid_to: each dated entry holds until the next one of its pattern; removals hold nothing.
 
-    Entries of one pattern and time: the last action by name counts.
+    Entries of one pattern and time: the last action by name counts. Hosts are put in lower case, paths stay as they are.
     """
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
     clean = entries.filter(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isNotNull())
-    one = clean.groupBy(F.lower("pattern").alias("pattern"), "listed_at").agg(F.max("action").alias("action"))
+    one = clean.groupBy(pattern.alias("pattern"), "listed_at").agg(F.max("action").alias("action"))
     after = F.lead("listed_at").over(Window.partitionBy("pattern").orderBy("listed_at"))
     return one.withColumn("valid_to", after).filter("action <> 'remove'").select("pattern", "action", F.col("listed_at").alias("valid_from"), "valid_to")
 

@@ -66,3 +66,11 @@ def test_urls_meet_the_entries_active_when_they_were_fetched(spark):
     assert filter_urls(table, listed.limit(0)).filter("blocked").count() == 0
     assert filter_urls(table.limit(0), listed).count() == 0
     assert validity(listed).filter("pattern = 'example.com'").count() == 1
+
+
+def test_paths_of_entries_keep_their_case(spark):
+    entries = [("Example.com/Private/A", "block", day(1)), ("example.com/private", "allow", day(1)), ("EXAMPLE.com/Private/A", "allow", day(5)), ("Other.ORG", "block", day(1))]
+    captures = [("http://EXAMPLE.com/Private/A/x", day(2), "block"), ("http://example.com/Private/A", day(6), "allow"), ("http://example.com/private/a", day(2), "allow"), ("http://example.com/Private", day(2), None), ("http://a.other.org/X", day(2), "block")]
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(captures)], "page_id int, url string, fetched_at timestamp, expected string")
+    rows = filter_urls(table, spark.createDataFrame(entries, "pattern string, action string, listed_at timestamp")).collect()
+    assert [(r["page_id"], r["action"], r["expected"]) for r in rows if r["action"] != r["expected"]] == [] and len(rows) == len(captures)
