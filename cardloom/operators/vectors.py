@@ -74,6 +74,17 @@ def label_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = after.drop("_moved")
 
 
+def hash_groups(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
+    """id and group, the least id linked over hashes at most this far apart; a row without a hash stands alone.
+
+    Rows of one hash are one representative, the least id; only representatives meet by bands.
+    """
+    rows = cut(rows.select("id", "hash"))
+    reps = cut(rows.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
+    groups = label_groups(reps, hamming_pairs(reps, most, bits)).join(reps, "id").select("hash", "group")
+    return rows.join(groups, "hash", "left").select("id", F.coalesce("group", "id").alias("group"))
+
+
 def joined_hashes(rows: DataFrame, by: str, hashed: str) -> DataFrame:
     """by and group_hash: the sha256 of each group's hashes, sorted and joined by '|', copies as often as they occur.
 

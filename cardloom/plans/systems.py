@@ -47,8 +47,7 @@ def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors linked by hashes at most three of 24 bits apart."""
-    rows = hashed_vectors(spark, sf_dir)
-    return V.label_groups(rows, V.hamming_pairs(rows, 3, 24))
+    return V.hash_groups(hashed_vectors(spark, sf_dir), 3, 24)
 
 
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,23 @@ def test_pages_and_unions(spark):
     assert sorted((r["card_number"], r["subject"]) for r in got) == [("12", "Red Ring"), ("13", "Blue & Co")]
     a, b = spark.createDataFrame([(1, "a")], "id int, x string"), spark.createDataFrame([(1, 5), (2, 6)], "id int, y int")
     assert sorted(tuple(r) for r in S.union_tables([a, b], "id").collect()) == [(1, "a", None), (2, None, 6)]
+
+
+def test_groups_by_hash_meet_as_representatives(spark, monkeypatch):
+    hashes = [(i, 0b111) for i in range(3000)] + [(5000, 0b1111), (4000, 0b1111 << 6), (4001, 0b1111 << 6), (6000, None), (6001, None), (7000, 0b11 << 10)]
+    met, pairs = [], V.hamming_pairs
+    monkeypatch.setattr(V, "hamming_pairs", lambda rows, *a: (met.append(rows.count()), pairs(rows, *a))[1])
+    found = dict(map(tuple, V.hash_groups(spark.createDataFrame(hashes, "id bigint, hash bigint"), 2, 12).collect()))
+    assert met == [4]
+    assert found == {**{i: 0 for i in range(3000)}, 5000: 0, 4000: 4000, 4001: 4000, 6000: 6000, 6001: 6001, 7000: 7000}
+
+
+def test_duplicate_groups_match_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    expected = con.execute(f'SELECT id, "group" FROM ({entry.oracle_sql()["duplicate_groups"]})').fetchall()
+    assert sorted(map(tuple, entry.queries()["duplicate_groups"](spark, "/root/testdata/sf0.001").select("id", "group").collect())) == sorted(expected)
