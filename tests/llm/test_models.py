@@ -7,7 +7,7 @@ import xxhash
 
 from cardloom.llm.language_id import UNDETERMINED, Compressors, folded, identify, op9_language_id
 from cardloom.llm.quality import base_counts, judge, op8_quality_rules
-from cardloom.llm.toxicity import BlockMaxIndex, fit, monotone, op7_toxicity, score
+from cardloom.llm.toxicity import BlockMaxIndex, fit, monotone, op7_toxicity, score, term_gains, terms_of
 
 from .helpers import documents, empty, remainder, words
 
@@ -107,20 +107,61 @@ def test_quality_of_hard_rows(spark):
 
 def test_nearest_examples_match_all_cosines():
     drawn = np.random.default_rng(4)
-    vectors = drawn.random((500, 12)) * (drawn.random((500, 12)) < 0.2)
-    vectors = vectors[vectors.any(axis=1)]
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    index = BlockMaxIndex([f"t{i}" for i in range(12)], np.ones(12), vectors, np.zeros(len(vectors)), np.arange(len(vectors)), block=16)
-    for query in vectors[:40]:
-        cosines = (vectors @ query).round(12)
-        expected = sorted(((-c, i) for i, c in enumerate(cosines) if c > 0))[:7]
-        places, found = index.nearest(query, 7)
-        assert places.tolist() == [i for _, i in expected]
-        assert found.tolist() == pytest.approx([-c for c, _ in expected], abs=1e-9)
+    dense = drawn.random((500, 12)) * (drawn.random((500, 12)) < 0.2)
+    dense[400:] = dense[:100]  # copies tie
+    norms = np.linalg.norm(dense, axis=1, keepdims=True)
+    dense /= np.where(norms > 0, norms, 1)
+    vectors = [(np.flatnonzero(v), v[v > 0]) for v in dense]
+    index = BlockMaxIndex(12, vectors, block=16)
+    for at, query in enumerate(vectors[:60]):
+        for skip in (-1, at):
+            cosines = (dense @ dense[at]).round(12)
+            expected = sorted((-c, i) for i, c in enumerate(cosines) if c > 0 and i != skip)[:7]
+            places, found = index.nearest(*query, 7, skip)
+            assert places.tolist() == [i for _, i in expected]
+            assert found.tolist() == pytest.approx([-c for c, _ in expected], abs=1e-9)
+    assert index.visited < index.offered
+    assert len(BlockMaxIndex(3, []).nearest(np.array([1]), np.array([1.0]), 5)[0]) == 0
+
+
+def test_gains_count_only_ties_beyond_chance():
+    gains = term_gains(np.array([3, 40, 40, 1] * 500), np.array([1, 40, 4, 1] * 500), 1000, 100)
+    assert gains[0] == gains[2] == gains[3] == 1 and gains[1] > 5
+
+
+def test_scores_follow_all_cosines_of_the_examples(spark):
+    """The whole query by hand: every cosine between every document and every example."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit(docs, labels)
+    texts = dict(map(tuple, docs.collect()))
+    ids = [int(d) for d in model.docs]
+    df = Counter(t for text in texts.values() for t in set(terms_of(text)))
+    weights = dict(zip(model.vocabulary.terms, model.vocabulary.weights, strict=True))
+    assert set(weights) == {t for i in ids for t in terms_of(texts[i])}
+    assert all(w >= np.log((1 + len(texts)) / (0.5 + df[t])) - 1e-9 for t, w in weights.items())
+
+    def vector(text):
+        counts = {t: n for t, n in Counter(terms_of(text)).items() if t in weights}
+        out = {t: (1 + np.log(n)) * weights[t] for t, n in counts.items()}
+        norm = np.sqrt(sum(x * x for x in out.values()))
+        return {t: x / norm for t, x in out.items()}
+
+    examples = [vector(texts[i]) for i in ids]
+    found = {r["doc_id"]: r for r in score(docs, model).collect()}
+    assert sum(not r["evidence"] for r in found.values()) < 0.01 * len(found)
+    for doc in sorted(texts)[::9]:
+        query = vector(texts[doc])
+        cosines = [round(sum(x * e.get(t, 0) for t, x in query.items()), 12) for e in examples]
+        best = sorted(((-c, at) for at, c in enumerate(cosines) if c > 0))[: model.k]
+        pulls = [(-c / (1.05 + c), model.toxic[at]) for c, at in best]
+        vote = (sum(w * y for w, y in pulls) + model.toxic.mean() / 2) / (sum(w for w, _ in pulls) + 0.5)
+        assert found[doc]["score"] == pytest.approx(np.interp(vote, model.edges, model.rates), abs=1e-6)
+        assert found[doc]["evidence"] == [str(ids[at]) for _, at in best[:5]]
 
 
 def test_monotone_pools_violators():
-    edges, rates = monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
+    edges, rates = monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]), np.ones(4))
     assert (np.diff(rates) > 0).all() and len(edges) == 3
 
 
