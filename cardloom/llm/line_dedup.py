@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm.text import SPACE, lines_of, lower_ascii, text_or_empty
-from cardloom.session import table
+from cardloom.session import table, written
 
 #: Lines to a word of a bitmap.
 BITS = 64
@@ -28,66 +28,84 @@ def row_id(key: str, text: str) -> Column:
     return F.struct(first.alias("a"), second.alias("b"))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sparse bitmaps of the lines to drop: _row, drops (map from word index to 64 bits).
+def hashed_lines(docs: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
+    """_a, _b, _doc, _turn, _row, _at: every line whose key has at least min_chars code points, as the hash of its key; _turn numbers the rows of docs."""
+    rows = docs.select(F.col(key).alias("_doc"), F.monotonically_increasing_id().alias("_turn"), row_id(key, text).alias("_row"), F.col(text).alias("_text"))
+    lines = rows.select("_doc", "_turn", "_row", F.posexplode(lines_of(text_or_empty("_text"))).alias("_at", "_line"))
+    keyed = lines.select("_doc", "_turn", "_row", "_at", line_key(F.col("_line")).alias("_key")).filter(F.char_length("_key") >= min_chars)
+    first, second = wide_hash(F.col("_key"))
+    return keyed.select(first.alias("_a"), second.alias("_b"), "_doc", "_turn", "_row", "_at")
 
-    Hashes of line keys go to their counts with the rows of a document already made distinct and
-    with map-side sums, so a line that a third of all documents hold is one row from each task.
-    The document in which a repeated key stays is the first one of its hash in descending document
-    order. The lines of repeated keys alone are then sorted by hash against these first
-    occurrences; a hot hash is split over tasks by adaptive execution, as each of its lines is
-    decided without the others. Bits are set by document and word of 64 lines.
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_row, keep: the compressed keep bitmap of every row that loses a line, a map from word index to 64 bits.
+
+    Bit i of word w stands for line 64 w + i and is set where the line stays; words that are not in
+    the map keep all their lines, and rows that are not in the result keep everything.
+
+    The hashes of all lines are made in one pass and range-partitioned with a secondary sort by
+    descending document and position, so that a line that a third of all documents hold fills
+    many ranges and its first occurrence is the first row of the first of them. A range's stream
+    gives one row for each of its hashes: the first document and the number of documents. These
+    rows are carried over to the other ranges of the hash; only they meet, not the lines. Lines find the
+    verdict on their hash within their own range.
     """
-    keys = F.filter(F.transform(lines_of(text_or_empty(text)), lambda line, at: F.struct(at.alias("at"), line_key(line).alias("key"))), lambda x: F.char_length(x["key"]) >= min_chars)
-    hashed = F.transform(keys, lambda x: F.struct(*(h.alias(n) for n, h in zip("ab", wide_hash(x["key"]), strict=True)), x["at"].alias("at")))
-    lines = docs.select(F.col(key).alias("_doc"), row_id(key, text).alias("_row"), hashed.alias("_lines")).filter(F.size("_lines") > 0)
+    order = ["_a", "_b", F.col("_doc").desc_nulls_last(), "_turn"]
+    lines = written(hashed_lines(docs, min_chars, key, text))
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order, "_at")
+    placed = written(ranged.withColumn("_range", F.spark_partition_id()))
 
-    once = F.array_distinct(F.transform("_lines", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    held = lines.select("_doc", F.explode(once).alias("_hash")).select("_doc", F.col("_hash.a").alias("_a"), F.col("_hash.b").alias("_b"))
-    firsts = held.groupBy("_a", "_b").agg(F.max("_doc").alias("_first"), F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= min_docs).drop("_docs")
+    held = placed.groupBy("_range", "_a", "_b", "_turn").agg(F.max("_doc").alias("_doc"))
+    runs = written(held.groupBy("_range", "_a", "_b").agg(F.max("_doc").alias("_first"), F.count(F.lit(1)).alias("_docs")))
+    hashes = runs.groupBy("_a", "_b").agg(F.max("_first").alias("_first"), F.sum("_docs").alias("_docs")).filter(F.col("_docs") >= min_docs).drop("_docs")
+    carried = runs.select("_range", "_a", "_b").join(hashes, ["_a", "_b"])
+    repeats = placed.join(written(carried), ["_range", "_a", "_b"]).filter(~F.col("_doc").eqNullSafe(F.col("_first")))
 
-    placed = lines.select("_doc", "_row", F.explode("_lines").alias("_line")).select("_doc", "_row", F.col("_line.a").alias("_a"), F.col("_line.b").alias("_b"), F.col("_line.at").alias("_at"))
-    repeats = placed.join(firsts, ["_a", "_b"]).filter(~F.col("_doc").eqNullSafe(F.col("_first")))
-    bit = F.expr(f"shiftleft(1L, _at % {BITS})")
-    words = repeats.groupBy("_row", F.floor(F.col("_at") / BITS).cast("int").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return words.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("drops"))
+    words = repeats.groupBy("_row", F.floor(F.col("_at") / BITS).cast("int").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, _at % {BITS})")).alias("_drops"))
+    return words.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_word", F.bitwise_not("_drops")))).alias("keep"))
 
 
-def is_dropped(drops: Column, at: Column) -> Column:
-    """Whether the bitmap drops the line at a position."""
-    word = F.element_at(drops, F.floor(at / BITS).cast("int"))
-    return F.coalesce(F.getbit(word, F.pmod(at, F.lit(BITS))) == 1, F.lit(False))
+def is_kept(keep: Column, at: Column) -> Column:
+    """Whether the bitmap keeps the line at a position."""
+    word = F.element_at(keep, F.floor(at / BITS).cast("int"))
+    return F.coalesce(F.getbit(word, F.pmod(at, F.lit(BITS))) == 1, F.lit(True))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, their other columns unchanged, with n_lines, n_dropped and kept_text added.
+def n_dropped(keep: Column) -> Column:
+    """How many lines a bitmap drops; null drops none."""
+    return F.coalesce(F.aggregate(F.map_values(keep), F.lit(0), lambda n, bits: n + F.bit_count(F.bitwise_not(bits))), F.lit(0)).cast("long")
+
+
+def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with n_lines, n_dropped and keep added: see keep_bitmaps. keep is null where no line goes.
 
     A line's key has white space stripped at both ends and A-Z lower-cased. A key of at least
     min_chars code points that at least min_docs rows hold loses all its lines but those in the
-    largest document id that holds it; a null id counts as the smallest. Other lines stay, joined
-    by line feeds. A null or empty text has one empty line. Repeated rows count as documents of
-    their own; those that share the largest id all keep the line. Text columns named like the
-    added ones are replaced. An empty table gives an empty result.
+    largest document id that holds it; a null id counts as the smallest. A null or empty text has
+    one empty line. Repeated rows count as documents of their own; those that share the largest id
+    all keep the line. Columns named like the added ones are replaced. An
+    empty table gives an empty result.
     """
-    bitmaps = drop_bitmaps(docs, min_chars, min_docs, key, text)
-    plain = docs.drop("n_lines", "n_dropped", "kept_text").withColumn("_row", row_id(key, text))
-    marked = plain.join(bitmaps, "_row", "left")
-    lines = lines_of(text_or_empty(text))
-    kept = F.filter(lines, lambda _, at: ~is_dropped(F.col("drops"), at))
-    dropped = F.coalesce(F.aggregate(F.map_values("drops"), F.lit(0), lambda n, bits: n + F.bit_count(bits)), F.lit(0))
-    whole = F.col("drops").isNull()
-    return (
-        marked.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", dropped.cast("long"))
-        .withColumn("kept_text", F.when(whole, text_or_empty(text)).otherwise(F.array_join(kept, "\n")))
-        .drop("_row", "drops")
-    )
+    plain = docs.drop("n_lines", "n_dropped", "keep").withColumn("_row", row_id(key, text))
+    marked = plain.join(keep_bitmaps(docs, min_chars, min_docs, key, text), "_row", "left").drop("_row")
+    return marked.withColumn("n_lines", F.size(lines_of(text_or_empty(text))).cast("long")).withColumn("n_dropped", n_dropped(F.col("keep")))
+
+
+def kept_text(text: str, keep: str = "keep") -> Column:
+    """The lines that a bitmap keeps, joined by line feeds; the whole text where it is null."""
+    kept = F.filter(lines_of(text_or_empty(text)), lambda _, at: is_kept(F.col(keep), at))
+    return F.when(F.col(keep).isNull(), text_or_empty(text)).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with n_lines, n_dropped and kept_text added; rules and hard rows as in line_bitmaps."""
+    return line_bitmaps(docs.drop("kept_text"), min_chars, min_docs, key, text).withColumn("kept_text", kept_text(text)).drop("keep")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from all documents, and the hash of what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+    return line_bitmaps(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text("text"), 256).alias("kept_sha256"))
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

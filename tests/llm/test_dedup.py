@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cardloom.llm.components import components
-from cardloom.llm.line_dedup import dedup_lines, op5_line_dedup
+from cardloom.llm.line_dedup import dedup_lines, line_bitmaps, op5_line_dedup
 from cardloom.llm.near_dedup import near_duplicates, shared_counts
 from cardloom.llm.shingles import Bands, Shingler
 
@@ -44,6 +44,26 @@ def test_line_dedup_matches_plain_python(spark):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def test_bitmaps_are_the_lines_that_stay(spark):
+    shared = "a line that all of these documents share"
+    rows = [(i, "\n".join([f"own line {i} {j} of a text" for j in range(i * 70)] + [shared, "end"])) for i in range(4)]
+    found = {r["doc_id"]: r for r in line_bitmaps(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[3]["keep"] is None and found[3]["n_dropped"] == 0
+    for i in range(3):
+        word, bit = divmod(i * 70, 64)
+        assert found[i]["keep"] == {word: ~(1 << bit) if bit < 63 else (1 << 63) - 1} and found[i]["n_dropped"] == 1
+
+
+def test_a_hot_line_fills_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(i, f"the very same line in every document\nown line number {i} of this document") for i in range(500)]
+        found = line_bitmaps(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+        assert sorted(r["doc_id"] for r in found if not r["n_dropped"]) == [499] and sum(r["n_dropped"] for r in found) == 499
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_line_dedup_query_plan_is_native(spark):
     plan = op5_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
