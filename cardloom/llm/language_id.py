@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +18,6 @@ UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bytes of a text that one call compresses, so that the dictionary weighs alike in texts of any length.
 PIECE = 4096
-#: Pieces below this many bytes are doubled: else they are stored as they are and all sizes tie.
-SHORT = 512
 
 
 def folded(text: str | None) -> bytes:
@@ -27,26 +26,56 @@ def folded(text: str | None) -> bytes:
     return kept.encode("utf-8", "replace") if any(map(str.isalpha, kept)) else b""
 
 
-def dictionaries(rows: DataFrame, dict_bytes: int, rows_per_language: int, max_languages: int, key: str, text: str, lang: str) -> dict[str, bytes]:
-    """For each language, the most common first, the folded texts of its first rows by hash of the id, up to dict_bytes.
+def own_passages(texts: dict[str, list[list[bytes]]], width: int = 5) -> dict[str, list[list[bytes]]]:
+    """The texts without the passages of width words and more that texts of another language hold too.
 
-    The sample is bounded: max_languages times rows_per_language rows of at most dict_bytes each.
+    Copied lines and texts of mixed languages would else speak for the language whose sample has them.
     """
-    known = rows.filter(F.col(lang).isNotNull() & F.col(key).isNotNull())
-    first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    picked = known.select(key, lang).withColumn("_turn", F.row_number().over(first)).filter(F.col("_turn") <= rows_per_language)
-    picked = picked.select(F.col(key), F.col(lang).alias("_lang"), "_turn").limit(max_languages * rows_per_language + 1)
-    texts = known.select(key, F.substring(text_or_empty(text), 1, dict_bytes).alias("_text"))
-    sample = texts.join(F.broadcast(picked), key).groupBy("_lang", "_turn").agg(F.max("_text").alias("_text"))
-    found: dict[str, list[bytes]] = {}
+    runs = lambda words: [b" ".join(words[at : at + width]) for at in range(len(words) - width + 1)]
+    owners: dict[bytes, str | None] = {}
+    for name, parts in texts.items():
+        for run in {run for words in parts for run in runs(words)}:
+            owners[run] = name if run not in owners else None
+    out = {}
+    for name, parts in texts.items():
+        out[name] = []
+        for words in parts:
+            shared = {at + step for at, run in enumerate(runs(words)) if owners[run] is None for step in range(width)}
+            out[name].append([word for at, word in enumerate(words) if at not in shared])
+    return out
+
+
+def dictionaries(rows: DataFrame, dict_bytes: int, max_bytes: int, rows_per_language: int, key: str, text: str, lang: str) -> dict[str, bytes]:
+    """For each language, the most common first, the folded whole texts of its first rows by hash of the id, as many as fit.
+
+    The sample is bounded: at most rows_per_language rows of a language, of dict_bytes together, or
+    of an equal share of max_bytes where there are so many languages. Rows of more than a
+    quarter of dict_bytes come last, so that a dictionary holds several texts; the first row is
+    taken whatever its size. Only rows whose hash makes them likely to be among the first are put
+    in order, so no language is brought together.
+    """
+    known = rows.filter(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), text_or_empty(text).alias("_text"))
+    long = (F.octet_length("_text") > dict_bytes // 4).cast("int").alias("_long")
+    narrow = known.select("_key", "_lang", long, F.xxhash64("_key").alias("_hash"))
+    counts = narrow.groupBy("_lang", "_long").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))
+    likely = narrow.join(counts, ["_lang", "_long"]).filter(place * F.col("_n") < 4 * rows_per_language + 64)
+    first = Window.partitionBy("_lang").orderBy("_long", "_hash", "_key")
+    picked = likely.withColumn("_turn", F.row_number().over(first)).filter(F.col("_turn") <= rows_per_language).select("_key", "_lang", "_turn")
+    sample = known.join(picked, ["_key", "_lang"]).groupBy("_lang", "_turn").agg(F.max("_text").alias("_text"))
+    rows_of: dict[str, int] = {}
+    for name, n in counts.groupBy("_lang").agg(F.sum("_n")).collect():
+        rows_of[name] = n
+    room = min(dict_bytes, max_bytes // max(len(rows_of), 1))
+    texts: dict[str, list[list[bytes]]] = {}
+    filled: Counter = Counter()
     for row in sample.orderBy("_lang", "_turn").toLocalIterator():
-        parts = found.setdefault(row["_lang"], [])
-        if sum(map(len, parts)) < dict_bytes:
-            parts.append(folded(row["_text"]) + b" ")
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} languages are labelled; raise max_languages and the memory for their dictionaries")
-    rows_of = dict(known.filter(F.col(lang).isin(list(found))).groupBy(lang).count().collect()) if found else {}
-    return {name: b"".join(found[name])[:dict_bytes] for name in sorted(found, key=lambda name: (-rows_of.get(name, 0), name))}
+        name, letters = row["_lang"], folded(row["_text"])
+        if letters and (not filled[name] or filled[name] + len(letters) < room):
+            texts.setdefault(name, []).append(letters.split())
+            filled[name] += len(letters) + 1
+    found = {name: b"".join(b" ".join(words) + b" " for words in parts) for name, parts in own_passages(texts).items()}
+    return {name: found[name] for name in sorted(found, key=lambda name: (-rows_of[name], name))}
 
 
 class Compressors:
@@ -67,9 +96,12 @@ class Compressors:
             self.compressors.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings))
 
     def sizes(self, letters: bytes) -> list[int]:
-        """Compressed bytes of the whole text in each language."""
+        """Compressed bytes of the whole text in each language.
+
+        Every piece is given twice: the second time costs one match, and no piece is stored as it is.
+        """
         pieces = [letters[at : at + PIECE] for at in range(0, len(letters), PIECE)]
-        pieces = [p + b" " + p if len(p) < SHORT else p for p in pieces]
+        pieces = [p + b" " + p for p in pieces]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def guess(self, text: str | None) -> tuple[str, float]:
@@ -83,7 +115,7 @@ class Compressors:
 
 
 def identify(
-    docs: DataFrame, training: DataFrame, min_margin: float = 0.002, dict_bytes: int = 1 << 17, rows_per_language: int = 400, max_languages: int = 256,
+    docs: DataFrame, training: DataFrame, min_margin: float = 0.002, dict_bytes: int = 1 << 17, max_bytes: int = 1 << 26, rows_per_language: int = 400,
     key: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """The documents with lang_pred, margin, score and rejected.
@@ -94,11 +126,13 @@ def identify(
     min_margin and texts without letters. A null or letter-free text is und with score 0, as is
     every text when training has no labels. Ties go to the language with more labelled rows, with margin 0. Repeated rows
     get equal results; other columns stay but for those named like the added ones. An empty table
-    gives an empty result. The dictionaries, at most max_languages times dict_bytes, go to the
-    tasks with the code; each task reads its own texts and nothing is shuffled.
+    gives an empty result. The dictionaries, at most max_bytes and one text for each language, go to
+    the tasks with the code; each task reads its own texts and nothing is shuffled. Rows of training without
+    an id or a language teach nothing, nor do texts without letters; of texts that share an id and a
+    language the largest counts.
     """
     added = ["lang_pred", "margin", "score", "rejected"]
-    contents = dictionaries(training, dict_bytes, rows_per_language, max_languages, key, text, lang)
+    contents = dictionaries(training, dict_bytes, max_bytes, rows_per_language, key, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(contents)
 
     @F.pandas_udf("lang_pred string, margin double")

@@ -4,8 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
-from cardloom.llm.language_id import UNDETERMINED, Compressors, folded, identify, op9_language_id
+from cardloom.llm.language_id import UNDETERMINED, Compressors, dictionaries, folded, identify, op9_language_id, own_passages
 from cardloom.llm.quality import base_counts, judge, op8_quality_rules
 from cardloom.llm.toxicity import BlockMaxIndex, fit, monotone, op7_toxicity, score, term_gains, terms_of
 
@@ -43,6 +44,38 @@ def test_sizes_cover_the_whole_text():
     assert compressors.guess("???") == (UNDETERMINED, 0.0)
 
 
+def test_identify_matches_compression_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    contents = dictionaries(docs, 1 << 13, 1 << 26, 50, "doc_id", "text", "lang")
+    assert list(contents) == [r["lang"] for r in docs.groupBy("lang").count().orderBy("count", ascending=False).collect()]
+
+    def size(letters, content):
+        settings = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), min_match=3, strategy=zstandard.STRATEGY_LAZY, write_checksum=0, write_content_size=0, write_dict_id=0)
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(compression_params=settings)
+        pieces = [letters[at : at + 4096] for at in range(0, len(letters), 4096)]
+        return sum(len(zstandard.ZstdCompressor(dict_data=own, compression_params=settings).compress(p + b" " + p)) for p in pieces)
+
+    found = {r["doc_id"]: r for r in identify(docs, docs, dict_bytes=1 << 13, rows_per_language=50).collect()}
+    for doc, text in docs.select("doc_id", "text").collect():
+        sizes = [size(folded(text), c) for c in contents.values()]
+        best = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        assert found[doc]["lang_pred"] == list(contents)[best[0]]
+        assert found[doc]["margin"] == pytest.approx(1 - sizes[best[0]] / sizes[best[1]])
+
+
+def test_no_number_of_languages_is_too_many(spark):
+    rows = [(i, f"tongue{i} speaks word{i} only twice word{i}", f"l{i:03d}") for i in range(300)] + [(1000, "common " * 4000, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    contents = dictionaries(docs, 1 << 12, 300 * 64, 10, "doc_id", "text", "lang")
+    assert len(contents) == 300 and all(contents.values()) and list(contents)[0] == "l000"
+
+
+def test_passages_of_two_languages_teach_none():
+    shared, own = "a b c d e f".encode().split(), "x y z".encode().split()
+    assert own_passages({"p": [shared + own], "q": [own[:2], shared]}) == {"p": [own], "q": [own[:2], []]}
+
+
 def quality_by_hand(text):
     w = [x.decode() for x in words(text)]
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
