@@ -35,41 +35,64 @@ def lookup_keys(host: Column, path: Column) -> Column:
     return F.when(m > 0, F.concat(domains, made)).otherwise(domains)
 
 
+def clean_entries(entries: DataFrame) -> DataFrame:
+    """pattern, at, action: one entry for each pattern and time, the last action by name; hosts in lower case, paths as they are."""
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
+    known = entries.filter(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isNotNull())
+    return known.groupBy(pattern.alias("pattern"), F.col("listed_at").alias("at")).agg(F.max("action").alias("action"))
+
+
 def validity(entries: DataFrame) -> DataFrame:
-    """pattern, action, valid_from, valid_to: each dated entry holds until the next one of its pattern; removals hold nothing.
+    """pattern, action, valid_from, valid_to: each dated entry holds until the next one of its pattern; removals hold nothing."""
+    after = F.lead("at").over(Window.partitionBy("pattern").orderBy("at"))
+    return clean_entries(entries).withColumn("valid_to", after).filter("action <> 'remove'").select("pattern", "action", F.col("at").alias("valid_from"), "valid_to")
 
-    Entries of one pattern and time: the last action by name counts. Hosts are put in lower case, paths stay as they are.
+
+def as_of(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked (pattern, at and others) with action, the last of its pattern at or before at; null if there is none.
+
+    Captures and entries are sorted together by pattern and time, and the last entry is carried
+    forward: a capture costs one row however many entries its pattern has. A pattern that many
+    captures share fills many ranges of the sort; a range's last entry of each pattern is carried
+    over to the ranges after it, which takes one row for each range and pattern.
     """
-    host = F.substring_index("pattern", "/", 1)
-    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
-    clean = entries.filter(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isNotNull())
-    one = clean.groupBy(pattern.alias("pattern"), "listed_at").agg(F.max("action").alias("action"))
-    after = F.lead("listed_at").over(Window.partitionBy("pattern").orderBy("listed_at"))
-    return one.withColumn("valid_to", after).filter("action <> 'remove'").select("pattern", "action", F.col("listed_at").alias("valid_from"), "valid_to")
+    columns = [c for c in asked.columns if c not in ("pattern", "at")]
+    listed = entries.select("pattern", "at", "action", F.lit(0).alias("_kind"), *(F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in columns))
+    both = listed.unionByName(asked.select("pattern", "at", F.lit(None).cast("string").alias("action"), F.lit(1).alias("_kind"), *columns))
+    order = ["pattern", "at", "_kind"]
+    spread = F.xxhash64(*columns) if columns else F.lit(0)
+    ranged = written(both.withColumn("_spread", spread).repartitionByRange(*order, "_spread").withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range", "pattern").orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ranged.groupBy("pattern", "_range").agg(F.max(F.when(F.col("_kind") == 0, F.struct("at", "action"))).alias("_last"))
+    earlier = Window.partitionBy("pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = written(ends.select("pattern", "_range", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).filter("_carried is not null"))
+    filled = ranged.withColumn("_own", F.last("action", ignorenulls=True).over(within)).filter("_kind = 1")
+    return filled.join(carried, ["pattern", "_range"], "left").select("pattern", "at", *columns, F.coalesce("_own", "_carried.action").alias("action"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """The captures with host, pattern, action and blocked.
 
     An entry's pattern is a domain (it covers its subdomains) or a host with whole path segments.
-    Of the entries active when a capture was fetched (valid_from <= fetched < valid_to) the most
-    specific decides: a longer path, then a longer domain. Without one, or with a null or hostless
-    url or a null time, action is null and blocked false. Repeated captures are decided alike, other
-    columns stay but for those named like the added ones, empty tables give empty results or no
-    decisions. Paths compare as they are, hosts in lower case.
-
-    Captures meet entries by equality of pattern, so no list is broadcast or scanned for each
-    capture. The intervals are written first: the join then deals both sides anew, and adaptive
-    execution splits a domain that many captures share, or broadcasts a list that is small.
+    Of the entries active when a capture was fetched (from their date until the next entry of the
+    pattern; removals hold nothing) the most specific decides: a longer path, then a longer domain.
+    Without one, or with a null or hostless url or a null time, action is null and blocked false.
+    Repeated captures are decided alike, other columns stay but for those named like the added
+    ones, empty tables give empty results or no decisions. Urls of any length count as a whole.
+    Paths compare as they are, hosts in lower case.
+
+    A capture's patterns meet the list by an as-of join on pattern and time. Only patterns that the
+    list holds take part: they are found by equality, which adaptive execution splits for a
+    domain that many captures share.
     """
     body = captures.drop("host", "pattern", "action", "blocked").withColumn("host", host_of(F.col(url)))
     first, second = wide_hash(F.col(url), F.col(fetched))
     body = body.withColumn("_row", F.struct(first.alias("a"), second.alias("b")))
-    spans = written(validity(entries))
-    asked = body.filter(F.col("host").isNotNull() & F.col(fetched).isNotNull())
-    keys = asked.select("_row", F.col(fetched).alias("_at"), F.explode(lookup_keys(F.col("host"), path_of(F.col(url)))).alias("_key")).select("_row", "_at", "_key.rank", "_key.pattern")
-    active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    hits = keys.join(spans, "pattern").filter(active)
+    listed = written(clean_entries(entries))
+    asked = body.filter(F.col("host").isNotNull() & F.col(fetched).isNotNull()).select("_row", F.col(fetched).alias("at"), F.explode(lookup_keys(F.col("host"), path_of(F.col(url)))).alias("_key"))
+    keys = asked.select("_row", "at", "_key.rank", "_key.pattern").join(written(listed.select("pattern").distinct()), "pattern", "left_semi")
+    hits = as_of(keys.distinct(), listed).filter("action <> 'remove'")
     best = hits.groupBy("_row").agg(F.max(F.struct("rank", "pattern", "action")).alias("_best"))
     joined = body.join(written(best), "_row", "left")
     return joined.withColumn("pattern", F.col("_best.pattern")).withColumn("action", F.col("_best.action")).withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False))).drop("_row", "_best")

@@ -7,7 +7,7 @@ import xxhash
 import zstandard
 
 from cardloom.llm.language_id import UNDETERMINED, Compressors, dictionaries, folded, identify, op9_language_id, own_passages
-from cardloom.llm.quality import base_counts, judge, op8_quality_rules
+from cardloom.llm.quality import base_counts, judge, op8_quality_rules, trusted_ids
 from cardloom.llm.toxicity import BlockMaxIndex, fit, monotone, op7_toxicity, score, term_gains, terms_of
 
 from .helpers import documents, empty, remainder, words
@@ -102,7 +102,10 @@ def test_ratio_matches_plain_python(spark):
             seed = xxhash.xxh64_intdigest(part, seed)
         return seed
 
-    raw, good, trusted = np.zeros(buckets), np.zeros(buckets), {i for i, q in labels if q == 1}
+    frame, taught = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    folds = {r["doc_id"]: r["_fold"] for r in trusted_ids(taught, 20_000).collect()}
+    assert set(folds) == {i for i, q in labels if q == 1} and set(folds.values()) == {0, 1, 2, 3}
+    raw, good, trusted = np.zeros(buckets), np.zeros(buckets), {i for i, fold in folds.items() if fold}
     grams = {}
     for i, t in docs:
         w = words(t)
@@ -111,11 +114,15 @@ def test_ratio_matches_plain_python(spark):
             raw[g] += 1
             good[g] += i in trusted
     ratio = np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    found = judge(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int"), buckets=buckets)
+    found = judge(frame, taught, threshold=-0.05, buckets=buckets)
     for r in found.collect():
         expected = ratio[grams[r["doc_id"]]].sum() / max(1, len(grams[r["doc_id"]]))
         assert r["llr"] == pytest.approx(expected, abs=1e-9)
         assert r["kept"] == (not r["base_failed"] and r["llr"] >= -0.05)
+    rows = judge(frame, taught, drop_share=0.25, buckets=buckets).collect()
+    held = [r["llr"] for r in rows if folds.get(r["doc_id"]) == 0 and not r["base_failed"]]
+    least = np.percentile(held, 25)
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= least) for r in rows if abs(r["llr"] - least) > 1e-12)
 
 
 def test_quality_keeps_clean_and_drops_bad_documents(spark):

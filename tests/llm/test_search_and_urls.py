@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.llm.topk import Group, top_k
-from cardloom.llm.url_filter import filter_urls, validity
+from cardloom.llm.url_filter import as_of, filter_urls, validity
 
 
 def top_by_hand(rows, k, every):
@@ -74,3 +74,31 @@ def test_paths_of_entries_keep_their_case(spark):
     table = spark.createDataFrame([(i, *c) for i, c in enumerate(captures)], "page_id int, url string, fetched_at timestamp, expected string")
     rows = filter_urls(table, spark.createDataFrame(entries, "pattern string, action string, listed_at timestamp")).collect()
     assert [(r["page_id"], r["action"], r["expected"]) for r in rows if r["action"] != r["expected"]] == [] and len(rows) == len(captures)
+
+
+def test_as_of_join_carries_entries_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keep several ranges
+    try:
+        entries = [("hot.org", day(d), "block" if d % 2 else "remove") for d in range(1, 30, 4)] + [("cold.org", day(3), "allow")]
+        asked = [("hot.org", day(d % 40), i) for i, d in enumerate(range(400))] + [("cold.org", day(2), 900), ("cold.org", day(3), 901), ("cold.org", day(9), 902)]
+        found = as_of(spark.createDataFrame(asked, "pattern string, at timestamp, n int"), spark.createDataFrame(entries, "pattern string, at timestamp, action string")).collect()
+        assert len(found) == len(asked)
+        for r in found:
+            before = [(at, action) for pattern, at, action in entries if pattern == r["pattern"] and at <= r["at"]]
+            assert r["action"] == (max(before)[1] if before else None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_very_long_urls_count_as_a_whole(spark):
+    long = "http://long.org/" + "/".join(f"s{i}" for i in range(3000))
+    table = spark.createDataFrame([(0, long, day(2)), (1, long + "x", day(2))], "page_id int, url string, fetched_at timestamp")
+    listed = spark.createDataFrame([(long.removeprefix("http://"), "block", day(1))], "pattern string, action string, listed_at timestamp")
+    assert [r["blocked"] for r in filter_urls(table, listed).orderBy("page_id").collect()] == [True, False]
+
+
+def test_top_k_keeps_to_its_columns(spark):
+    rows = [(i, [float(i), 1.0], i, None) for i in range(6)]
+    clash = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score bigint, rank string")
+    assert top_k(clash, F.col("vec_id") == 0, k=2).columns == ["query_id", "rank", "vec_id", "score"]
+    assert top_k(clash, F.col("vec_id") == 0, k=2).count() == 2
