@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,33 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + at) for at, b in enumerate(others)}
 
 
+#: Code points below this are split by the quicker of two equal patterns.
+COMMON = 0x250
+
+
+@cache
+def common_pattern() -> re.Pattern[str]:
+    """PRE_TOKEN over texts of code points below COMMON alone, with the letters, numbers and white space among these spelled out."""
+    import regex
+
+    chars = [chr(c) for c in range(COMMON)]
+    letters, numbers, space = ("".join(map(re.escape, filter(regex.compile(kind).match, chars))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+class Remembered(dict):
+    """The ids of pre-tokens as bytes; those not known yet are encoded by the model."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.letters = tokenize, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        self[part] = ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        return ids
+
+
 class Encoder:
     """Token ids of texts by a byte-level BPE file of the tokenizers library.
 
@@ -38,25 +66,24 @@ class Encoder:
     distinct pre-token once, and its ids are remembered as bytes. Merges never cross pre-tokens, so
     the ids are those of the whole text.
 
-    With added, texts are first split at the file's added tokens, which have ids of their own;
-    else those are spelled out like other text.
+    Texts are first split at the file's added tokens, which have ids of their own.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.tokenize = tokenizer.model.tokenize
         self.split = regex.compile(PRE_TOKEN).findall
-        tokens = tokenizer.get_added_tokens_decoder() if added else {}
+        self.split_common = common_pattern().findall
+        self.is_uncommon = re.compile(f"[{chr(COMMON)}-{chr(0x10FFFF)}]").search
+        tokens = tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
             raise ValueError("added tokens that depend on what is around them are not supported")
         self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
         longest_first = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.apart = regex.compile(f"({longest_first})").split if self.added else lambda text: [text]
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(tokenizer.model.tokenize)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids (the machine's order, as all that Spark runs on)."""
@@ -64,19 +91,16 @@ class Encoder:
 
     def between(self, text: str) -> bytes:
         """The ids of a text in which added tokens have no meaning."""
-        parts, known = self.split(text), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for part in set(parts).difference(known):
-            letters = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            known[part] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        parts = self.split(text) if self.is_uncommon(text) else self.split_common(text)
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 @cache
 def encoder_of(path: str) -> Encoder:
     """One encoder for each worker process, so that its tasks share what it remembers."""
-    return Encoder(path, added=True)
+    return Encoder(path)
 
 
 def default_vocabulary() -> str:
@@ -114,23 +138,28 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, end_id: int, key: s
     )
 
 
-def patterns(window: int, depth: int = 5, spread: tuple[int, ...] = (1, 12, 16, 8)) -> np.ndarray:
-    """Shallow combinations of lengths that fill a window: rows of depth lengths, largest first, zeros at the end.
+def patterns(window: int, fine: int = 8) -> np.ndarray:
+    """Shallow combinations of lengths that fill a window: rows of four lengths, largest first, zeros at the end.
 
-    For two to depth pieces: every first length, with spread further ones for each number of pieces
-    drawn evenly from what is left; the last piece fills the window. All pairs are among them.
+    Enumerated: every pair; every triple whose second piece is a whole share of what the first
+    leaves, in steps of 1 / (2 * fine); and every four pieces whose second and third are whole shares in
+    steps of 1 / fine. So every length is combined with lengths of all sizes, not with a few round ones.
     """
-    drawn = np.random.default_rng(window)
-    found = []
-    for pieces, times in zip(range(2, depth + 1), spread, strict=True):
-        first = np.repeat(np.arange(1, window - pieces + 2), times)
-        row, left = [first], window - first
-        for later in range(pieces - 2, 0, -1):  # each takes about its share of what is left
-            most = np.maximum(1, np.minimum(left - later, 2 * left // (later + 1)))
-            row.append(1 + (drawn.random(len(left)) * most).astype(np.int64).clip(0, left - later - 1))
-            left = left - row[-1]
-        found.append(np.pad(np.column_stack([*row, left]), ((0, 0), (0, depth - pieces))))
-    return np.unique(-np.sort(-np.concatenate(found), axis=1), axis=0)
+    lengths = np.arange(1, window)
+    pairs = np.column_stack([lengths, window - lengths])
+    share = lambda left, i, steps: np.maximum(1, left * i // steps)
+    found = [np.pad(pairs, ((0, 0), (0, 2)))]
+    for i in range(1, fine + 1):
+        left = window - lengths
+        second = share(left, i, 2 * fine)
+        found.append(np.column_stack([lengths, second, left - second, np.zeros_like(left)]))
+        for j in range(1, fine):
+            second = share(left, i, 2 * fine)
+            third = share(left - second, j, fine)
+            found.append(np.column_stack([lengths, second, third, left - second - third]))
+    rows = np.concatenate(found)
+    rows = rows[(rows >= 0).all(axis=1)]
+    return np.unique(-np.sort(-rows, axis=1), axis=0)
 
 
 def solve_repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:

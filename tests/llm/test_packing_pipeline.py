@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -11,17 +12,22 @@ from cardloom.llm.packing import Encoder, default_vocabulary, pack, patterns, pl
 from .helpers import documents, empty
 
 
+#: Code points of every kind of letter, number, mark and white space, below and above the quick pattern's limit.
+CODES = [*range(0x250), 0x2028, 0x3000, 0x2003, 0x200B, 0x301, 0x661, 0x2167, 0x4E2D, 0x1F642, 0x10400, 0x250, 0x24F, *([0x20, 0x0A, 0x27, 0x73, 0x74] * 40)]
+
+
 def whole_ids(texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(default_vocabulary())
-    plain.encode_special_tokens = True
     return [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_encoder_gives_the_ids_of_the_whole_text():
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 150").fetchall()]
-    texts += ["", "   ", "a  b\n\n c\t\t", "it's we'll I'D", "日本語 emoji 🙂‍↔️ x y", "<|endoftext|> 12 3.5€"]
+    texts += ["", "   ", "a  b\n\n c\t\t", "it's we'll I'D", "日本語 emoji 🙂‍↔️ x y", "<|endoftext|> 12 3.5€", "a<|endoftext|>b"]
+    drawn = random.Random(3)
+    texts += ["".join(chr(drawn.choice(CODES)) for _ in range(60)) for _ in range(400)]
     encoder = Encoder(default_vocabulary())
     for text, ids in zip(texts, whole_ids(texts), strict=True):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
@@ -41,7 +47,8 @@ def test_added_tokens_have_their_own_ids(spark):
 
 def test_patterns_fill_the_window_and_least_squares_fit():
     combos = patterns(256)
-    assert (combos.sum(axis=1) == 256).all() and (combos[:, :2] > 0).all()
+    assert (combos.sum(axis=1) == 256).all() and (combos[:, :2] > 0).all() and (combos.tolist() == patterns(256).tolist())
+    assert {tuple(row[:2]) for row in combos.tolist() if not row[2]} == {(256 - i, i) for i in range(1, 129)}
     histogram = np.bincount(np.random.default_rng(0).integers(1, 256, 50_000), minlength=257)
     repeats = solve_repeats(combos, histogram)
     made = np.bincount(combos.ravel(), np.repeat(repeats, combos.shape[1]), 257)
