@@ -24,12 +24,21 @@ def with_lengths(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without letters or with a narrow margin go."""
+    """Documents whose language is clear; those with a null, empty or letter-free text or a narrow margin go.
+
+    Long texts count as a whole, equal texts share a verdict (ties of sizes have margin 0 and go),
+    repeated rows stay or go together, and an empty table gives an empty one.
+    """
     return identify(docs, docs).filter(~F.col("rejected")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that three or more of them share; the largest id keeps each."""
+    """Documents without the lines that three or more of them share; the largest id keeps each.
+
+    Every row stays, with a text of "" where it was null or lost all lines, and its new length in
+    n_chars. Null ids count as the smallest, repeated rows as documents of their own; rows that
+    share the largest id all keep the line.
+    """
     deduped = dedup_lines(docs).withColumn("text", F.col("kept_text")).select(docs.columns)
     return with_lengths(deduped)
 
@@ -38,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked at 0.8 of their 5-word shingles: the first by id, then by the other columns; null ids come last.
 
     Rows are linked by text alone, so those that share an id or have none are rows like others.
-    Rows without words stay, one of those that share id and text.
+    Rows without words stay, one of those that share id and text: null and empty texts are one.
+    Texts of fewer than five words are one shingle. An empty table gives an empty one.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_duplicates(rows.select("_row", "text"), width=5, threshold=Fraction(4, 5), key="_row").select("_row", "n_shingles", "component_id")
@@ -52,12 +62,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that the sources meet the weights 1, 2, 3, none above three epochs."""
+    """Documents repeated so that the sources meet the weights 1, 2, 3, none above three epochs.
+
+    Rows without words are never taken and go. A null source is the last one. Rows equal in id,
+    text and source are repeated together; the order of documents is that of a seeded hash, so reruns agree.
+    """
     return with_lengths(mixed_texts(docs, weights=(1, 2, 3), max_epochs=3))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens.
+
+    A null text counts as empty; rows with a null id and repeated rows are packed like others. An
+    empty table gives no pieces.
+    """
     return pack(docs.select("doc_id", "text"), window=2048)
 
 
