@@ -66,7 +66,7 @@ def mix(
 
     ranges = cut(narrow.groupBy("_source", "_range").agg(F.sum("size").alias("_words")))
     sources = ranges.groupBy("_source").agg(F.sum("_words").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy("_source")) - 1) % len(weights)  # one row for each source
+    turn = (F.row_number().over(Window.orderBy("_source")) - 1) % len(weights)  # one narrow row for each source
     sources = cut(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))))
     targets = water_fill(sources, max_epochs)
     goal = F.least(F.floor(F.col("target") + F.lit(0.5)), F.floor(F.col("source_size") * F.lit(float(max_epochs))))
@@ -87,7 +87,7 @@ def mix(
     return both.select(
         key, "source", "size", "source_size", "target", *carry,
         (F.col("_whole") * F.col("size") + F.col("part")).alias("taken"),
-        (F.col("_whole") + F.when(full & (F.col("size") > 0), 1).otherwise(0)).cast("long").alias("copies"),
+        F.when(F.col("size") > 0, F.col("_whole") + F.when(full, 1).otherwise(0)).otherwise(0).cast("long").alias("copies"),
         F.when(full, F.lit(0)).otherwise(F.col("part")).cast("long").alias("part"),
     )
 

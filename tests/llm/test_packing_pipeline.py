@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -7,9 +8,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from cardloom.llm.mixing import mix
 from cardloom.llm.packing import Encoder, default_vocabulary, pack, patterns, plan_places, solve_repeats
 
 from .helpers import documents, empty
+from .test_dedup import line_dedup_by_hand
 
 
 #: Code points of every kind of letter, number, mark and white space, below and above the quick pattern's limit.
@@ -113,11 +116,42 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark):
     assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def test_pipeline_of_hard_rows(spark, tmp_path):
-    for rows in (documents(spark), empty(spark)):
-        part = rows.select("doc_id", "text", "lang", "source", "n_chars")
+def test_stages_of_hard_rows_match_plain_python(spark, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows and rows that share an id."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = documents(spark).select(names).union(spark.createDataFrame([(300 + i, f"a line that many documents share\nown words {i} of number {i}", "en", "abc"[i % 3], 1) for i in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    rows = [tuple(r) for r in docs.collect()]
+    key = lambda r: tuple((x is not None, str(x)) for x in r)
+
+    kept = [tuple(r) for r in corpus_pipeline.language_id(spark, docs, "").collect()]
+    assert set(kept) < set(rows) and all(any(c.isalpha() for c in t) for _, t, *_ in kept)
+    assert {i for i, *_ in rows} - {i for i, *_ in kept} <= {7, 8, 9, 12, 11, 14, None}
+
+    lines = [tuple(r) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()]
+    by_text = {(i, n, digest) for i, n, _, digest in line_dedup_by_hand([(i, t) for i, t, *_ in rows])}
+    assert len(lines) == len(rows)
+    assert {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in lines} == {(i, digest) for i, _, digest in by_text}
+    assert all(n == len(t) for _, t, _, _, n in lines)
+
+    mixed = [tuple(r) for r in corpus_pipeline.mixing(spark, docs, "").collect()]
+    taken, planned = defaultdict(int), defaultdict(int)
+    for i, t, _, source, n in mixed:
+        assert n == len(t) and t.split()
+        taken[i, source] += len(t.encode().split())
+    for r in mix(docs).collect():
+        planned[r["doc_id"], r["source"]] += r["taken"]
+    assert {k: n for k, n in planned.items() if n} == dict(taken)
+    assert sorted(mixed, key=key) == sorted((tuple(r) for r in corpus_pipeline.mixing(spark, docs.repartition(5), "").collect()), key=key)
+
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    ids = whole_ids([t for _, t, *_ in rows])
+    assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in ids)
+
+    for part in (docs, docs.limit(0)):
         part.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
-        assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert bool(out) == bool(part.count())
+        assert {p["doc_id"] for p in out} <= {i for i, *_ in rows}
 
 
 def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
