@@ -14,6 +14,8 @@ from cardloom.session import cut, table
 LOWEST = np.iinfo(np.int64).min
 #: Doubles hold integers up to here exactly.
 EXACT = float(1 << 53)
+#: Parts into which the ranges' bounds are dealt to meet the blocks of queries.
+DEALS = 64
 
 
 def scaled(vector: Column, scale: float) -> Column:
@@ -60,6 +62,11 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floor: int) -> list[tup
     return sorted(zip((-scores[at]).tolist(), ids[at].tolist(), strict=True))[:k]
 
 
+def block_bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each query and block, the sum over terms of the largest product in the block."""
+    return product(np.maximum(queries, 0), high) + product(np.minimum(queries, 0), low)
+
+
 class Group:
     """A range of documents as forward-index blocks with the least and largest value of each term in them."""
 
@@ -73,7 +80,7 @@ class Group:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """For each query and block, the sum over terms of the largest product in the block."""
-        return product(np.maximum(queries, 0), self.high) + product(np.minimum(queries, 0), self.low)
+        return block_bounds(queries, self.high, self.low)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
         """The best of this group for each query, as (-score, id); scores below a query's floor may be left out.
@@ -120,9 +127,11 @@ def top_k(
 
     Rows are ordered by the term with the largest value, then id, and cut into ranges: a task holds
     group_size vectors as forward-index blocks with each term's least and largest value. A query
-    first searches its own range, which gives it a lower bound of its kth score; blocks of queries
-    are then joined to every range and visit its blocks by falling bound. Queries against all rows
-    are quadratic work by the request; what is shuffled for a query and range is k rows.
+    first searches its own range, which gives it a lower bound of its kth score. Blocks of queries
+    then meet the bounds of every range; a query goes on to the ranges whose bound reaches its
+    kth score, and only these are joined with their vectors and visit blocks by falling bound.
+    Queries against all rows are quadratic work by the request; what is shuffled for a query and
+    range is at most the query and k rows.
     """
     valid = rows.filter(F.col(key).isNotNull() & usable(F.col(vector)))
     valid = valid.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"), is_query.alias("is_query"))
@@ -141,6 +150,7 @@ def top_k(
             return pa.RecordBatch.from_pydict(
                 {
                     "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "width": [vectors.shape[1]],
+                    "high": [group.high.tobytes()], "low": [group.low.tobytes()],
                     "queries": [[{"id": int(ids[i]), "v": vectors[i].tolist(), "floor": int(floors[i])} for i in np.flatnonzero(asks)]],
                 },
                 schema=built,
@@ -158,9 +168,9 @@ def top_k(
             yield made(held)
 
     built = pa.schema(
-        [("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int64()), ("queries", pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.int64())), ("floor", pa.int64())])))]
+        [("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("queries", pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.int64())), ("floor", pa.int64())])))]
     )
-    groups = cut(dealt.mapInArrow(index, "ids binary, vectors binary, width bigint, queries array<struct<id: bigint, v: array<bigint>, floor: bigint>>"))
+    groups = cut(dealt.mapInArrow(index, "ids binary, vectors binary, width bigint, high binary, low binary, queries array<struct<id: bigint, v: array<bigint>, floor: bigint>>"))
     groups = groups.withColumn("_group", F.monotonically_increasing_id())
 
     asked = groups.select(F.explode("queries").alias("q")).select("q.*").groupBy("id").agg(F.min(F.struct("v", "floor")).alias("q"))
@@ -177,8 +187,29 @@ def top_k(
                 )
 
     blocks = asked.mapInArrow(block_queries, "q_ids binary, q_vectors binary, q_width bigint, q_floors binary")
-    every = groups.select(F.col("_group")).groupBy().agg(F.collect_list("_group").alias("_groups"))
-    pairs = blocks.withColumn("_group", F.explode(every.scalar())).join(groups.drop("queries"), "_group")
+    # every block of queries meets every range's bounds once: ranges are dealt out, blocks go to all deals
+    deals = min(n_groups, DEALS)
+    bounds = groups.select("_group", "width", "high", "low", F.pmod(F.xxhash64("_group"), F.lit(deals)).alias("_deal"))
+    offered = cut(blocks).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).join(bounds, "_deal").drop("_deal")
+
+    def within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_group", "q_ids", "q_vectors", "q_width", "q_floors"]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+                matrix = lambda name, width: np.frombuffer(at[name], np.int64).reshape(-1, at[width])
+                queries, floors = matrix("q_vectors", "q_width"), np.frombuffer(at["q_floors"], np.int64)
+                if at["width"] and at["q_width"]:
+                    ceiling = block_bounds(queries, matrix("high", "width"), matrix("low", "width")).max(axis=1)
+                else:
+                    ceiling = np.zeros(len(floors), np.int64)
+                live = np.flatnonzero(ceiling >= floors)
+                if len(live):
+                    ids = np.frombuffer(at["q_ids"], np.int64)[live]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip([at["_group"], ids.tobytes(), queries[live].tobytes(), at["q_width"], floors[live].tobytes()], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()], strict=True)], names)
+
+    reached = offered.mapInArrow(within_reach, "_group bigint, q_ids binary, q_vectors binary, q_width bigint, q_floors binary")
+    pairs = reached.join(groups.select("_group", "ids", "vectors", "width"), "_group")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
