@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.expr import choose, clamp, natural_key, normalize_text
+from cardloom.session import cut
 
 #: Points when a query contains a field.
 FIELD_POINTS = {"player": 12, "year": 5, "card_number": 5, "set_name": 5, "brand": 3, "grader": 3, "grade": 3}
@@ -34,27 +35,66 @@ def token_weight(token: Column) -> Column:
     return F.when(F.length(token) >= 8, 3.0).when(F.length(token) >= 5, 2.0).otherwise(1.0)
 
 
-def fuzzy_hit(token: Column, candidates: Column) -> Column:
-    """Prefix either way, or one edit (two for long tokens), for tokens of four letters and more."""
-    most = F.when(F.length(token) >= 8, 2).otherwise(1)
-    return (F.length(token) >= 4) & F.exists(candidates, lambda c: c.startswith(token) | token.startswith(c) | (F.levenshtein(token, c) <= most))
+def without_letters(word: Column, most: Column) -> Column:
+    """The word, and what is left of it without one letter, or without up to two where most is 2."""
+    drop = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    once = drop(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.when(most >= 2, F.flatten(F.transform(once, drop))).otherwise(F.array().cast("array<string>"))))
+
+
+def token_matches(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """t, v, share: query words t and catalog words v that count for them; both tables hold distinct words.
+
+    A word within another counts in full. For words of four letters and more, one that begins with the other,
+    or is one edit away (two for eight letters and more), counts 0.65. Candidates meet by equal
+    parts: the first letter pair of t, the beginnings of t, and what deletions leave of both, as
+    words within m edits share what is left after m deletions from each.
+    """
+    pair = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    most = F.when(F.length("t") >= 8, 2).otherwise(1)
+    words = held.select("v", F.explode(F.array_distinct(pair(F.col("v")))).alias("part"))
+    whole = asked.select("t", F.substring("t", 1, 2).alias("part")).join(words, "part").filter(F.contains("v", F.col("t"))).select("t", "v", F.lit(1.0).alias("share"))
+    long = asked.filter(F.length("t") >= 4)
+    starts = long.select("t", F.explode(F.transform(F.sequence(F.lit(2), F.length("t")), lambda n: F.substring("t", F.lit(1), n))).alias("v")).join(held, "v")
+    left = long.select("t", most.alias("m"), F.explode(without_letters(F.col("t"), most)).alias("part"))
+    right = held.filter(F.length("v") >= 3).select("v", F.explode(without_letters(F.col("v"), F.when(F.length("v") >= 6, 2).otherwise(1))).alias("part"))
+    edits = left.join(right, "part").filter(F.levenshtein("t", "v") <= F.col("m"))
+    near = starts.select("t", "v").union(edits.select("t", "v")).distinct().select("t", "v", F.lit(0.65).alias("share"))
+    return whole.union(near).groupBy("t", "v").agg(F.max("share").alias("share"))
+
+
+def contained(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """query_id, value: the distinct values that a query text contains, found by their first four letters."""
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - n + 1, F.lit(1))), lambda i: F.substring("q", i, n))))
+    asked = queries.select("query_id", "q", F.explode(F.array_distinct(grams)).alias("gram"))
+    return values.select("value", F.substring("value", 1, 4).alias("gram")).join(asked, "gram").filter(F.contains("q", F.col("value"))).select("query_id", "value").distinct()
 
 
 def rank_cards(queries: DataFrame, cards: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, rank, card_id, score, coverage, confidence: the best cards for each query text.
 
-    Every query meets every card, as substrings count; Spark broadcasts the smaller side if it is
-    small. Only the best limit of each task and query are shuffled.
+    Points come from what a query and a card share: words of the card's text, each by the best of
+    its matches, and fields and aliases that the query contains. Matches are found between distinct
+    words and distinct values and then carried to the cards that hold them, so no query meets a
+    card with which it shares nothing, and no text is compared twice.
     """
-    q = queries.select("query_id", normalize_text("query").alias("q")).withColumn("q_tokens", search_tokens(F.col("q")))
-    both = q.crossJoin(with_search_text(cards))
-    held = lambda c: F.coalesce((normalize_text(F.col(c).cast("string")) != "") & F.contains("q", normalize_text(F.col(c).cast("string"))), F.lit(False))
-    exact = sum((F.when(held(c), float(n)).otherwise(0.0) for c, n in FIELD_POINTS.items()), F.lit(0.0))
-    exact = exact + 2.0 * F.size(F.filter("aliases", lambda a: F.contains(F.col("q"), a)))
-    hit = lambda t: F.when(F.contains(F.col("haystack"), t), token_weight(t)).when(fuzzy_hit(t, F.col("hay_tokens")), token_weight(t) * 0.65).otherwise(0.0)
-    matched = F.aggregate("q_tokens", F.lit(0.0), lambda a, t: a + hit(t))
-    total = F.aggregate("q_tokens", F.lit(0.0), lambda a, t: a + token_weight(t))
-    scored = both.select("query_id", "card_id", exact.alias("_exact"), matched.alias("_matched"), total.alias("_total"))
+    q = cut(queries.select("query_id", normalize_text("query").alias("q")).withColumn("q_tokens", search_tokens(F.col("q"))))
+    asked = q.select("query_id", F.explode("q_tokens").alias("t")).groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    fields = [F.struct(normalize_text(F.col(c).cast("string")).alias("value"), F.lit(float(n)).alias("points")) for c, n in FIELD_POINTS.items()]
+    shown = with_search_text(cards)
+    values = F.concat(F.array(*fields), F.transform("aliases", lambda a: F.struct(a.alias("value"), F.lit(2.0).alias("points"))))
+    rows = cut(shown.select("card_id", "hay_tokens", F.filter(values, lambda x: F.coalesce(x["value"], F.lit("")) != "").alias("values")))
+
+    postings = rows.select("card_id", F.explode("hay_tokens").alias("v"))
+    matches = token_matches(cut(asked.select("t").distinct()), cut(postings.select("v").distinct()))
+    shares = postings.join(matches, "v").groupBy("t", "card_id").agg(F.max("share").alias("share"))
+    by_word = asked.join(shares, "t").select("query_id", "card_id", F.lit(0.0).alias("exact"), (F.col("n") * token_weight(F.col("t")) * F.col("share")).alias("matched"))
+
+    points = rows.select("card_id", F.inline("values")).groupBy("card_id", "value").agg(F.sum("points").alias("points"))
+    by_field = contained(q, cut(points.select("value").distinct())).join(points, "value").select("query_id", "card_id", F.col("points").alias("exact"), F.lit(0.0).alias("matched"))
+
+    totals = asked.groupBy("query_id").agg(F.sum(F.col("n") * token_weight(F.col("t"))).alias("_total"))
+    scored = by_word.unionByName(by_field).groupBy("query_id", "card_id").agg(F.sum("exact").alias("_exact"), F.sum("matched").alias("_matched")).join(totals, "query_id", "left")
     scored = scored.withColumn("coverage", F.when(F.col("_total") > 0, F.col("_matched") / F.col("_total")).otherwise(0.0))
     scored = scored.withColumn("score", F.round(F.col("_exact") + F.col("_matched") + F.col("coverage") * 8, 6)).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.round("coverage", 6)), "card_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,13 +26,35 @@ def unit(vector: Column, length: int | None = None) -> Column:
     return F.when(fine, F.transform(doubles, lambda x: x / norm))
 
 
-def cosine_search(queries: DataFrame, rows: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows of id and v gathered by hash into blocks of about size rows."""
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors"))
+
+
+def cosine_search(queries: DataFrame, rows: DataFrame, k: int = 10, digits: int = 6, deals: int = 64) -> DataFrame:
     """query_id, rank, id, similarity: the k rows of the highest cosine, clamped to 0 .. 1, for each stated query.
 
-    Both tables have id and v, of unit length. Only k rows of each query and task are shuffled.
+    Both tables have id and v, of unit length and one dimension. Blocks of queries meet blocks of rows, each pair once,
+    as a matrix product; only k rows of each query and block are shuffled.
     """
-    both = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")).crossJoin(rows.select("id", "v"))
-    scored = both.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), digits).alias("cosine"))
+    asked = blocks(queries.select("id", "v"), 512, "q").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    held = blocks(rows.select("id", "v"), 4096, "r").withColumn("_deal", F.pmod("r_block", F.lit(deals)).cast("int"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda column, at: np.array(column[at].as_py(), float)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                q_ids, ids = batch.column("q_ids")[at].as_py(), np.array(batch.column("r_ids")[at].as_py(), np.int64)
+                found = (matrix(batch.column("q_vectors"), at) @ matrix(batch.column("r_vectors"), at).T).round(digits)
+                out: list[tuple[int, int, float]] = []
+                for q, line in zip(q_ids, found, strict=True):
+                    best = np.lexsort((ids, -line))[:k]
+                    out += zip([q] * len(best), ids[best].tolist(), line[best].tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "cosine"])
+
+    pairs = asked.join(held, "_deal").select("q_ids", "q_vectors", "r_ids", "r_vectors")
+    scored = pairs.mapInArrow(score, "query_id bigint, id bigint, cosine double")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")).alias("similarity"))
 
@@ -62,6 +85,13 @@ def hamming_pairs(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
     return met.filter(F.col("at") == first).select("a", "b", "distance")
 
 
+def hash_links(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
+    """a, b, distance: pairs of representatives, the least id of each hash, and each representative with the other rows of its hash, at distance 0."""
+    reps = cut(rows.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
+    members = rows.join(reps.withColumnRenamed("id", "a"), "hash").filter("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return hamming_pairs(reps, most, bits).unionByName(members)
+
+
 def label_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and group, the least id it is linked with over any path: labels spread by joins until none changes."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -11,6 +11,8 @@ from cardloom.operators import vectors as V
 from cardloom.session import table
 
 NOW = "2024-01-20 00:00:00"
+#: Bits in which hashes of near duplicates differ at most.
+DISTANCE = 3
 
 
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +20,13 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of ten stated vectors."""
+    """The ten nearest of every vector whose id is divisible by 20."""
     rows = unit_vectors(spark, sf_dir)
-    return V.cosine_search(rows.filter("id < 10"), rows, 10)
+    return V.cosine_search(rows.filter("id % 20 = 0"), rows, 10)
 
 
 def vector_search_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of those ten, the ones with an even label: the filter comes after the ten are found, so fewer may stay."""
+    """Of those found, the ones with an even label: the filter comes after the ten are found, so fewer may stay."""
     return vector_search(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").filter("label % 2 = 0").select("query_id", "rank", "id", "similarity", "label")
 
 
@@ -38,16 +40,17 @@ def inventory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.sign_hash(F.col("embedding"), 24).alias("hash"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.sign_hash(F.col("embedding"), 64).alias("hash"))
 
 
 def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.hamming_pairs(hashed_vectors(spark, sf_dir), 3, 24)
+    """Links within three of 64 bits between the first vectors of each hash, and the others of each hash."""
+    return V.hash_links(hashed_vectors(spark, sf_dir), DISTANCE)
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of vectors linked by hashes at most three of 24 bits apart."""
-    return V.hash_groups(hashed_vectors(spark, sf_dir), 3, 24)
+    """Groups of vectors linked by hashes at most three of 64 bits apart."""
+    return V.hash_groups(hashed_vectors(spark, sf_dir), DISTANCE)
 
 
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,11 +193,12 @@ QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, inventor
 
 COSINE_SQL = r"""u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64
 ), n AS (SELECT id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u
-), c AS (SELECT q.id AS query_id, r.id, round(list_sum(list_transform(range(1, 65), lambda i: q.e[i] * r.e[i])) / q.norm / r.norm, 6) AS cosine FROM n q, n r WHERE q.id < 10 AND q.norm > 0 AND r.norm > 0
+), c AS (SELECT q.id AS query_id, r.id, round(list_sum(list_transform(range(1, 65), lambda i: q.e[i] * r.e[i])) / q.norm / r.norm, 6) AS cosine FROM n q, n r WHERE q.id % 20 = 0 AND q.norm > 0 AND r.norm > 0
 ), f AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)::INT AS rank, id, greatest(0, least(1, cosine)) AS similarity FROM c
 ), found AS (SELECT * FROM f WHERE rank <= 10)"""
 
-HASH_SQL = r"""h AS (SELECT vec_id AS id, list_transform(embedding[1:24], lambda x: (x > 0)::INT) AS b FROM embeddings
+HASH_SQL = r"""h AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings
+), reps AS (SELECT min(id) AS id, b FROM h GROUP BY b
 ), pairs AS (SELECT x.id AS a, y.id AS b, list_sum(list_transform(range(1, len(x.b) + 1), lambda i: abs(x.b[i] - y.b[i])))::INT AS distance FROM h x JOIN h y ON x.id < y.id
 ), near AS (SELECT * FROM pairs WHERE distance <= 3)"""
 
@@ -230,7 +234,8 @@ ORACLES = {
     "vector_search_active": f"WITH {COSINE_SQL} SELECT found.*, label FROM found JOIN n USING (id) WHERE label % 2 = 0",
     "inventory_rollup": f"""WITH {COSINE_SQL}, s AS (SELECT l_partkey AS id, count(*) AS lines, sum(l_quantity) AS quantity, min(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS low, max(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS high FROM lineitem GROUP BY 1)
       SELECT query_id, rank, found.id, coalesce(lines, 0) AS lines, coalesce(quantity, 0) AS quantity, low, high FROM found LEFT JOIN s ON s.id = found.id WHERE rank <= 3""",
-    "hamming_neighbours": f"WITH {HASH_SQL} SELECT a, b, distance FROM near",
+    "hamming_neighbours": f"""WITH {HASH_SQL} SELECT n.a, n.b, n.distance FROM near n JOIN reps x ON x.id = n.a JOIN reps y ON y.id = n.b
+      UNION ALL SELECT r.id, h.id, 0 FROM h JOIN reps r USING (b) WHERE h.id <> r.id""",
     "duplicate_groups": f"""WITH RECURSIVE {HASH_SQL}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r AS (SELECT id, id AS reach FROM h UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
       SELECT id, min(reach) AS "group" FROM r GROUP BY id""",
     "split_assignment": f"WITH {SPLIT_SQL} SELECT doc_id, family, split, row_split FROM splits",
