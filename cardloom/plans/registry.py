@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from cardloom.plans import catalog, market, portfolio, systems  # noqa: E402
+from cardloom.plans import catalog, imports, market, portfolio, systems  # noqa: E402
 
-MODULES: tuple = (market, portfolio, catalog, systems)
+MODULES: tuple = (market, portfolio, catalog, systems, imports)
 
 
 def queries() -> dict[str, Query]:
