@@ -156,7 +156,7 @@ def capture_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def open_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = scan_files(spark, sf_dir).select(F.concat_ws("/", "folder", P.base_of(F.col("name"))).alias("identity"), F.pmod("doc_id", F.lit(4)).alias("group"), P.side_of(F.col("name")).alias("side")).filter("side IS NOT NULL")
+    views = scan_files(spark, sf_dir).select(F.concat_ws("/", "folder", P.base_of(F.col("name"))).alias("identity"), F.floor(F.col("doc_id") / 20).alias("group"), P.side_of(F.col("name")).alias("side")).filter("side IS NOT NULL")
     return P.open_sides(views)
 
 
@@ -229,8 +229,8 @@ def corrected_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = sales(spark, sf_dir).groupBy("card_id").agg(F.round(F.avg("all_in"), 2).alias("value"))
-    order = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 2500).alias("card_id"), F.when(F.col("o_orderkey") % 2 == 0, "above").otherwise("below").alias("direction"), F.round(F.col("o_totalprice") / 100, 2).alias("target"))
+    values = sales(spark, sf_dir).groupBy("card_id").agg(F.round(F.avg("all_in"), 4).alias("value"))
+    order = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 2500).alias("card_id"), F.when(F.col("o_orderkey") % 2 == 0, "above").otherwise("below").alias("direction"), (F.col("o_totalprice") / 100).alias("target"))
     return R.watch_triggers(order, values)
 
 
@@ -324,8 +324,8 @@ FILES_SQL = rf"""f AS (SELECT doc_id, source AS folder, doc_id // 60 AS n, (doc_
 IMAGES_SQL = rf"""{SALES_SQL}, i AS (SELECT card_id + CASE WHEN seen[2] = 5 THEN 1000000000 ELSE 0 END AS card_id, raw_id, basis, {pick_sql(IMAGE_URLS, 'card_id')} AS u, card_id % 5 AS k FROM sales
 ), j AS (SELECT i.*, {pick_sql(['images.example.com', None, 'cdn.example.org', 'example.organic', None], 'k')} AS host, CASE WHEN card_id NOT IN (SELECT p_partkey FROM part) THEN 'unknown_card' WHEN k NOT IN (0, 2) THEN 'host_not_allowed' WHEN basis = 'scraped' THEN 'not_authorized' END AS reason FROM i)"""
 
-WATCH_SQL = rf"""{SALES_SQL}, v AS (SELECT card_id, round(avg(all_in), 2) AS value FROM sales GROUP BY card_id
-), w0 AS (SELECT o_custkey AS owner, o_orderkey % 2500 AS card_id, CASE WHEN o_orderkey % 2 = 0 THEN 'above' ELSE 'below' END AS direction, round(o_totalprice / 100, 2) AS target FROM orders
+WATCH_SQL = rf"""{SALES_SQL}, v AS (SELECT card_id, round(avg(all_in), 4) AS value FROM sales GROUP BY card_id
+), w0 AS (SELECT o_custkey AS owner, o_orderkey % 2500 AS card_id, CASE WHEN o_orderkey % 2 = 0 THEN 'above' ELSE 'below' END AS direction, o_totalprice / 100 AS target FROM orders
 ), w AS (SELECT w0.*, value, coalesce(CASE direction WHEN 'above' THEN value >= target ELSE value <= target END, false) AS triggered FROM w0 LEFT JOIN v USING (card_id))"""
 
 
@@ -371,7 +371,7 @@ ORACLES = {
       SELECT doc_id, family, CASE WHEN k < 70 THEN 'train' WHEN k < 90 THEN 'valid' ELSE 'test' END AS split FROM y""",
     "capture_neighbours": """WITH v AS (SELECT user_id, event_id AS id, floor(epoch(ts))::BIGINT AS at_s, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT AS h FROM events), m AS (SELECT a.id, b.id AS other, bit_count(xor(a.h, b.h))::INT AS distance FROM v a JOIN v b ON a.user_id = b.user_id AND a.id <> b.id AND abs(a.at_s - b.at_s) <= 600
       ), r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY distance, other)::INT AS rank, other, distance FROM m WHERE distance <= 14) SELECT * FROM r WHERE rank <= 8""",
-    "open_sides": f"""WITH {FILES_SQL}, g AS (SELECT folder || '/' || base AS identity, doc_id % 4 AS g, bool_or(side = 'front') AS f, bool_or(side = 'back') AS b FROM s WHERE side IS NOT NULL GROUP BY ALL)
+    "open_sides": f"""WITH {FILES_SQL}, g AS (SELECT folder || '/' || base AS identity, doc_id // 20 AS g, bool_or(side = 'front') AS f, bool_or(side = 'back') AS b FROM s WHERE side IS NOT NULL GROUP BY ALL)
       SELECT x.identity, x.g AS "group", y.g AS other FROM g x JOIN g y ON x.identity = y.identity AND x.f AND NOT x.b AND y.b AND NOT y.f""",
     "path_rules": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path, page_id % 3 AS k FROM pages)
       SELECT page_id, path, CASE WHEN k = 2 AND (starts_with(path, '/fr') OR starts_with(path, '/p')) THEN 'disallowed_by_policy' WHEN k = 1 AND NOT (starts_with(path, '/en') OR starts_with(path, '/de')) THEN 'not_in_allowed_paths'
