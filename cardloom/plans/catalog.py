@@ -213,7 +213,7 @@ ORACLES = {
     "listing_rejections": f"WITH {TITLES_SQL} SELECT coalesce(reason, 'valid') AS reason, count(*) AS titles FROM judged_titles GROUP BY ALL",
     "sale_evidence": rf"""WITH {CARDS_SQL}, e AS (SELECT card_id, card_number AS n FROM cards)
       SELECT card_id, (['eBay', 'Whatnot', 'COMC', 'Goldin', 'Manual'])[card_id % 5 + 1] AS house, {_money("5 + card_id * 1.25::DOUBLE")} AS price, CASE WHEN card_id % 3 = 0 THEN 4.99::DOUBLE ELSE 0 END AS shipping, 0.0::DOUBLE AS premium,
-        CASE WHEN card_id % 4 <> 0 THEN '2024-03-15' END AS sold_on, 'PSA' AS grader, n AS card_number, CASE WHEN card_id % 6 = 0 THEN '12/99' END AS serial, CASE WHEN card_id % 4 <> 0 THEN 2024 END AS year,
+        CASE WHEN card_id % 4 <> 0 THEN '2024-03-15' END AS sold_on, 'PSA' AS grader, 9.0::DOUBLE AS grade_value, NULL::VARCHAR AS cert, n AS card_number, CASE WHEN card_id % 6 = 0 THEN '12/99' END AS serial, CASE WHEN card_id % 4 <> 0 THEN 2024 END AS year,
         CASE WHEN card_id % 2 = 0 THEN 'https://example.com/itm/1' END AS url, (22 + CASE WHEN card_id % 4 <> 0 THEN 20 ELSE 0 END + 16 + 12 + 8 + 8 + CASE WHEN card_id % 2 = 0 THEN 8 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM e""",
     "sale_upsert": f"WITH {UPSERT_SQL} SELECT provider, raw_id, price, verified, action FROM merged",
     "sale_upsert_counts": f'WITH {UPSERT_SQL} SELECT action, count(*) AS "rows" FROM merged GROUP BY action',

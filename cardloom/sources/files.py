@@ -27,8 +27,8 @@ def header_line(spark: SparkSession, path: str, names: list[str], first: int = 2
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """One CSV folder in the given column order; cells with commas, quotes or line ends are quoted."""
-    rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n").csv(path)
+    """One CSV folder in the given column order; cells with commas, quotes or line ends are quoted, rows end with CRLF."""
+    rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
 def read_records(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("data", "cards", "checklist")) -> DataFrame:

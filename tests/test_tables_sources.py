@@ -45,6 +45,12 @@ def test_titles_and_evidence(spark):
     assert (r["house"], r["price"], r["shipping"], r["sold_on"], r["grader"], r["card_number"], r["year"], r["url"]) == ("eBay", 1234.5, 5.0, "2024-02-03", "BGS", "311", 1952, "http://e.co/x")
 
 
+def test_dates_and_certificates_of_evidence(spark):
+    texts = ["sold 3/7/2024 PSA cert # 12345678 total: $5", "BGS 9.5 on March 7, 2024", "CSG mar. 7 2024 price $1,000.5", "13/45/2024"]
+    got = [(r["sold_on"], r["grader"], r["grade_value"], r["cert"], r["price"]) for r in parse_evidence(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert got == [("2024-03-07", "PSA", None, "12345678", 5.0), ("2024-03-07", "BGS", 9.5, None, None), ("2024-03-07", "CSG", None, None, 1000.5), (None, None, None, None, None)]
+
+
 def test_bands_find_all_pairs_within_the_distance(spark):
     hashes = [(i, (i * 2654435761) % 4096) for i in range(120)]
     got = {tuple(r) for r in V.hamming_pairs(spark.createDataFrame(hashes, "id bigint, hash bigint"), 2, 12).collect()}
@@ -75,6 +81,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"id": 1, "authorization_state": "PROHIBITED"}\n{"id": 2}\n')
     assert [r["id"] for r in S.read_manifest(spark, str(tmp_path / "m.jsonl"), "id int, authorization_state string").collect()] == [2]
     S.write_csv(spark.createDataFrame([("a,b", 1)], "x string, y int"), str(tmp_path / "out"), ["y", "x"])
+    assert b"\r\n" in next((tmp_path / "out").glob("*.csv")).read_bytes()
     assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "out")).collect()] == [("1", "a,b")]
 
 
