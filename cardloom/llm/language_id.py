@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.text import text_or_empty
-from cardloom.session import table
+from cardloom.session import table, written
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -62,7 +62,8 @@ def dictionaries(rows: DataFrame, dict_bytes: int, max_bytes: int, rows_per_lang
     likely = narrow.join(counts, ["_lang", "_long"]).filter(place * F.col("_n") < 4 * rows_per_language + 64)
     first = Window.partitionBy("_lang").orderBy("_long", "_hash", "_key")
     picked = likely.withColumn("_turn", F.row_number().over(first)).filter(F.col("_turn") <= rows_per_language).select("_key", "_lang", "_turn")
-    sample = known.join(picked, ["_key", "_lang"]).groupBy("_lang", "_turn").agg(F.max("_text").alias("_text"))
+    # written, so that its size is known: texts move only if these ids are too many to send to every task
+    sample = known.join(written(picked), ["_key", "_lang"]).groupBy("_lang", "_turn").agg(F.max("_text").alias("_text"))
     rows_of: dict[str, int] = {}
     for name, n in counts.groupBy("_lang").agg(F.sum("_n")).collect():
         rows_of[name] = n
