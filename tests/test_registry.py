@@ -21,7 +21,7 @@ def same(a, b):
     return sorted(map(lambda r: tuple(map(plain, r)), a)) == sorted(map(lambda r: tuple(map(plain, r)), b))
 
 
-@pytest.mark.parametrize("name", ["card_valuation", "portfolio_metrics", "decision_signals", "catalog_search", "sale_upsert", "event_intake", "task_readiness"])
+@pytest.mark.parametrize("name", ["card_valuation", "portfolio_metrics", "decision_signals", "catalog_search", "sale_upsert", "event_intake", "task_readiness", "vector_search", "hamming_neighbours", "normalized_sales", "parsed_certificates", "survey_summaries", "scan_pairs", "visual_rerank", "evidence_ledger", "recognition_decisions", "card_aware_sales"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -123,3 +123,32 @@ def test_duplicate_groups_match_sql(spark):
     con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
     expected = con.execute(f'SELECT id, "group" FROM ({entry.oracle_sql()["duplicate_groups"]})').fetchall()
     assert sorted(map(tuple, entry.queries()["duplicate_groups"](spark, "/root/testdata/sf0.001").select("id", "group").collect())) == sorted(expected)
+
+
+def test_hash_links_keep_copies_as_members(spark):
+    rows = [(i, 7) for i in range(1, 40)] + [(50, 6), (60, -1), (70, None)]
+    found = sorted(map(tuple, V.hash_links(spark.createDataFrame(rows, "id bigint, hash bigint"), 3).collect()))
+    assert found == sorted([(1, i, 0) for i in range(2, 40)] + [(1, 50, 1)])
+
+
+def test_token_matches_follow_all_pairs(spark):
+    from cardloom.operators.catalog import token_matches
+
+    asked = ["ab", "rose", "roses", "diamonds", "xiamonds", "dimondz", "12", "prose"]
+    held = ["rose", "a", "ab", "cab", "diamond", "diamonds", "prosecco", "ros", "1234", "roze", "dxamonds"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    def share(t, v):
+        near = len(t) >= 4 and (v.startswith(t) or t.startswith(v) or edits(t, v) <= (2 if len(t) >= 8 else 1))
+        return 1.0 if t in v else 0.65 if near and len(v) > 1 else None
+
+    frame = lambda words, name: spark.createDataFrame([(w,) for w in words], f"{name} string")
+    found = {(r["t"], r["v"]): r["share"] for r in token_matches(frame(asked, "t"), frame(held, "v")).collect()}
+    assert found == {(t, v): share(t, v) for t in asked for v in held if share(t, v)}
