@@ -136,7 +136,7 @@ class Pieces:
         if self.one_space:
             text, begins = self.single_spaced(text, begins)
         if self.dummy_prefix and (text if self.one_space else source):
-            text, begins = " " + text, np.concatenate([begins[:1], begins])
+            text, begins = " " + text, np.concatenate([[self.spaces_in_front(source) if self.one_space else 0], begins])
         return text.replace(" ", SPACE_MARK), begins
 
     def replaced(self, source: str, begins: np.ndarray) -> tuple[str, np.ndarray]:
@@ -155,6 +155,16 @@ class Pieces:
             done = int(np.searchsorted(begins, begins[at] + width))
         return "".join(letters) + source[done:], np.concatenate([*places, begins[done:]])
 
+    def spaces_in_front(self, source: str) -> int:
+        """The bytes in front of a text that stand for spaces."""
+        body, at = source.encode(), 0
+        while at < len(body):
+            width, text = (self.map.units and self.map.longest(body, at)) or (1, chr(body[at]))
+            if text != " ":
+                break
+            at += width
+        return at
+
     @staticmethod
     def single_spaced(text: str, begins: np.ndarray) -> tuple[str, np.ndarray]:
         """Without spaces in front and after a space, and without spaces and marks at the end."""
