@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import language_id, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, sentencepieces, sharding, topk, toxicity, url_filter
+from cardloom.llm import conversation_repair, language_id, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, sentencepieces, sharding, topk, toxicity, url_filter
 
-MODULES = (packing, mixing, near_dedup, topk, line_dedup, url_filter, toxicity, quality, language_id, sharding, sentencepieces, periodic_runs)
+MODULES = (packing, mixing, near_dedup, topk, line_dedup, url_filter, toxicity, quality, language_id, sharding, sentencepieces, conversation_repair, periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
