@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.functions.expr import choose, clamp, natural_key, normalize_text
+from cardloom.functions.expr import choose, natural_key, normalize_text
 from cardloom.session import cut
 
 #: Points when a query contains a field.
@@ -32,7 +32,7 @@ def with_search_text(cards: DataFrame) -> DataFrame:
 
 
 def token_weight(token: Column) -> Column:
-    return F.when(F.length(token) >= 8, 3.0).when(F.length(token) >= 5, 2.0).otherwise(1.0)
+    return F.when(F.length(token) >= 8, 3).when(F.length(token) >= 5, 2).otherwise(1)
 
 
 def without_letters(word: Column, most: Column) -> Column:
@@ -70,37 +70,111 @@ def contained(queries: DataFrame, values: DataFrame) -> DataFrame:
     return values.select("value", F.substring("value", 1, 4).alias("gram")).join(asked, "gram").filter(F.contains("q", F.col("value"))).select("query_id", "value").distinct()
 
 
-def rank_cards(queries: DataFrame, cards: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, rank, card_id, score, coverage, confidence: the best cards for each query text.
+def search_features(queries: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What may earn points, apart from any pair of a query and a card: queries, cards and features.
 
-    Points come from what a query and a card share: words of the card's text, each by the best of
-    its matches, and fields and aliases that the query contains. Matches are found between distinct
-    words and distinct values and then carried to the cards that hold them, so no query meets a
-    card with which it shares nothing, and no text is compared twice.
+    queries: query_id, total, terms (points, and the catalog words that match it in full or nearly), values
+    (those it contains). cards: card_id, hay_tokens, values with their points. features: query_id, kind, part, reach (how
+    many cards it leads to, counted again for each catalog word), bound (the most points it can bring in hundredths) and
+    counts (whether they count for coverage). Points are whole hundredths, so their sums are exact in any order.
     """
     q = cut(queries.select("query_id", normalize_text("query").alias("q")).withColumn("q_tokens", search_tokens(F.col("q"))))
-    asked = q.select("query_id", F.explode("q_tokens").alias("t")).groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("n"))
-    fields = [F.struct(normalize_text(F.col(c).cast("string")).alias("value"), F.lit(float(n)).alias("points")) for c, n in FIELD_POINTS.items()]
+    asked = q.select("query_id", F.explode("q_tokens").alias("t")).groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("points", F.col("n") * token_weight(F.col("t")))
+    fields = [F.struct(normalize_text(F.col(c).cast("string")).alias("value"), F.lit(100 * n).alias("points")) for c, n in FIELD_POINTS.items()]
     shown = with_search_text(cards)
-    values = F.concat(F.array(*fields), F.transform("aliases", lambda a: F.struct(a.alias("value"), F.lit(2.0).alias("points"))))
+    values = F.concat(F.array(*fields), F.transform("aliases", lambda a: F.struct(a.alias("value"), F.lit(200).alias("points"))))
     rows = cut(shown.select("card_id", "hay_tokens", F.filter(values, lambda x: F.coalesce(x["value"], F.lit("")) != "").alias("values")))
 
-    postings = rows.select("card_id", F.explode("hay_tokens").alias("v"))
-    matches = token_matches(cut(asked.select("t").distinct()), cut(postings.select("v").distinct()))
-    shares = postings.join(matches, "v").groupBy("t", "card_id").agg(F.max("share").alias("share"))
-    by_word = asked.join(shares, "t").select("query_id", "card_id", F.lit(0.0).alias("exact"), (F.col("n") * token_weight(F.col("t")) * F.col("share")).alias("matched"))
+    held = cut(rows.select(F.explode("hay_tokens").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("df")))
+    matches = token_matches(cut(asked.select("t").distinct()), held.select("v")).join(held, "v")
+    of = lambda share: F.collect_list(F.when(F.col("share") == share, F.col("v")))
+    words = cut(matches.groupBy("t").agg(of(1.0).alias("full"), of(0.65).alias("near"), F.sum("df").alias("reach"), (F.max("share") * 100).cast("long").alias("share")))
+    terms = asked.join(words, "t")
+    points = cut(rows.select("card_id", F.inline("values")).groupBy("card_id", "value").agg(F.sum("points").alias("points")).groupBy("value").agg(F.count(F.lit(1)).alias("reach"), F.max("points").alias("points")))
+    inside = cut(contained(q, points.select("value")).join(points, "value"))
+
+    features = terms.select("query_id", F.lit("word").alias("kind"), F.col("t").alias("part"), "reach", (F.col("points") * F.col("share")).alias("bound"), F.lit(True).alias("counts"))
+    features = features.unionByName(inside.select("query_id", F.lit("value").alias("kind"), F.col("value").alias("part"), "reach", F.col("points").cast("long").alias("bound"), F.lit(False).alias("counts")))
+    totals = asked.groupBy("query_id").agg((F.sum("points") * 100).alias("total"))
+    per_query = q.select("query_id").join(totals, "query_id", "left").join(terms.groupBy("query_id").agg(F.collect_list(F.struct("points", "full", "near")).alias("terms")), "query_id", "left")
+    per_query = per_query.join(inside.groupBy("query_id").agg(F.collect_list("value").alias("values")), "query_id", "left").withColumn("total", F.coalesce("total", F.lit(1)))
+    return cut(per_query.withColumnRenamed("values", "q_values")), rows, cut(features)
+
+
+def candidate_pairs(features: DataFrame, rows: DataFrame, words: DataFrame) -> DataFrame:
+    """query_id, card_id, gain: the cards that the given features lead to, and the most that these features bring; words has t, the catalog words v that match it, and the part of t's points that each brings."""
+    leads = features.filter("kind = 'word'").select("query_id", "gain", F.col("part").alias("t")).join(words, "t")
+    by_word = leads.join(rows.select("card_id", F.explode("hay_tokens").alias("v")), "v").select("query_id", "card_id", F.concat(F.lit("w"), "t").alias("part"), (F.col("gain") * F.col("ratio")).alias("gain"))
+    by_word = by_word.groupBy("query_id", "card_id", "part").agg(F.max("gain").alias("gain"))
+    held = rows.select("card_id", F.explode(F.array_distinct(F.transform("values", lambda x: x["value"]))).alias("part"))
+    by_value = features.filter("kind = 'value'").select("query_id", "part", "gain").join(held, "part").select("query_id", "card_id", "part", "gain")
+    return by_word.union(by_value).groupBy("query_id", "card_id").agg(F.sum("gain").alias("gain"))
+
+
+def scored_pairs(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs with all their points: exact and matched (hundredths), total, score_6 and coverage_6 (millionths, halves up)."""
+    met = pairs.join(queries, "query_id").join(rows, "card_id")
+    share = lambda t: F.when(F.arrays_overlap(t["full"], "hay_tokens"), 100).when(F.arrays_overlap(t["near"], "hay_tokens"), 65).otherwise(0)
+    zero = F.lit(0).cast("long")
+    matched = F.coalesce(F.aggregate("terms", zero, lambda s, t: s + t["points"] * share(t)), zero)
+    exact = F.coalesce(F.aggregate(F.filter("values", lambda x: F.array_contains("q_values", x["value"])), zero, lambda s, x: s + x["points"]), zero)
+    out = met.select("query_id", "card_id", "total", exact.alias("exact"), matched.alias("matched"))
+    return out.select(
+        "*",
+        F.expr("(2 * ((exact + matched) * 10000 * total + 8000000 * matched) + total) div (2 * total)").alias("score_6"),
+        F.expr("(2000000 * matched + total) div (2 * total)").alias("coverage_6"),
+    ).filter("exact + matched > 0")
+
+
+def best_of(scored: DataFrame, limit: int) -> DataFrame:
+    """query_id and the limit-th best score, a little less, as a bound that only equals it could still win a tie; no row for queries with fewer."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score_6")))
+    return scored.withColumn("_place", place).filter(F.col("_place") == limit).select("query_id", (F.col("score_6") / 1e6 - 1e-5).alias("_floor"))
+
 
-    points = rows.select("card_id", F.inline("values")).groupBy("card_id", "value").agg(F.sum("points").alias("points"))
-    by_field = contained(q, cut(points.select("value").distinct())).join(points, "value").select("query_id", "card_id", F.col("points").alias("exact"), F.lit(0.0).alias("matched"))
+def rank_cards(queries: DataFrame, cards: DataFrame, limit: int = 20) -> DataFrame:
+    """query_id, rank, card_id, score, coverage, confidence: the best cards for each query text.
 
-    totals = asked.groupBy("query_id").agg(F.sum(F.col("n") * token_weight(F.col("t"))).alias("_total"))
-    scored = by_word.unionByName(by_field).groupBy("query_id", "card_id").agg(F.sum("exact").alias("_exact"), F.sum("matched").alias("_matched")).join(totals, "query_id", "left")
-    scored = scored.withColumn("coverage", F.when(F.col("_total") > 0, F.col("_matched") / F.col("_total")).otherwise(0.0))
-    scored = scored.withColumn("score", F.round(F.col("_exact") + F.col("_matched") + F.col("coverage") * 8, 6)).filter("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.round("coverage", 6)), "card_id")
+    Points come from what a query and a card share: words of the card's text, each by the best of
+    its matches, and fields and aliases that the query contains. Each of these features leads to the cards that hold it and can bring
+    a known number of points at most. The rarest features of a query give first candidates, and the limit-th best of these a floor.
+    Features are then taken from the rarest on until all that are left together can't reach the floor, so
+    a word that every card holds adds points to candidates but finds none. Of the cards found, those that can bring most are
+    scored next, which raises the floor, and the others only if the features that found them, with
+    all that are left, can reach it. Where the floor is low more features are taken, up to all of them; the result is exact.
+    """
+    asked, rows, features = search_features(queries, cards)
+    words = cut(asked.select(F.explode("terms").alias("x")).select(F.explode(F.concat("x.full", "x.near")).alias("v")).distinct())
+    words = token_matches(cut(features.filter("kind = 'word'").select(F.col("part").alias("t")).distinct()), words)
+    words = cut(words.withColumn("ratio", F.col("share") / F.max("share").over(Window.partitionBy("t"))).select("t", "v", "ratio"))
+    rising = Window.partitionBy("query_id").orderBy("reach", "kind", "part")
+    gain = F.col("bound") / 100 + F.when(F.col("counts"), 8.0 * F.col("bound") / F.col("total")).otherwise(0.0)
+    ordered = features.join(asked.select("query_id", "total"), "query_id").select(
+        "query_id", "kind", "part", gain.alias("gain"),
+        (F.sum("reach").over(rising) - F.col("reach")).alias("_before"),
+        F.sum(gain).over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_rest"),
+    )
+    ordered = cut(ordered)
+    floor_of = lambda scored: asked.select("query_id").join(best_of(scored, limit), "query_id", "left").select("query_id", F.coalesce("_floor", F.lit(0.0)).alias("_floor"))
+    first = cut(scored_pairs(candidate_pairs(ordered.filter(F.col("_before") < 4 * limit), rows, words).drop("gain"), asked, rows))
+    later = cut(ordered.filter(F.col("_before") >= 4 * limit).join(floor_of(first), "query_id"))
+    # a third of the floor: with less left to the commonest features, the bounds of cards tell more
+    needed, passed = later.filter(F.col("_rest") >= F.col("_floor") / 3), later.filter(F.col("_rest") < F.col("_floor") / 3)
+    left = asked.select("query_id").join(passed.groupBy("query_id").agg(F.max("_rest").alias("_left")), "query_id", "left")
+    hopes = candidate_pairs(needed, rows, words).join(first.select("query_id", "card_id"), ["query_id", "card_id"], "left_anti").join(left, "query_id")
+    hopes = hopes.select("query_id", "card_id", (F.col("gain") + F.coalesce("_left", F.lit(0.0))).alias("_hope"))
+    hopes = cut(hopes.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_hope"), "card_id"))))
+    second = cut(first.unionByName(scored_pairs(hopes.filter(F.col("_place") <= 2 * limit).select("query_id", "card_id"), asked, rows)))
+    third = hopes.filter(F.col("_place") > 2 * limit).join(floor_of(second), "query_id").filter(F.col("_hope") >= F.col("_floor"))
+    scored = second.unionByName(scored_pairs(third.select("query_id", "card_id"), asked, rows))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score_6"), F.desc("coverage_6"), "card_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    sure = clamp(F.lit(0.28) + F.col("score") * 0.025 + F.col("coverage") * 0.32 - (F.col("rank") - 1) * 0.025, 0.2, 0.99)
-    return ranked.select("query_id", "rank", "card_id", "score", F.round("coverage", 4).alias("coverage"), F.round(sure, 4).alias("confidence"))
+    # ten-thousandths of 0.28 + 0.025 * score + 0.32 * coverage - 0.025 for each rank after the first, halves up
+    sure = F.expr("(2 * ((5600 - 500 * (rank - 1)) * total + 5 * total * (exact + matched) + 10400 * matched) + 2 * total) div (4 * total)")
+    return ranked.select(
+        "query_id", "rank", "card_id", (F.col("score_6") / 1e6).alias("score"), (F.expr("(20000 * matched + total) div (2 * total)") / 1e4).alias("coverage"),
+        (F.greatest(F.lit(2000), F.least(F.lit(9900), sure)) / 1e4).alias("confidence"),
+    )
 
 
 def resolve(ranked: DataFrame) -> DataFrame:

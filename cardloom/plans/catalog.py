@@ -160,17 +160,18 @@ RANKED_SQL = rf"""{CARDS_SQL}, q AS (
 ), hay AS (SELECT *, {NORM("concat_ws(' ', year::VARCHAR, brand, set_name, player, card_number, grader, grade::VARCHAR, sport, list_aggregate(list_sort(aliases), 'string_agg', ' '))")} AS h FROM al
 ), hs AS (SELECT *, list_distinct(list_filter(string_split(h, ' '), lambda t: length(t) >= 2)) AS ht FROM hay
 ), pairs AS (
-  SELECT query_id, card_id, toks, h, ht, 12.0 * contains(q, {NORM("player")})::INT + 5 * contains(q, year::VARCHAR)::INT + 5 * contains(q, card_number)::INT + 5 * contains(q, {NORM("set_name")})::INT + 3 * contains(q, {NORM("brand")})::INT
-    + 3 * contains(q, lower(grader))::INT + 3 * contains(q, {NORM("grade::VARCHAR")})::INT + 2 * len(list_filter(aliases, lambda a: contains(q, a))) AS exact FROM qt, hs
+  SELECT query_id, card_id, toks, h, ht, 100 * (12 * contains(q, {NORM("player")})::INT + 5 * contains(q, year::VARCHAR)::INT + 5 * contains(q, card_number)::INT + 5 * contains(q, {NORM("set_name")})::INT + 3 * contains(q, {NORM("brand")})::INT
+    + 3 * contains(q, lower(grader))::INT + 3 * contains(q, {NORM("grade::VARCHAR")})::INT + 2 * len(list_filter(aliases, lambda a: contains(q, a)))) AS e FROM qt, hs
 ), toks AS (
-  SELECT query_id, card_id, exact, unnest(toks) AS t, h, ht FROM pairs
+  SELECT query_id, card_id, e, unnest(toks) AS t, h, ht FROM pairs
 ), weighed AS (
-  SELECT *, CASE WHEN length(t) >= 8 THEN 3.0::DOUBLE WHEN length(t) >= 5 THEN 2.0 ELSE 1.0 END AS w,
-    CASE WHEN contains(h, t) THEN 1.0::DOUBLE WHEN length(t) >= 4 AND len(list_filter(ht, lambda c: starts_with(c, t) OR starts_with(t, c) OR levenshtein(t, c) <= CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END)) > 0 THEN 0.65 ELSE 0 END AS f FROM toks
-), sums AS (SELECT query_id, card_id, any_value(exact) AS exact, sum(w * f) AS m, sum(w) AS tot FROM weighed GROUP BY 1, 2
-), scored AS (SELECT *, m / tot AS cov, round(exact + m + m / tot * 8, 6) AS score FROM sums
-), ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(cov, 6) DESC, card_id)::INT AS rank FROM scored WHERE score > 0
-), ranked AS (SELECT query_id, rank, card_id, score, round(cov, 4) AS coverage, round(least(0.99::DOUBLE, greatest(0.2::DOUBLE, 0.28::DOUBLE + score * 0.025::DOUBLE + cov * 0.32::DOUBLE - (rank - 1) * 0.025::DOUBLE)), 4) AS confidence FROM ranks)"""
+  SELECT *, CASE WHEN length(t) >= 8 THEN 3 WHEN length(t) >= 5 THEN 2 ELSE 1 END AS w,
+    CASE WHEN contains(h, t) THEN 100 WHEN length(t) >= 4 AND len(list_filter(ht, lambda c: starts_with(c, t) OR starts_with(t, c) OR levenshtein(t, c) <= CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END)) > 0 THEN 65 ELSE 0 END AS f FROM toks
+), sums AS (SELECT query_id, card_id, any_value(e)::BIGINT AS e, sum(w * f)::BIGINT AS m, sum(w * 100)::BIGINT AS t FROM weighed GROUP BY 1, 2
+), scored AS (SELECT *, (2 * ((e + m) * 10000 * t + 8000000 * m) + t) // (2 * t) AS s6, (2000000 * m + t) // (2 * t) AS c6 FROM sums
+), ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, c6 DESC, card_id)::INT AS rank FROM scored WHERE e + m > 0
+), ranked AS (SELECT query_id, rank, card_id, s6 / 1e6::DOUBLE AS score, ((20000 * m + t) // (2 * t)) / 1e4::DOUBLE AS coverage,
+    least(9900, greatest(2000, (2 * ((5600 - 500 * (rank - 1)) * t + 5 * t * (e + m) + 10400 * m) + 2 * t) // (4 * t))) / 1e4::DOUBLE AS confidence FROM ranks)"""
 
 TITLES_SQL = rf"""{CARDS_SQL}, titles AS (
   SELECT card_id, card_number, array_to_string(list_transform(string_split(player, ' '), lambda w: upper(w[1]) || w[2:]), ' ')
