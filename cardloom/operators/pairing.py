@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.expr import natural_key
-from cardloom.operators.vectors import hamming
+
 
 #: Words in a file name that mark a side; words at its end that do not tell families apart.
 FRONT = ["front", "f", "obverse", "a"]
@@ -69,7 +69,7 @@ def capture_neighbours(views: DataFrame, seconds: int = 240, bits: int = 24, k:
     span = views.withColumn("_span", F.floor(F.col("at") / seconds))
     others = span.select("owner", F.col("id").alias("other"), F.col("at").alias("_at"), F.col("hash").alias("_hash"), F.explode(F.array(F.col("_span") - 1, F.col("_span"), F.col("_span") + 1)).alias("_span"))
     met = span.join(others, ["owner", "_span"]).filter(F.col("id") != F.col("other")).filter(F.abs(F.col("at") - F.col("_at")) <= seconds)
-    near = met.withColumn("distance", hamming(F.col("hash"), F.col("_hash"))).filter(F.col("distance") <= bits)
+    near = met.withColumn("distance", F.bit_count(F.col("hash").bitwiseXOR(F.col("_hash")))).filter(F.col("distance") <= bits)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "other", "distance")
 

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.session import cut
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -59,62 +58,6 @@ def cosine_search(queries: DataFrame, rows: DataFrame, k: int = 10, digits: int
     return ranked.select("query_id", "rank", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")).alias("similarity"))
 
 
-def sign_hash(vector: Column, bits: int = 64) -> Column:
-    """One bit for the sign of each of the first components."""
-    signs = F.transform(F.slice(vector, 1, bits), lambda x, at: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(signs, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-
-def hamming(left: Column, right: Column) -> Column:
-    return F.bit_count(left.bitwiseXOR(right))
-
-
-def hamming_pairs(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """a, b, distance: pairs of id with hashes at most this far apart.
-
-    A hash is cut into most + 1 bands; two hashes within most differ in no bit of one band at least,
-    so pairs meet by an equal band, each pair in its first common one.
-    """
-    n = most + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-    band = lambda h, i: F.shiftrightunsigned(h, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    bands = rows.select("id", "hash", F.posexplode(F.array(*[band(F.col("hash"), i) for i in range(n)])).alias("at", "key"))
-    left, right = bands.select(F.col("id").alias("a"), F.col("hash").alias("x"), "at", "key"), bands.select(F.col("id").alias("b"), F.col("hash").alias("y"), "at", "key")
-    met = left.join(right, ["at", "key"]).filter("a < b").withColumn("distance", hamming(F.col("x"), F.col("y"))).filter(F.col("distance") <= most)
-    first = F.coalesce(*[F.when(band(F.col("x"), i) == band(F.col("y"), i), F.lit(i)) for i in range(n)])
-    return met.filter(F.col("at") == first).select("a", "b", "distance")
-
-
-def hash_links(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """a, b, distance: pairs of representatives, the least id of each hash, and each representative with the other rows of its hash, at distance 0."""
-    reps = cut(rows.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
-    members = rows.join(reps.withColumnRenamed("id", "a"), "hash").filter("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return hamming_pairs(reps, most, bits).unionByName(members)
-
-
-def label_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and group, the least id it is linked with over any path: labels spread by joins until none changes."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = cut(nodes.select("id", F.col("id").alias("group")))
-    while True:
-        offered = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("_offer"))
-        after = cut(now.join(offered, "id", "left").select("id", F.least("group", "_offer").alias("group"), (F.col("_offer") < F.col("group")).alias("_moved")))
-        if not after.filter("_moved").limit(1).count():
-            return after.drop("_moved")
-        now = after.drop("_moved")
-
-
-def hash_groups(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """id and group, the least id linked over hashes at most this far apart; a row without a hash stands alone.
-
-    Rows of one hash are one representative, the least id; only representatives meet by bands.
-    """
-    rows = cut(rows.select("id", "hash"))
-    reps = cut(rows.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
-    groups = label_groups(reps, hamming_pairs(reps, most, bits)).join(reps, "id").select("hash", "group")
-    return rows.join(groups, "hash", "left").select("id", F.coalesce("group", "id").alias("group"))
-
-
 def joined_hashes(rows: DataFrame, by: str, hashed: str) -> DataFrame:
     """by and group_hash: the sha256 of each group's hashes, sorted and joined by '|', copies as often as they occur.
 

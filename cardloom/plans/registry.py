@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from cardloom.plans import catalog, imports, market, portfolio, recognition, systems  # noqa: E402
+from cardloom.plans import catalog, imports, likeness, market, portfolio, recognition, systems  # noqa: E402
 
-MODULES: tuple = (market, portfolio, catalog, systems, imports, recognition)
+MODULES: tuple = (market, portfolio, catalog, systems, imports, recognition, likeness)
 
 
 def queries() -> dict[str, Query]:

@@ -11,8 +11,6 @@ from cardloom.operators import vectors as V
 from cardloom.session import table
 
 NOW = "2024-01-20 00:00:00"
-#: Bits in which hashes of near duplicates differ at most.
-DISTANCE = 3
 
 
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,32 +37,6 @@ def inventory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(stock, "id", "left").select("query_id", "rank", "id", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), "low", "high")
 
 
-def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.sign_hash(F.col("embedding"), 64).alias("hash"))
-
-
-def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links within three of 64 bits between the first vectors of each hash, and the others of each hash."""
-    return V.hash_links(hashed_vectors(spark, sf_dir), DISTANCE)
-
-
-def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of vectors linked by hashes at most three of 64 bits apart."""
-    return V.hash_groups(hashed_vectors(spark, sf_dir), DISTANCE)
-
-
-def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits of documents by their text, copies together, and by row."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
-    grouped = V.group_splits(docs.withColumn("family", F.substring("content", 1, 2)), "family", "content")
-    return grouped.select("doc_id", "family", "split", V.row_split(F.col("content")).alias("row_split"))
-
-
-def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families that splitting by row spreads over splits."""
-    return E.leaking_groups(split_assignment(spark, sf_dir), "family", "row_split")
-
-
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, distinct texts and copies of each source."""
     docs = table(spark, sf_dir, "documents")
@@ -189,7 +161,7 @@ def scan_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.job_status(graph_tasks(spark, sf_dir), "page_id")
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, inventory_rollup, hamming_neighbours, duplicate_groups, split_assignment, split_leakage, exact_duplicates, scene_confusion, latency_report, threshold_choice, release_gates, benchmark_comparison, event_intake, usage_counters, usage_quota, hourly_windows, rate_limit, conversation_latest, reply_work, outbox_transitions, outbox_claims, task_readiness, scan_job_status)}
+QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, inventory_rollup, exact_duplicates, scene_confusion, latency_report, threshold_choice, release_gates, benchmark_comparison, event_intake, usage_counters, usage_quota, hourly_windows, rate_limit, conversation_latest, reply_work, outbox_transitions, outbox_claims, task_readiness, scan_job_status)}
 
 COSINE_SQL = r"""u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64
 ), n AS (SELECT id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u
@@ -197,16 +169,6 @@ COSINE_SQL = r"""u AS (SELECT vec_id AS id, label, list_transform(embedding, lam
 ), f AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)::INT AS rank, id, greatest(0, least(1, cosine)) AS similarity FROM c
 ), found AS (SELECT * FROM f WHERE rank <= 10)"""
 
-HASH_SQL = r"""h AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings
-), reps AS (SELECT min(id) AS id, b FROM h GROUP BY b
-), pairs AS (SELECT x.id AS a, y.id AS b, list_sum(list_transform(range(1, len(x.b) + 1), lambda i: abs(x.b[i] - y.b[i])))::INT AS distance FROM h x JOIN h y ON x.id < y.id
-), near AS (SELECT * FROM pairs WHERE distance <= 3)"""
-
-SPLIT_SQL = r"""d AS (SELECT doc_id, sha256(coalesce(text, '')) AS content, substr(sha256(coalesce(text, '')), 1, 2) AS family FROM documents
-), g AS (SELECT family, ('0x' || substr(sha256(string_agg(content, '|' ORDER BY content)), 1, 8))::BIGINT % 100 AS bucket FROM d GROUP BY family
-), splits AS (SELECT doc_id, family, CASE WHEN bucket < 70 THEN 'train' WHEN bucket < 85 THEN 'validation' ELSE 'test' END AS split,
-    CASE WHEN ('0x' || substr(sha256(content), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256(content), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END AS row_split FROM d JOIN g USING (family))"""
-
 PREDICTED_SQL = "p AS (SELECT l.*, lang, n_chars, round(least(1, n_chars / 4000.0::DOUBLE), 4) AS score, (n_chars >= 400)::INT AS predicted FROM labels l JOIN documents USING (doc_id))"
 
 
@@ -234,12 +196,6 @@ ORACLES = {
     "vector_search_active": f"WITH {COSINE_SQL} SELECT found.*, label FROM found JOIN n USING (id) WHERE label % 2 = 0",
     "inventory_rollup": f"""WITH {COSINE_SQL}, s AS (SELECT l_partkey AS id, count(*) AS lines, sum(l_quantity) AS quantity, min(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS low, max(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS high FROM lineitem GROUP BY 1)
       SELECT query_id, rank, found.id, coalesce(lines, 0) AS lines, coalesce(quantity, 0) AS quantity, low, high FROM found LEFT JOIN s ON s.id = found.id WHERE rank <= 3""",
-    "hamming_neighbours": f"""WITH {HASH_SQL} SELECT n.a, n.b, n.distance FROM near n JOIN reps x ON x.id = n.a JOIN reps y ON y.id = n.b
-      UNION ALL SELECT r.id, h.id, 0 FROM h JOIN reps r USING (b) WHERE h.id <> r.id""",
-    "duplicate_groups": f"""WITH RECURSIVE {HASH_SQL}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r AS (SELECT id, id AS reach FROM h UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
-      SELECT id, min(reach) AS "group" FROM r GROUP BY id""",
-    "split_assignment": f"WITH {SPLIT_SQL} SELECT doc_id, family, split, row_split FROM splits",
-    "split_leakage": f'WITH {SPLIT_SQL} SELECT family, count(DISTINCT row_split) AS splits, count(*) AS "rows" FROM splits GROUP BY family HAVING count(DISTINCT row_split) > 1',
     "exact_duplicates": "SELECT source, count(*) AS documents, count(DISTINCT coalesce(text, '')) AS texts, count(*) - count(DISTINCT coalesce(text, '')) AS copies FROM documents GROUP BY source",
     "scene_confusion": f"WITH {PREDICTED_SQL} {_confusion_sql(400, 'lang')}",
     "latency_report": "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(max(value), 4) AS max FROM events GROUP BY event_type",

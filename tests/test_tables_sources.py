@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cardloom.operators import events as Q
 from cardloom.operators import tables as M
-from cardloom.operators import vectors as V
 from cardloom.operators.listings import judge_titles, parse_evidence
 from cardloom.sources import files as S
 
@@ -51,12 +50,6 @@ def test_dates_and_certificates_of_evidence(spark):
     assert got == [("2024-03-07", "PSA", None, "12345678", 5.0), ("2024-03-07", "BGS", 9.5, None, None), ("2024-03-07", "CSG", None, None, 1000.5), (None, None, None, None, None)]
 
 
-def test_bands_find_all_pairs_within_the_distance(spark):
-    hashes = [(i, (i * 2654435761) % 4096) for i in range(120)]
-    got = {tuple(r) for r in V.hamming_pairs(spark.createDataFrame(hashes, "id bigint, hash bigint"), 2, 12).collect()}
-    assert got == {(i, j, (x ^ y).bit_count()) for i, x in hashes for j, y in hashes if i < j and (x ^ y).bit_count() <= 2}
-
-
 def test_first_hit_windows_and_readiness(spark):
     hits = spark.createDataFrame([("u", t) for t in (0, 5, 9, 10, 11, 25)], "k string, t bigint")
     got = [(r["at"], r["used"], r["allowed"]) for r in Q.first_hit_windows(hits, "k", "t", 10, 2).orderBy("at").collect()]
@@ -105,32 +98,6 @@ def test_pages_and_unions(spark):
     assert sorted(tuple(r) for r in S.union_tables([a, b], "id").collect()) == [(1, "a", None), (2, None, 6)]
 
 
-def test_groups_by_hash_meet_as_representatives(spark, monkeypatch):
-    hashes = [(i, 0b111) for i in range(3000)] + [(5000, 0b1111), (4000, 0b1111 << 6), (4001, 0b1111 << 6), (6000, None), (6001, None), (7000, 0b11 << 10)]
-    met, pairs = [], V.hamming_pairs
-    monkeypatch.setattr(V, "hamming_pairs", lambda rows, *a: (met.append(rows.count()), pairs(rows, *a))[1])
-    found = dict(map(tuple, V.hash_groups(spark.createDataFrame(hashes, "id bigint, hash bigint"), 2, 12).collect()))
-    assert met == [4]
-    assert found == {**{i: 0 for i in range(3000)}, 5000: 0, 4000: 4000, 4001: 4000, 6000: 6000, 6001: 6001, 7000: 7000}
-
-
-def test_duplicate_groups_match_sql(spark):
-    import duckdb
-
-    import __spark_entry__ as entry
-
-    con = duckdb.connect()
-    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
-    expected = con.execute(f'SELECT id, "group" FROM ({entry.oracle_sql()["duplicate_groups"]})').fetchall()
-    assert sorted(map(tuple, entry.queries()["duplicate_groups"](spark, "/root/testdata/sf0.001").select("id", "group").collect())) == sorted(expected)
-
-
-def test_hash_links_keep_copies_as_members(spark):
-    rows = [(i, 7) for i in range(1, 40)] + [(50, 6), (60, -1), (70, None)]
-    found = sorted(map(tuple, V.hash_links(spark.createDataFrame(rows, "id bigint, hash bigint"), 3).collect()))
-    assert found == sorted([(1, i, 0) for i in range(2, 40)] + [(1, 50, 1)])
-
-
 def test_token_matches_follow_all_pairs(spark):
     from cardloom.operators.catalog import token_matches
 
