@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.session import written
+
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -25,39 +27,70 @@ def unit(vector: Column, length: int | None = None) -> Column:
     return F.when(fine, F.transform(doubles, lambda x: x / norm))
 
 
-def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows of id and v gathered by hash into blocks of about size rows."""
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors"))
-
-
-def cosine_search(queries: DataFrame, rows: DataFrame, k: int = 10, digits: int = 6, deals: int = 64) -> DataFrame:
-    """query_id, rank, id, similarity: the k rows of the highest cosine, clamped to 0 .. 1, for each stated query.
+def packed(rows: DataFrame, size: int, by: list[str] | None = None) -> DataFrame:
+    """Rows of id (long) and v in blocks of at most size consecutive rows: ids and vectors as the bytes of longs and doubles.
 
-    Both tables have id and v, of unit length and one dimension. Blocks of queries meet blocks of rows, each pair once,
-    as a matrix product; only k rows of each query and block are shuffled.
+    With by (long columns), rows are sorted by them and a block holds one value of each. Nothing is shuffled.
     """
-    asked = blocks(queries.select("id", "v"), 512, "q").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    held = blocks(rows.select("id", "v"), 4096, "r").withColumn("_deal", F.pmod("r_block", F.lit(deals)).cast("int"))
+    by = by or []
+    kinds = pa.schema([*[(c, pa.int64()) for c in by], ("ids", pa.binary()), ("vectors", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in by]
+            ids, vectors = batch.column("id").to_numpy(), batch.column("v")
+            flat = vectors.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+            ends = np.ones(len(ids), bool)
+            for key in keys:
+                ends[:-1] &= key[1:] == key[:-1]
+            starts = [0, *(np.flatnonzero(~ends[:-1]) + 1)] if keys and len(ids) else [0]
+            out = []
+            for start, stop in zip(starts, [*starts[1:], len(ids)], strict=True):
+                out += [(*(int(k[at]) for k in keys), ids[at : min(at + size, stop)].tobytes(), flat[at : min(at + size, stop)].tobytes()) for at in range(start, stop, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], f.type) for f in kinds], schema=kinds)
+
+    ready = rows.select(*by, F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    ready = ready.sortWithinPartitions(*by) if by else ready
+    return ready.mapInArrow(pack, ", ".join([*[f"`{c}` bigint" for c in by], "ids binary, vectors binary"]))
+
+
+def best_of_blocks(pairs: DataFrame, k: int, digits: int) -> DataFrame:
+    """query_id, rank, id, similarity from pairs of blocks (q_ids, q_vectors, ids, vectors): each pair is one matrix product, and only its k best rows for a query leave the task."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = lambda column, at: np.array(column[at].as_py(), float)
+        read = lambda column, at, kind: np.frombuffer(column[at].as_buffer(), kind)
         for batch in batches:
             for at in range(batch.num_rows):
-                q_ids, ids = batch.column("q_ids")[at].as_py(), np.array(batch.column("r_ids")[at].as_py(), np.int64)
-                found = (matrix(batch.column("q_vectors"), at) @ matrix(batch.column("r_vectors"), at).T).round(digits)
-                out: list[tuple[int, int, float]] = []
-                for q, line in zip(q_ids, found, strict=True):
-                    best = np.lexsort((ids, -line))[:k]
-                    out += zip([q] * len(best), ids[best].tolist(), line[best].tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "cosine"])
-
-    pairs = asked.join(held, "_deal").select("q_ids", "q_vectors", "r_ids", "r_vectors")
-    scored = pairs.mapInArrow(score, "query_id bigint, id bigint, cosine double")
+                q_ids, ids = read(batch.column("q_ids"), at, np.int64), read(batch.column("ids"), at, np.int64)
+                lines = read(batch.column("q_vectors"), at, np.float64).reshape(len(q_ids), -1)
+                found = (lines @ read(batch.column("vectors"), at, np.float64).reshape(len(ids), -1).T).round(digits)
+                order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :k]
+                columns = [np.repeat(q_ids, order.shape[1]), ids[order].ravel(), np.take_along_axis(found, order, 1).ravel()]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_id", "id", "cosine"])
+
+    scored = pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(score, "query_id bigint, id bigint, cosine double")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")).alias("similarity"))
 
 
+def named_as_queries(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+
+
+def cosine_search(queries: DataFrame, rows: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """query_id, rank, id, similarity: the k rows of the highest cosine, clamped to 0 .. 1, for each stated query.
+
+    Both tables have id and v, of unit length and one dimension. This is the exact search: every block of queries meets every block
+    of rows once. Row blocks are dealt to as many places as there are blocks, up to four for each core, and
+    query blocks are copied to each; only k rows of each query and block are shuffled.
+    """
+    held = written(packed(rows, 4096))
+    deals = max(1, min(held.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = held.withColumn("_deal", F.pmod(F.xxhash64("ids"), F.lit(deals)))
+    asked = named_as_queries(packed(queries, 512)).withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+    return best_of_blocks(asked.join(dealt, "_deal"), k, digits)
+
+
 def joined_hashes(rows: DataFrame, by: str, hashed: str) -> DataFrame:
     """by and group_hash: the sha256 of each group's hashes, sorted and joined by '|', copies as often as they occur.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.operators import evaluation as E
 from cardloom.operators import events as Q
+from cardloom.operators import vector_index as X
 from cardloom.operators import vectors as V
 from cardloom.session import table
 
@@ -28,6 +29,17 @@ def vector_search_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").filter("label % 2 = 0").select("query_id", "rank", "id", "similarity", "label")
 
 
+def indexed_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 20, over an index of all vectors."""
+    rows = unit_vectors(spark, sf_dir)
+    return X.indexed_search(rows.filter("id % 20 = 0"), X.build_index(rows), 10)
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest of each query the index finds."""
+    return X.recall_of(indexed_vector_search(spark, sf_dir), vector_search(spark, sf_dir))
+
+
 def inventory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, quantity and price span of the part behind each vector found, zero where there are none."""
     found = vector_search(spark, sf_dir).filter("rank <= 3")
@@ -161,7 +173,7 @@ def scan_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.job_status(graph_tasks(spark, sf_dir), "page_id")
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, inventory_rollup, exact_duplicates, scene_confusion, latency_report, threshold_choice, release_gates, benchmark_comparison, event_intake, usage_counters, usage_quota, hourly_windows, rate_limit, conversation_latest, reply_work, outbox_transitions, outbox_claims, task_readiness, scan_job_status)}
+QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, indexed_vector_search, vector_index_recall, inventory_rollup, exact_duplicates, scene_confusion, latency_report, threshold_choice, release_gates, benchmark_comparison, event_intake, usage_counters, usage_quota, hourly_windows, rate_limit, conversation_latest, reply_work, outbox_transitions, outbox_claims, task_readiness, scan_job_status)}
 
 COSINE_SQL = r"""u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64
 ), n AS (SELECT id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u
