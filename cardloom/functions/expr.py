@@ -18,6 +18,11 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_up(x: Column | str) -> Column:
     """The nearest whole number as a long; halves go up, also below zero."""
     return F.floor(col(x) + F.lit(0.5)).cast("long")

@@ -62,10 +62,18 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(plain).cast("long").alias("length"), F.md5(plain).alias("hash"), window_days(F.concat(F.pmod("doc_id", F.lit(400)).cast("string"), F.lit("d"))).alias("days"))
 
 
+#: What stands before and after a card's number in titles.
+NUMBER_FORMS = [(" #", "/99"), (" RC-", ""), (" X", "/50"), (" No. 0", "")]
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing titles of every kind after the cards."""
     tail = F.element_at(F.array(*map(F.lit, [" PSA 10", " BGS 9.5", " lot of 5", " custom proxy", " PSA 10?", " SGC 8", "", " psa 9 ready to grade"])), (F.pmod("card_id", F.lit(8)) + 1).cast("int"))
-    number = F.when(F.pmod("card_id", F.lit(5)) == 0, "").when(F.pmod("card_id", F.lit(7)) == 0, " #999").otherwise(F.concat(F.lit(" #"), F.col("card_number")))
+    turn, n = F.pmod("card_id", F.lit(11)), F.col("card_number")
+    number = F.when(F.pmod("card_id", F.lit(5)) == 0, "").when(F.pmod("card_id", F.lit(7)) == 0, " #999")
+    for at, (before, after) in enumerate(NUMBER_FORMS):
+        number = number.when(turn == at, F.concat(F.lit(before), n, F.lit(after)))
+    number = number.otherwise(F.concat(F.lit(" #"), n))
     return cards(spark, sf_dir).select("card_id", "card_number", F.concat(F.initcap("player"), number, tail).alias("title"))
 
 
@@ -175,14 +183,16 @@ RANKED_SQL = rf"""{CARDS_SQL}, q AS (
 
 TITLES_SQL = rf"""{CARDS_SQL}, titles AS (
   SELECT card_id, card_number, array_to_string(list_transform(string_split(player, ' '), lambda w: upper(w[1]) || w[2:]), ' ')
-    || CASE WHEN card_id % 5 = 0 THEN '' WHEN card_id % 7 = 0 THEN ' #999' ELSE ' #' || card_number END
+    || CASE WHEN card_id % 5 = 0 THEN '' WHEN card_id % 7 = 0 THEN ' #999' WHEN card_id % 11 = 0 THEN ' #' || card_number || '/99' WHEN card_id % 11 = 1 THEN ' RC-' || card_number
+        WHEN card_id % 11 = 2 THEN ' X' || card_number || '/50' WHEN card_id % 11 = 3 THEN ' No. 0' || card_number ELSE ' #' || card_number END
     || ([' PSA 10', ' BGS 9.5', ' lot of 5', ' custom proxy', ' PSA 10?', ' SGC 8', '', ' psa 9 ready to grade'])[card_id % 8 + 1] AS title FROM cards
+), numbered_titles AS (
+  SELECT *, CASE WHEN card_id % 5 = 0 THEN '' WHEN card_id % 7 = 0 THEN '999' WHEN card_id % 11 = 1 THEN '' WHEN card_id % 11 = 2 THEN 'X' || card_number ELSE card_number END AS numbers FROM titles
 ), judged_titles AS (
   SELECT *, CASE WHEN card_id % 8 = 0 THEN 'PSA' WHEN card_id % 8 = 1 THEN 'BGS' WHEN card_id % 8 = 5 THEN 'SGC' ELSE 'RAW' END AS company,
     CASE card_id % 8 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 9.5 WHEN 5 THEN 8 END AS grade,
-    CASE WHEN card_id % 5 = 0 THEN '' WHEN card_id % 7 = 0 THEN '999' ELSE card_number END AS numbers,
     CASE WHEN card_id % 8 = 2 THEN 'negative_keyword:lot' WHEN card_id % 8 = 3 THEN 'negative_keyword:custom'
-      WHEN regexp_matches(upper(title), '(^|[^A-Z0-9])#?\s*' || card_number || '($|[^A-Z0-9])') THEN NULL WHEN card_id % 5 = 0 THEN 'card_number_missing' WHEN card_id % 7 = 0 AND card_number <> '999' THEN 'card_number_mismatch' END AS reason FROM titles)"""
+      WHEN regexp_matches(upper(title), '(^|[^A-Z0-9])#?\s*' || card_number || '($|[^A-Z0-9])') THEN NULL WHEN numbers = '' THEN 'card_number_missing' WHEN numbers <> card_number THEN 'card_number_mismatch' END AS reason FROM numbered_titles)"""
 
 UPSERT_SQL = rf"""{SALES_SQL}, one AS (SELECT *, seen.l_orderkey AS ok FROM (SELECT *, row_number() OVER (PARTITION BY provider, raw_id ORDER BY seen) AS r FROM sales) WHERE r = 1
 ), old AS (SELECT provider, raw_id, {_money("price")} AS price, verified FROM one WHERE ok % 2 = 0

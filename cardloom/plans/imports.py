@@ -68,13 +68,21 @@ def manual_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.manual_comps(rows)
 
 
-CERT_TEXTS = ["PSA cert # 1234567", "PSA cert no. 12O4S678", "BGS 0012345", "certification number: 12 345 678", "CGC 99", "SGC cert ab-12345", "", "no company"]
-CERT_GRADERS = ["PSA", "", "Beckett", None, "CGC"]
+#: Texts of certificates, {n} a number of eight digits, with the company that they name and the number that they give.
+CERT_TEXTS = [
+    ("PSA 10 cert {n}", "PSA", "{n}"), ("https://www.psacard.com/cert/{n}", "PSA", "{n}"), ("Beckett Certification Number: 00{n}", "BGS", "00{n}"), ("SGC 9.5 certificate number: ab{n}", "SGC", "AB{n}"),
+    ("https://www.cgcgrading.com/verify/{n}", "CGC", "{n}"), ("PSA cert no. 12O4S67l", "PSA", "12045671"), ("BGS gem mint 9.5", "BGS", None), ("no company {n}", None, None), ("CGC 99", "CGC", None), ("", None, None),
+    ("https://www.gosgc.com/cert-code-lookup?certificateNumber=AA{n}", "SGC", "AA{n}"), ("certification # {n}", None, "{n}"), ("gem mint PSA {n}", "PSA", "{n}"), ("BGS 9 cert 123", "BGS", None),
+]
 
 
 def card_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cards(spark, sf_dir).select("card_id", pick(CERT_GRADERS, F.col("card_id")).alias("grader"), pick(CERT_TEXTS, F.col("card_id")).alias("cert_text"))
-    return N.certificates(rows)
+    """Texts of certificates with numbers after the cards, every other one with its company beside it."""
+    rows = cards(spark, sf_dir)
+    number = (F.lit(30_000_000) + F.col("card_id") * 37).cast("string")
+    text = F.replace(pick([t for t, _, _ in CERT_TEXTS], F.col("card_id")), F.lit("{n}"), number)
+    company = F.when(F.pmod(F.floor(F.col("card_id") / len(CERT_TEXTS)), F.lit(2)) == 0, pick([c for _, c, _ in CERT_TEXTS], F.col("card_id")))
+    return N.certificates(rows.select("card_id", F.when(company == "BGS", "Beckett").otherwise(company).alias("grader"), text.alias("cert_text")))
 
 
 def parsed_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +102,30 @@ def scene_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards(spark, sf_dir).select("card_id", N.scene_type(pick(SCENE_TEXTS, F.col("card_id"))).alias("scene"), N.title_scene(pick(TITLES, F.col("card_id"))).alias("title_scene"), N.box_side(F.when(F.col("card_id") % 3 != 0, (F.col("card_id") % 250) / 2), 1.0).alias("side"))
 
 
+LABELS = [
+    "{year} Topps Chrome\n{player}\n#{n} Prizm\nPSA GEM MT 10\n3{id}", "BECKETT | {player} | {year} Panini Basketball | card no. {n}/99 | 9.5", "Pokemon {player} grade: 8", "CSG\n1234567", "", "{player} {n} / 25 SGC 9 cert AB12{id}",
+]
+
+
+def slab_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What labels after the cards say."""
+    rows = cards(spark, sf_dir)
+    label = pick(LABELS, F.col("card_id"))
+    for name, value in (("year", F.col("year").cast("string")), ("player", F.initcap("player")), ("n", F.col("card_number")), ("id", F.lpad(F.col("card_id").cast("string"), 7, "0"))):
+        label = F.replace(label, F.lit("{" + name + "}"), value)
+    read = N.slab_labels(rows.select("card_id", label.alias("label_text")))
+    return read.select("card_id", "cert_grader", "cert", "grade", F.col("year").alias("label_year"), "card_number", "serial", F.array_join("useful_lines", "|").alias("useful"), "player_hint", "sport_hint", F.array_join("warnings", ",").alias("warnings"))
+
+
+QUALITY_MEASURES = [N.DEFECTS.get(m, m) for m in N.QUALITY_WEIGHTS]
+
+
 def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers of page images whose metrics come from the page's id."""
-    metric = lambda k: F.when(F.pmod(F.col("page_id") * k, F.lit(11)) != 10, F.pmod(F.col("page_id") * k, F.lit(17)) / 16)
-    rows = table(spark, sf_dir, "pages").select("page_id", *[metric(k + 3).alias(m) for k, m in enumerate(N.QUALITY_WEIGHTS)])
-    return N.quality_gate(rows).select("page_id", "quality", F.array_join("failures", ",").alias("failures"), "tier")
+    """Tiers of pages taken for images: measures come from the sizes of their parts, some in percent and some missing."""
+    size = F.length(F.coalesce("html", F.lit("")))
+    measure = lambda k: F.when(F.pmod(size + k, F.lit(11)) == 10, None).when(F.pmod(size, F.lit(3)) == 0, F.pmod(size * k, F.lit(101)).cast("double")).otherwise(F.pmod(size * k, F.lit(17)) / 16)
+    rows = table(spark, sf_dir, "pages").select("page_id", *[measure(k + 3).alias(m) for k, m in enumerate(QUALITY_MEASURES)])
+    return N.quality_gate(rows).select("page_id", "quality", F.array_join("failures", ",").alias("failures"), "tier", F.array_join("actions", ",").alias("actions"))
 
 
 KINDS = ["one_row_box", "binder", "shoe_box", "slab_case", "heap", "toploader_box", "graded_card_box"]
@@ -290,7 +317,7 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_sales, coerced_imports, manual_evidence, parsed_certificates, certificate_evidence, scene_types, image_quality, survey_estimates, survey_summaries, scan_pairs, scan_turn_pairs, family_splits, capture_neighbours, open_sides, path_rules,
+        normalized_sales, coerced_imports, manual_evidence, parsed_certificates, certificate_evidence, scene_types, slab_labels, image_quality, survey_estimates, survey_summaries, scan_pairs, scan_turn_pairs, family_splits, capture_neighbours, open_sides, path_rules,
         image_rejections, unknown_card_rows, manifest_check, conversation_page, draft_versions, usage_log, latest_observations, corrected_sales, watch_alerts, watch_counts, embedding_queue, reference_upserts, provider_coverage, task_keys, failure_classes, token_overlap, box_overlaps,
     )
 }
@@ -299,13 +326,12 @@ _norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"  #
 _money = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
 _step = lambda x: f"CASE WHEN {x} < 100 THEN floor({x} + 0.5) WHEN {x} < 1000 THEN floor({x} / 10 + 0.5) * 10 WHEN {x} < 10000 THEN floor({x} / 100 + 0.5) * 100 ELSE floor({x} / 500 + 0.5) * 500 END::BIGINT"
 
-CERT_SQL = rf"""{CARDS_SQL}, c0 AS (SELECT card_id, {pick_sql(CERT_GRADERS, 'card_id')} AS g, {pick_sql(CERT_TEXTS, 'card_id')} AS t FROM cards
-), c1 AS (SELECT card_id, CASE WHEN g = 'Beckett' THEN 'BGS' WHEN g IN ('PSA', 'CGC') THEN g WHEN t LIKE 'PSA%' THEN 'PSA' WHEN t LIKE 'BGS%' THEN 'BGS' WHEN t LIKE 'CGC%' THEN 'CGC' WHEN t LIKE 'SGC%' THEN 'SGC' END AS cert_grader,
-    {pick_sql(['1234567', '12O4S678', None, '12345678', None, 'ab12345', '', 'nocompany'], 'card_id')} AS bare0, card_id % 8 AS k FROM c0
-), c2 AS (SELECT card_id, cert_grader, CASE k WHEN 2 THEN 'BGS0012345' WHEN 4 THEN 'CGC99' WHEN 5 THEN 'ab-12345' ELSE bare0 END AS bare FROM c1
-), c3 AS (SELECT card_id, cert_grader, nullif(CASE WHEN cert_grader IN ('PSA', 'BGS', 'CGC') THEN regexp_replace(translate(bare, 'OoQDIlLZSsBG', '000011125586'), '[^0-9]', '', 'g') ELSE upper(bare) END, '') AS cert FROM c2
-), certs AS (SELECT *, coalesce(CASE cert_grader WHEN 'BGS' THEN regexp_matches(cert, '^[0-9]{{5,12}}$') WHEN 'PSA' THEN regexp_matches(cert, '^[0-9]{{7,12}}$') WHEN 'CGC' THEN regexp_matches(cert, '^[0-9]{{7,12}}$') ELSE regexp_matches(cert, '^[A-Z0-9-]{{5,18}}$') END, false) AS cert_valid FROM c3
-), worth AS (SELECT *, CASE WHEN cert IS NULL THEN 0.15::DOUBLE WHEN cert_valid THEN 0.9 ELSE 0.68 END AS cert_confidence FROM certs)"""
+_cert_pick = lambda at: pick_sql([c[at] for c in CERT_TEXTS], "card_id")
+_SHAPES = " ".join(f"WHEN '{name}' THEN regexp_matches(cert, '{shape}')" for name, shape in N.CERT_SHAPES.items())
+#: The numbers and companies that the texts were made with, not what a pattern finds in them.
+CERT_SQL = rf"""{CARDS_SQL}, certs AS (SELECT card_id, {_cert_pick(1)} AS cert_grader, replace({_cert_pick(2)}, '{{n}}', (30000000 + card_id * 37)::VARCHAR) AS cert FROM cards
+), shaped AS (SELECT *, coalesce(CASE cert_grader {_SHAPES} ELSE length(cert) BETWEEN 5 AND 18 END, false) AS cert_valid FROM certs
+), worth AS (SELECT *, CASE WHEN cert IS NULL THEN 0.15::DOUBLE WHEN cert_valid THEN 0.9 ELSE 0.68 END AS cert_confidence FROM shaped)"""
 
 SURVEY_SQL = rf"""o AS (
   SELECT l_orderkey AS survey, {pick_sql(KINDS, 'l_partkey')} AS kind, {pick_sql(CONTENTS, 'l_suppkey')} AS content, l_partkey % 3 + 1 AS q, l_quantity / 50 AS full_, CASE l_linenumber % 3 WHEN 0 THEN l_partkey % 400 END AS direct, CASE l_linenumber % 3 WHEN 1 THEN l_partkey % 90 END AS stack,
@@ -329,14 +355,23 @@ WATCH_SQL = rf"""{SALES_SQL}, v AS (SELECT card_id, round(avg(all_in), 4) AS val
 ), w AS (SELECT w0.*, value, coalesce(CASE direction WHEN 'above' THEN value >= target ELSE value <= target END, false) AS triggered FROM w0 LEFT JOIN v USING (card_id))"""
 
 
-def _metric_sql(k: int) -> str:
-    return f"CASE WHEN (page_id * {k}) % 11 <> 10 THEN ((page_id * {k}) % 17) / 16.0::DOUBLE END"
+def _measure_sql(k: int, missing: float) -> str:
+    x = f"CASE WHEN (size + {k}) % 11 = 10 THEN NULL WHEN size % 3 = 0 THEN ((size * {k}) % 101)::DOUBLE ELSE ((size * {k}) % 17) / 16.0::DOUBLE END"
+    return f"CASE WHEN ({x}) IS NULL THEN {missing}::DOUBLE WHEN ({x}) > 1 THEN least(1, ({x}) / 100) ELSE greatest(0, {x}) END"
 
 
-_METRICS = ", ".join(f"{_metric_sql(k + 3)} AS {m}" for k, m in enumerate(N.QUALITY_WEIGHTS))
-_GAINED = " + ".join(f"coalesce({m} * {w}::DOUBLE, 0)" for m, w in N.QUALITY_WEIGHTS.items())
-_TOTAL = " + ".join(f"CASE WHEN {m} IS NULL THEN 0 ELSE {w}::DOUBLE END" for m, w in N.QUALITY_WEIGHTS.items())
+_METRICS = ", ".join(f"{'1 - ' if m in N.DEFECTS else ''}{_measure_sql(k + 3, 0.0 if m in N.DEFECTS else 0.5)} AS {m}" for k, m in enumerate(N.QUALITY_WEIGHTS))
+_GAINED = " + ".join(f"{m} * {w}::DOUBLE" for m, w in N.QUALITY_WEIGHTS.items())
 _FAILED = ", ".join(f"CASE WHEN {m} < {least}::DOUBLE THEN '{name}' END" for m, (least, name) in N.CRITICAL.items())
+_ASKED = ", ".join(f"CASE WHEN {m} < {least}::DOUBLE THEN '{name}' END" for m, (least, name) in N.METRIC_ACTIONS.items())
+_BY_TIER = " ".join(f"WHEN '{tier}' THEN '{','.join(actions)}'" for tier, actions in N.TIER_ACTIONS.items())
+
+LABELS_SQL = rf"""{CARDS_SQL}, l AS (SELECT card_id, card_id % 6 AS k, array_to_string(list_transform(string_split(player, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS p, year::VARCHAR AS y, card_number AS n, lpad(card_id::VARCHAR, 7, '0') AS d FROM cards)
+  SELECT card_id, (['PSA', 'BGS', NULL, 'CGC', NULL, 'SGC'])[k + 1] AS cert_grader, CASE k WHEN 0 THEN '3' || d WHEN 3 THEN '1234567' WHEN 5 THEN 'AB12' || d END AS cert, (['10', NULL, '8', NULL, NULL, '9'])[k + 1] AS grade,
+    CASE WHEN k < 2 THEN y::INT END AS label_year, CASE k WHEN 0 THEN n WHEN 1 THEN n || '/99' END AS card_number, CASE k WHEN 1 THEN n || '/99' WHEN 5 THEN n || ' / 25' END AS serial,
+    CASE k WHEN 0 THEN y || ' Topps Chrome|' || p || '|Prizm' WHEN 1 THEN p || '|' || y || ' Panini Basketball|card . ' || n || '/99' WHEN 2 THEN 'Pokemon ' || p || ' : 8' WHEN 5 THEN p || ' ' || n || ' / 25 9 AB12' || d ELSE '' END AS useful,
+    CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN 'Pokemon ' || p || ' : 8' WHEN 5 THEN p || ' ' || n || ' / 25 9 AB12' || d END AS player_hint, (['', 'Basketball', 'Pokemon'])[CASE WHEN k IN (1, 2) THEN k + 1 END] AS sport_hint,
+    CASE k WHEN 1 THEN 'no_cert_number' WHEN 2 THEN 'no_cert_number,no_grader' ELSE '' END AS warnings FROM l"""
 
 ORACLES = {
     "normalized_sales": rf"""WITH {RAW_SQL}, c AS (SELECT *, coalesce(completed_flag, false) OR coalesce(source_type IN ('sold', 'completed_sale'), false) OR coalesce(sale_type IN ('auction', 'private'), false)
@@ -357,8 +392,10 @@ ORACLES = {
     "scene_types": f"""WITH {CARDS_SQL} SELECT card_id, {pick_sql(['single_card', 'binder_page', 'no_card', 'mixed_raw_slab', 'multi_card_table', 'sealed_product', 'cert_label', 'manual_text', 'single_card', 'unknown', 'multi_card_table', 'sealed_product'], 'card_id')} AS scene,
         {pick_sql(['binder_page', 'sealed_product', 'multi_card_table', 'mixed_raw_slab', 'single_card', 'mixed_raw_slab', 'multi_card_table', 'sealed_product'], 'card_id')} AS title_scene,
         CASE WHEN card_id % 3 = 0 THEN 1 ELSE least(1, CASE WHEN (card_id % 250) / 2.0::DOUBLE > 1 THEN (card_id % 250) / 200.0::DOUBLE ELSE (card_id % 250) / 2.0::DOUBLE END) END AS side FROM cards""",
-    "image_quality": f"""WITH m AS (SELECT page_id, {_METRICS} FROM pages), q AS (SELECT *, round(coalesce(({_GAINED}) / nullif({_TOTAL}, 0), 0), 6) AS quality, concat_ws(',', {_FAILED}) AS failures FROM m)
-      SELECT page_id, quality, failures, CASE WHEN failures <> '' OR quality < 0.38 THEN 'insufficient' WHEN quality >= 0.78 AND edges >= 0.75 AND readability >= 0.65 THEN 'fast' WHEN quality >= 0.52 THEN 'enhance' ELSE 'review' END AS tier FROM q""",
+    "slab_labels": f"WITH {LABELS_SQL}",
+    "image_quality": f"""WITH h AS (SELECT page_id, length(coalesce(html, '')) AS size FROM pages), m AS (SELECT page_id, {_METRICS} FROM h), q AS (SELECT *, round(({_GAINED}) / {sum(N.QUALITY_WEIGHTS.values())}::DOUBLE, 6) AS quality, concat_ws(',', {_FAILED}) AS failures, concat_ws(',', {_ASKED}) AS asked FROM m
+      ), t AS (SELECT *, CASE WHEN failures <> '' OR quality < 0.38 THEN 'insufficient' WHEN quality >= 0.78 AND edges >= 0.75 AND readability >= 0.65 THEN 'fast' WHEN quality >= 0.52 THEN 'enhance' ELSE 'review' END AS tier FROM q)
+      SELECT page_id, quality, failures, tier, concat_ws(',', CASE tier {_BY_TIER} END, nullif(asked, '')) AS actions FROM t""",
     "survey_estimates": f"WITH {SURVEY_SQL} SELECT method, kind, count(*) AS objects, sum(low)::BIGINT AS low, sum(expected)::BIGINT AS expected, sum(high)::BIGINT AS high FROM counted GROUP BY ALL",
     "survey_summaries": f"""WITH {SURVEY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY survey, visual_key ORDER BY seen) AS n FROM counted), g AS (SELECT survey, count(*) FILTER (WHERE n = 1) AS objects, count(*) FILTER (WHERE n > 1) AS duplicates,
         sum(low) FILTER (WHERE n = 1)::DOUBLE AS l, sum(expected) FILTER (WHERE n = 1)::DOUBLE AS x1, sum(high) FILTER (WHERE n = 1)::DOUBLE AS h, count(*) FILTER (WHERE n = 1 AND (method = 'indeterminate' OR sure < 0.45::DOUBLE)) AS unresolved FROM r GROUP BY survey)
