@@ -31,6 +31,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cardloom-checkpoint-"))
 
 
@@ -44,11 +46,32 @@ def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the checkpoint folder and read it: columns prune, sizes are known, joins deal it anew."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{name}"
     df.write.parquet(path)
+    _WRITTEN[name] = path
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that written() has made in this process, by the name of their folder.
+_WRITTEN: dict[str, str] = {}
+
+
+def discard_tables(keep: DataFrame) -> int:
+    """Delete the tables that written() has made so far, but for those that keep reads; how many were deleted.
+
+    For the borders of a pipeline, where all that came before is written in keep; results that have not been
+    written out yet must not be read afterwards.
+    """
+    spark = keep.sparkSession
+    read = {file.rsplit("/", 2)[-2] for file in keep.inputFiles()}
+    gone = [name for name in _WRITTEN if name not in read]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a directory, read by Spark whatever store the path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -119,3 +119,13 @@ def test_token_matches_follow_all_pairs(spark):
     frame = lambda words, name: spark.createDataFrame([(w,) for w in words], f"{name} string")
     found = {(r["t"], r["v"]): r["share"] for r in token_matches(frame(asked, "t"), frame(held, "v")).collect()}
     assert found == {(t, v): share(t, v) for t in asked for v in held if share(t, v)}
+
+
+def test_tables_between_steps_are_discarded_but_for_those_still_read(spark):
+    from cardloom.session import discard_tables, written
+
+    old, new = written(spark.range(5)), written(spark.range(7))
+    both = new.withColumn("x", F.lit(1))
+    assert discard_tables(both) >= 1 and both.count() == 7
+    assert old.inputFiles() and not spark._jvm.java.io.File(old.inputFiles()[0].removeprefix("file:")).exists()
+    assert discard_tables(both) == 0
