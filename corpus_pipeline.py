@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from cardloom.llm.line_dedup import dedup_lines
 from cardloom.llm.mixing import mixed_texts, row_id
 from cardloom.llm.near_dedup import near_duplicates
 from cardloom.llm.packing import pack
-from cardloom.session import table, written
+from cardloom.session import discard_tables, table, written
 
 #: SQL has no compression, minhash or tokenizer; tests hold the stages against plain Python.
 ORACLE_SQL = None
@@ -79,7 +80,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs.select("doc_id", "text"), window=2048)
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+def after_the_last(stage):
+    """The stage, with the tables of the stages before it discarded, as docs has all that they kept; tables that docs reads stay."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_tables(docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, after_the_last(stage)) for stage in (language_id, line_dedup, near_dedup, mixing, packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
