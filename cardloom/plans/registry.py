@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from cardloom.plans import benchmarks, catalog, imports, likeness, market, portfolio, recognition, systems  # noqa: E402
+from cardloom.plans import benchmarks, catalog, imports, ledgers, likeness, market, portfolio, recognition, systems  # noqa: E402
 
-MODULES: tuple = (market, portfolio, catalog, systems, imports, recognition, likeness, benchmarks)
+MODULES: tuple = (market, portfolio, catalog, systems, imports, recognition, likeness, benchmarks, ledgers)
 
 
 def queries() -> dict[str, Query]:
