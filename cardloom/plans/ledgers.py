@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cardloom.operators import catalog as C
 from cardloom.operators import learning as L
 from cardloom.operators import order as O
+from cardloom.operators import phrases as T
 from cardloom.operators import versions as V
 from cardloom.plans.catalog import NORM, RANKED_SQL, search_queries
-from cardloom.plans.views import SALES_SQL, cards, sales
+from cardloom.plans.views import CARDS_SQL, SALES_SQL, cards, sales
 from cardloom.session import table
 
 REASONS = ["wrong {player}", "is {brand} {set_name}", None, "{player} {set_name} {year}", "mixed up"]
@@ -29,6 +30,20 @@ def learned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.learned_candidates(queries.select(F.col("query_id").alias("item"), F.col("query").alias("text")), matches, corrections, labels)
 
 
+TITLE_FORMS = ["{year} {brand} {set_name} {player} #{n} Refractor", "{player} rc {brand}! #{n} PSA 10", "{YEAR} {PLAYER} card no. {n}", "{year} {set_name} silver {player}", "{year} {brand} x{player} #{n}"]
+
+
+def title_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What titles after the cards say, by the names of the catalog."""
+    rows = cards(spark, sf_dir)
+    title = F.element_at(F.array(*map(F.lit, TITLE_FORMS)), F.pmod("card_id", F.lit(5)).cast("int") + 1)
+    for name, value in (("year", F.col("year").cast("string")), ("YEAR", F.col("year").cast("string")), ("brand", F.col("brand")), ("set_name", F.col("set_name")), ("player", F.col("player")), ("PLAYER", F.upper("player")), ("n", F.col("card_number"))):
+        title = F.replace(title, F.lit("{" + name + "}"), value)
+    names = rows.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("brand", "set_name", "player")]))).distinct()
+    found = T.infer_titles(rows.select(F.col("card_id").alias("id"), title.alias("title")), names)
+    return found.select(F.col("id").alias("card_id"), "title", "year", "brand", "set_name", "player", "number", "company", "grade", "parallel", "sport", "usable")
+
+
 def override_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as upserts of a customer's image, in batches of a hundred, and every 97th as the rollback of an earlier batch."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at"), F.pmod("o_custkey", F.lit(400)).alias("card_id"), (F.col("o_orderkey") / 100).cast("bigint").alias("batch"), F.col("o_totalprice").alias("value"))
@@ -83,7 +98,7 @@ def recommended_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(ends, "rule", "left").select(name.alias("rule"), "found", "shown", "first", "last", "cards")
 
 
-QUERIES = {f.__name__: f for f in (learned_candidates, image_overrides, overrides_restored, override_audit, training_rows, sales_page, recommended_sales)}
+QUERIES = {f.__name__: f for f in (learned_candidates, title_inference, image_overrides, overrides_restored, override_audit, training_rows, sales_page, recommended_sales)}
 
 _words = lambda x: f"list_filter(string_split({NORM(x)}, ' '), lambda w: length(w) >= 3)"
 _share = lambda a, b: f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_filter({a}, lambda w: list_contains({b}, w))) / len({a})::DOUBLE ELSE 0 END"
@@ -105,6 +120,11 @@ ORACLES = {
       ), bst AS (SELECT m.*, CASE WHEN c.card_id IS NULL THEN 0 WHEN {_share("c.words", "reg.words")} > 0 THEN 0.03::DOUBLE + ({_share("c.words", "reg.words")}) * 0.05::DOUBLE ELSE 0.02 END AS bo FROM allm m JOIN reg USING (item) LEFT JOIN cor c ON c.card_id = m.card_id
       ), fin AS (SELECT item, r0, card_id, score, added, round(bo, 6) AS boost, least(0.995::DOUBLE, round(c0 + round(bo, 6), 6)) AS confidence FROM bst
       ), rk AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY confidence DESC, score DESC, r0 NULLS LAST, card_id)::INT AS rank FROM fin) SELECT item, rank, card_id, confidence, boost, added FROM rk WHERE rank <= 7""",
+    "title_inference": f"""WITH {CARDS_SQL}, t AS (SELECT *, card_id % 5 AS k FROM cards)
+      SELECT card_id, CASE k WHEN 0 THEN concat(year, ' ', brand, ' ', set_name, ' ', player, ' #', card_number, ' Refractor') WHEN 1 THEN concat(player, ' rc ', brand, '! #', card_number, ' PSA 10') WHEN 2 THEN concat(year, ' ', upper(player), ' card no. ', card_number)
+          WHEN 3 THEN concat(year, ' ', set_name, ' silver ', player) ELSE concat(year, ' ', brand, ' x', player, ' #', card_number) END AS title,
+        CASE WHEN k <> 1 THEN year END AS year, CASE WHEN k IN (0, 1, 4) THEN brand END AS brand, CASE WHEN k IN (0, 3) THEN set_name WHEN k <> 4 AND player LIKE lower(set_name) || ' %' THEN NULL END AS set_name, CASE WHEN k <> 4 THEN player END AS player,
+        CASE WHEN k <> 3 THEN card_number END AS number, CASE WHEN k = 1 THEN 'PSA' ELSE 'RAW' END AS company, CASE WHEN k = 1 THEN 10.0::DOUBLE END AS grade, (['Refractor', 'Rookie', 'Base', 'Silver', 'Base'])[k + 1] AS parallel, 'Sports Cards' AS sport, k IN (0, 2) AS usable FROM t""",
     "image_overrides": f"WITH {VERSIONS_SQL} SELECT card_id, at_ AS valid_from, valid_to, ended_by, action, created_at, batch, value FROM v",
     "overrides_restored": f"WITH {VERSIONS_SQL} SELECT card_id, at_ AS valid_from, created_at, value FROM v WHERE at_ <= (SELECT max(at_) // 2 FROM u) AND (valid_to IS NULL OR valid_to > (SELECT max(at_) // 2 FROM u))",
     "override_audit": f"""WITH {VERSIONS_SQL}, x AS (SELECT at_, 'override_' || action AS type, batch, 1 AS r FROM v UNION ALL SELECT b.at_, 'batch_rollback', b.batch, (SELECT count(*) FROM v WHERE ended_by = 'rollback' AND valid_to = b.at_) FROM b)
