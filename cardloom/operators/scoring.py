@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.expr import choose, clamp, days_before, half_up, listed
+from cardloom.operators.quantiles import exact_quantiles, with_quantiles
+from cardloom.session import written
 
 #: Trust in a source by its authorization; the last two depend on verification.
 TRUST = {"official_api": 96, "ebay_api": 96, "written_license": 92, "commercial_partner": 88, "user_authorized_export": 80}
@@ -99,10 +101,13 @@ def mark_repeats(scored: DataFrame, keys: list[str], order: str = "seen") -> Dat
 
 
 def mark_outliers(scored: DataFrame, group: list[str], value: str = "all_in", least: int = 5, floor_zero: bool = True) -> DataFrame:
-    """Rows outside 1.5 interquartile ranges of the usable values of their group, if it has least of them."""
-    whole = Window.partitionBy(*group)
-    v = F.when(F.col("usable"), F.col(value))
-    marked = scored.withColumns({"_q1": F.percentile(v, F.lit(0.25)).over(whole), "_q3": F.percentile(v, F.lit(0.75)).over(whole), "_n": F.count(v).over(whole)})
+    """Rows outside 1.5 interquartile ranges of the usable values of their group, if it has least of them.
+
+    The rows are written once, as they are read for the quartiles and again beside them.
+    """
+    scored = written(scored)
+    quartiles = exact_quantiles(scored, group, value, {"_u": F.col("usable")}, {"q1": 0.25, "q3": 0.75})
+    marked = with_quantiles(scored, group, quartiles).withColumnsRenamed({"_u_q1": "_q1", "_u_q3": "_q3", "_u_n": "_n"})
     spread = F.col("_q3") - F.col("_q1")
     low = F.col("_q1") - 1.5 * spread
     low = F.greatest(F.lit(0.0), low) if floor_zero else low

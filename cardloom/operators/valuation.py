@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.expr import choose, clamp, half_up, money
+from cardloom.operators.quantiles import exact_quantiles, with_quantiles
 from cardloom.operators.scoring import mark_outliers
+from cardloom.session import written
 
 WINDOWS = (7, 30, 90, 180, 365)
 
@@ -23,18 +25,26 @@ def weighted(inside: Column, weight: str) -> Column:
     return money(F.sum(F.when(inside, F.col("all_in") * F.col(weight))) / F.sum(F.when(inside, F.col(weight))))
 
 
+def within(days: int) -> Column:
+    return F.col("valid") & (F.col("age_days") <= days)
+
+
 def window_aggregates(days: int) -> list[Column]:
-    """Count, spread and weighted mean of the sales of the last days."""
-    inside = F.col("valid") & (F.col("age_days") <= days)
-    price = F.when(inside, F.col("all_in"))
-    name = f"d{days}"
-    quartile = lambda p, n: money(F.percentile(price, F.lit(p))).alias(f"{name}_{n}")
+    """Count, ends and weighted mean of the sales of the last days."""
+    price, name = F.when(within(days), F.col("all_in")), f"d{days}"
     return [
-        F.count(price).alias(f"{name}_count"), money(F.min(price)).alias(f"{name}_low"), quartile(0.25, "p25"), quartile(0.5, "median"), money(F.avg(price)).alias(f"{name}_average"),
-        quartile(0.75, "p75"), money(F.max(price)).alias(f"{name}_high"), weighted(inside, "w_aged").alias(f"{name}_weighted"),
+        F.count(price).alias(f"{name}_count"), money(F.min(price)).alias(f"{name}_low"), money(F.avg(price)).alias(f"{name}_average"), money(F.max(price)).alias(f"{name}_high"),
+        weighted(within(days), "w_aged").alias(f"{name}_weighted"),
     ]
 
 
+def window_columns(days: int) -> list[Column]:
+    """The figures of a window in order, its quartiles from exact_quantiles among them."""
+    name = f"d{days}"
+    quartile = lambda q, n: money(f"_d{days}_{q}").alias(f"{name}_{n}")
+    return [F.col(f"{name}_count"), F.col(f"{name}_low"), quartile("p25", "p25"), quartile("p50", "median"), F.col(f"{name}_average"), quartile("p75", "p75"), F.col(f"{name}_high"), F.col(f"{name}_weighted")]
+
+
 def change_pct(now: Column, before: Column) -> Column:
     return F.when((now != 0) & (before != 0), money((now - before) / before * 100))
 
@@ -42,12 +52,15 @@ def change_pct(now: Column, before: Column) -> Column:
 def value_cards(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Value, range, windows, trends, liquidity and confidence of each card from its judged sales.
 
-    One aggregation computes every window; the earlier periods of the trends are weighted without
-    age. The value is the weighted mean of 30, 90 or 180 days, or the median of all.
+    One aggregation computes every window, and exact_quantiles their quartiles, so no card's prices are
+    gathered; the earlier periods of the trends are weighted without age. The value is the weighted mean of 30, 90 or 180 days, or the median of all.
     """
     by = by or ["card_id"]
     valid = F.col("usable") & (F.col("status") == "included") & F.col("all_in").isNotNull() & (F.col("all_in") >= 0)
     rows = judged.withColumn("valid", valid).withColumn("w_plain", sale_weight()).withColumn("w_aged", F.exp(-F.col("age_days") / 45) * F.col("w_plain"))
+    used = ["status", "all_in", "provider", "verified", "is_outlier", "quality_score", "trust_score", "match_score", "valid", "w_plain", "w_aged", "age_days", "sold_at"]
+    rows = written(rows.select(*by, *used))
+    quartiles = exact_quantiles(rows, by, "all_in", {"_all": F.col("valid")} | {f"_d{d}": within(d) for d in WINDOWS}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     price, age, ok = F.when(F.col("valid"), F.col("all_in")), F.col("age_days"), F.col("valid")
     mean = lambda c: F.coalesce(half_up(F.avg(c)), F.lit(0))
     grouped = rows.groupBy(*by).agg(
@@ -56,9 +69,11 @@ def value_cards(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(ok & F.col("verified")).alias("verified"), mean("quality_score").alias("avg_quality"), mean("trust_score").alias("avg_trust"), mean("match_score").alias("avg_match"),
         *[a for days in WINDOWS for a in window_aggregates(days)],
         weighted(ok & (age > 30) & (age <= 60), "w_plain").alias("prior30"), weighted(ok & (age > 90) & (age <= 180), "w_plain").alias("prior90"),
-        money(F.percentile(price, F.lit(0.5))).alias("_median"), (F.percentile(price, F.lit(0.75)) - F.percentile(price, F.lit(0.25))).alias("_spread"),
         F.max(F.when(ok, F.col("sold_at"))).alias("last_sale_at"), F.min(F.when(ok, age)).alias("_last_age"),
     )
+    grouped = with_quantiles(grouped, by, quartiles).withColumns({"_median": money("_all_p50"), "_spread": F.col("_all_p75") - F.col("_all_p25")})
+    plain = [c for c in grouped.columns if not c.startswith(("d1", "d3", "d7", "d9", "_d", "_all"))]
+    grouped = grouped.select(*plain, *[c for days in WINDOWS for c in window_columns(days)])
     n, share = F.col("included"), lambda c: F.when(F.col("included") > 0, F.col(c) / (F.col("included") + F.col(c))).otherwise(F.when(F.col(c) > 0, 0.5).otherwise(0.0))
     sure = (
         0.27 * clamp(F.log10(n + 1) / 1.7, 0.0, 1.0) + 0.2 * clamp(F.col("providers") / 4, 0.0, 1.0) + 0.18 * F.when(n > 0, F.col("verified") / n).otherwise(0.0)
@@ -90,11 +105,14 @@ def asking_context(asks: DataFrame, values: DataFrame) -> DataFrame:
     kept = kept.withColumn("status", F.lit("included")).withColumn("reasons", F.array().cast("array<string>"))
     trimmed = mark_outliers(kept, ["card_id"], "ask")
     ask = F.when(F.col("usable"), F.col("ask"))
-    q = lambda p: money(F.percentile(ask, F.lit(p)))
+    trimmed = written(trimmed.select("card_id", "usable", "ask", "provider"))
+    quartiles = exact_quantiles(trimmed, ["card_id"], "ask", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     grouped = trimmed.groupBy("card_id").agg(
         F.count(ask).alias("asks"), F.count_if(~F.col("usable")).alias("rejected"), F.count_distinct(F.when(F.col("usable"), F.col("provider"))).alias("sources"),
-        money(F.min(ask)).alias("low"), q(0.25).alias("p25"), q(0.5).alias("median_ask"), q(0.75).alias("p75"), money(F.max(ask)).alias("high"),
+        money(F.min(ask)).alias("low"), money(F.max(ask)).alias("high"),
     )
+    grouped = with_quantiles(grouped, ["card_id"], quartiles)
+    grouped = grouped.select("card_id", "asks", "rejected", "sources", "low", money("_u_p25").alias("p25"), money("_u_p50").alias("median_ask"), money("_u_p75").alias("p75"), "high")
     joined = grouped.join(values.select("card_id", "value", "confidence", "volume90"), "card_id", "left")
     m, v, n = F.col("median_ask"), F.col("value"), F.col("asks")
     gap = (m - v) / v * 100
@@ -126,10 +144,10 @@ def robust_prices(prices: DataFrame, by: str, price: str, least: int = 3) -> Dat
     amount = money(price).cast("decimal(14,2)")
     rows = prices.select(by, amount.alias("price")).filter("price > 0").withColumn("usable", F.lit(True)).withColumn("status", F.lit("included")).withColumn("reasons", F.array().cast("array<string>"))
     trimmed = mark_outliers(rows.repartition(by), [by], "price", least=4, floor_zero=False)
-    kept = F.when(F.col("usable"), F.col("price"))
-    grouped = trimmed.groupBy(by).agg(
-        F.count(kept).alias("comps"), F.count_if(F.col("is_outlier")).alias("removed"), *[F.percentile(kept, F.lit(p)).alias(n) for p, n in ((0.25, "_low"), (0.5, "_mid"), (0.75, "_high"))]
-    )
+    trimmed = written(trimmed.select(by, "usable", "is_outlier", "price"))
+    quartiles = exact_quantiles(trimmed, [by], "price", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    grouped = trimmed.groupBy(by).agg(F.count(F.when(F.col("usable"), F.col("price"))).alias("comps"), F.count_if(F.col("is_outlier")).alias("removed"))
+    grouped = with_quantiles(grouped, [by], quartiles).withColumnsRenamed({"_u_p25": "_low", "_u_p50": "_mid", "_u_p75": "_high"}).drop("_u_n")
     enough = F.col("comps") >= least
     spread = F.when(F.col("_mid") > 0, (F.col("_high") - F.col("_low")) / F.col("_mid")).otherwise(F.lit(1.0))
     sure = 0.65 * F.least(F.col("comps") / 12, F.lit(1.0)) + 0.35 * (1 - F.least(spread, F.lit(1.0)))
