@@ -57,14 +57,19 @@ def written(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[str, str] = {}
 
 
-def discard_tables(keep: DataFrame) -> int:
-    """Delete the tables that written() has made so far, but for those that keep reads; how many were deleted.
+def written_so_far() -> set[str]:
+    """Names of the tables that written() has made and that are still there."""
+    return set(_WRITTEN)
 
-    For the borders of a pipeline, where all that came before is written in keep; results that have not been
-    written out yet must not be read afterwards.
+
+def discard_tables(*keep: DataFrame, before: set[str] | None = None) -> int:
+    """Delete the tables that written() has made, but for those that keep reads and those of before; how many were deleted.
+
+    For the borders of a pipeline, where all that came before is written in keep, and for the end of steps that
+    know all tables made since before; results that have not been written out yet must not be read afterwards.
     """
-    spark = keep.sparkSession
-    read = {file.rsplit("/", 2)[-2] for file in keep.inputFiles()}
+    spark = keep[0].sparkSession
+    read = {file.rsplit("/", 2)[-2] for df in keep for file in df.inputFiles()} | (before or set())
     gone = [name for name in _WRITTEN if name not in read]
     for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(name))
