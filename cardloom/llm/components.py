@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.session import written
+from cardloom.session import discard_tables, written, written_so_far
 
 
 def to_minimum(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     and loops are ignored. No edges give no rows.
     """
     a, b = F.col(left), F.col(right)
+    before = written_so_far()
     now = written(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     mark = None
     while True:
@@ -42,4 +43,5 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             break
         mark = state
         now = written(small_star(written(large_star(now).distinct())).distinct())
+        discard_tables(now, before=before)  # of a round only its edges are needed
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.components import components
 from cardloom.llm.shingles import U64, Bands, Shingler, set_fingerprint
-from cardloom.session import table, written
+from cardloom.session import discard_tables, table, written, written_so_far
 
 #: Rows, and shingles in them, of one side of a comparison within a bucket.
 SIDE_ROWS, SIDE_SHINGLES = 512, 1 << 19
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float | Fraction
     """
     threshold = Fraction(threshold).limit_denominator(1000)
     bands = Bands.for_threshold(float(threshold))
+    before = written_so_far()
     every = written(signed(docs, key, text, width, bands))
     full = every.filter((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = written(full.groupBy("fp1", "fp2").agg(F.min("doc").alias("rep")))
@@ -194,16 +195,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float | Fraction
     near = edges.join(signatures, "doc").join(signatures.select(F.col("doc").alias("center"), F.col("sig").alias("sig_c")), "center")
     let_through = float(threshold) - 6 * float(np.sqrt(float(threshold) * (1 - float(threshold)) / bands.hashes))
     near = written(near.filter(agreement("sig", "sig_c") >= let_through).select("doc", "center").distinct())
+    discard_tables(every, classes, members, near, before=before)
 
     sets = written(shingle_sets(docs, written(members.select("doc").distinct()), key, text, width))
     pairs = near.join(sets, "doc").join(sets.select(F.col("doc").alias("center"), F.col("set").alias("set_c")), "center")
     stars = pairs.filter(linked("set", "set_c", threshold)).select("doc", "center")
     labels = written(components(stars, "doc", "center"))
     more = written(links_in_buckets(members, labels, sets, threshold))
+    discard_tables(every, classes, labels, more, before=before)
     merged = components(more).withColumnRenamed("component", "_final")
     named = labels.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("_final", "component").alias("component"))
     alone = merged.join(labels, "node", "left_anti").select("node", F.col("_final").alias("component"))
     final = written(named.union(alone).withColumnRenamed("node", "rep"))
+    discard_tables(every, classes, final, before=before)
 
     joined = every.select("doc", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")))
     out = joined.join(final, "rep", "left").withColumn("component", F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc")))
