@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.order import in_order
+
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 6))
@@ -50,8 +52,50 @@ def gates(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     return both.groupBy("profile").agg(F.every(ok).alias("passed"), F.count_if(~ok).alias("failed"))
 
 
-def compare(baseline: DataFrame, candidate: DataFrame, lower_is_better: Column) -> DataFrame:
-    """metric, before, after, change, regressed: metrics that both have, in the direction of each."""
-    both = baseline.select("metric", F.col("value").alias("before")).join(candidate.select("metric", F.col("value").alias("after")), "metric")
-    change = F.round(F.col("after") - F.col("before"), 6)
-    return both.withColumn("change", change).withColumn("regressed", F.when(lower_is_better, F.col("change") > 0).otherwise(F.col("change") < 0))
+#: Metrics of which less is better, by the last part of their names.
+LOWER_IS_BETTER = [
+    "false_confident_rate", "false_confident_matches", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms", "expected_calibration_error", "peak_vram_mb", "peak_ram_mb", "failure_rate",
+]
+
+
+def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """metric, before, after, change, direction and assessment (equivalent, improved, regressed) of the metrics that both have; null values count as missing."""
+    known = lambda rows, name: rows.filter(F.col("value").isNotNull()).select("metric", F.col("value").alias(name))
+    both = known(baseline, "before").join(known(candidate, "after"), "metric")
+    lower = F.regexp_extract("metric", r"([^.]*)$", 1).isin(LOWER_IS_BETTER)
+    change = F.round(F.col("after") - F.col("before"), 12)
+    better = F.when(lower, F.col("change") < 0).otherwise(F.col("change") > 0)
+    assessment = F.when(F.abs("change") <= 1e-12, "equivalent").when(better, "improved").otherwise("regressed")
+    return both.withColumn("change", change).withColumns({"direction": F.when(lower, "lower_is_better").otherwise("higher_is_better"), "assessment": assessment})
+
+
+def promotion(compared: DataFrame) -> DataFrame:
+    """metrics, regressions and decision: any regression rejects, else the change goes to review."""
+    g = compared.agg(F.count(F.lit(1)).alias("metrics"), F.count_if(F.col("assessment") == "regressed").alias("regressions"))
+    return g.withColumn("decision", F.when(F.col("regressions") > 0, "REJECTED_REGRESSION").otherwise("REVIEW_REQUIRED"))
+
+
+#: Thresholds that are tried besides the scores, the weight of false positives, and the bounds of what is chosen.
+TRIED, PENALTY, CHOSEN = [0.60, 0.65, 0.70, 0.75, 0.80, 0.82, 0.84, 0.86, 0.88, 0.90, 0.92], 8.0, (0.74, 0.94)
+
+
+def grouping_threshold(scores: DataFrame) -> DataFrame:
+    """One row: threshold (within CHOSEN), best, tpr, fpr, tp, fn, fp, tn for the threshold of the largest tpr - 8 * fpr over all scores and those of TRIED.
+
+    scores has score and positive. Ties go to fewer false positives, more true ones, then the larger threshold. Scores are counted first and
+    put in order over ranges; counts from the largest down add up from task sums, so no task holds all scores. Null scores are left out; without scores all counts are 0.
+    """
+    tried = scores.sparkSession.createDataFrame([(t, 0, 0) for t in TRIED], "score double, p bigint, n bigint")
+    counted = scores.filter("score IS NOT NULL").groupBy(F.col("score").cast("double").alias("score")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    both = counted.unionByName(tried).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    placed = in_order(both, [F.desc("score")]).withColumn("_task", F.shiftright("_at", 33))
+    sums = placed.groupBy("_task").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    sums = sums.select("_task", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_p", "_n")], *[F.sum(c).over(Window.partitionBy(F.lit(0))).alias(f"_t{c}") for c in ("_p", "_n")])
+    upto = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto)}).join(sums, "_task").withColumns({"tp": F.col("tp") + F.col("_b_p"), "fp": F.col("fp") + F.col("_b_n")})
+    tpr, fpr = F.col("tp") / F.greatest(F.lit(1), "_t_p"), F.col("fp") / F.greatest(F.lit(1), "_t_n")
+    best = F.max(F.struct((tpr - PENALTY * fpr).alias("goal"), (-fpr).alias("less"), tpr.alias("tpr"), F.col("score").alias("best"), "tp", "fp", (F.col("_t_p") - F.col("tp")).alias("fn"), (F.col("_t_n") - F.col("fp")).alias("tn")))
+    found = rows.agg(best.alias("b")).select("b.*")
+    return found.select(F.round(F.greatest(F.lit(CHOSEN[0]), F.least(F.lit(CHOSEN[1]), "best")), 4).alias("threshold"), "best", F.round("tpr", 4).alias("tpr"), F.round(-F.col("less"), 4).alias("fpr"), "tp", "fn", "fp", "tn")
+

@@ -100,10 +100,26 @@ def job_status(tasks: DataFrame, job: str) -> DataFrame:
     return tasks.groupBy(job).agg(F.when(ended, "complete").when(bad, "review").otherwise("running").alias("job_status"), F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("status") == "complete").alias("done"))
 
 
-def failure_class(status: Column, message: Column) -> Column:
-    """What kind of failure a task met, by its status code and message."""
+#: Kinds of failures in the order in which they are tried: status codes, patterns of messages, code, whether to try again and how to wait.
+FAILURES = [
+    ([429], ["rate.?limit", "too many requests", "quota"], "RATE_LIMITED", True, "provider"),
+    ([408, 502, 503, 504], ["timeout", "temporar", "unavailable", "overload", "busy"], "TRANSIENT_PROVIDER_FAILURE", True, "transient"),
+    ([413], ["payload too large"], "PAYLOAD_TOO_LARGE", False, None),
+    ([], ["invalid image", "decode", "unsupported image", "corrupt"], "INVALID_IMAGE", False, None),
+    ([], ["out of memory", "cuda.*memory", "oom"], "GPU_OOM", True, "smaller_batch"),
+    ([], ["model.*missing", "configuration", "credential", "unauthorized", "forbidden"], "CONFIGURATION_ERROR", False, None),
+]
+
+
+def failure_class(status: Column, message: Column, code: Column | None = None) -> Column:
+    """A struct of code, retryable and backoff for a task's failure, by its status and message; passing and unknown failures keep a code of their own."""
     text = F.lower(F.coalesce(message, F.lit("")))
-    return choose(
-        [((status == 429) | text.rlike("rate.?limit|too many requests|quota"), "RATE_LIMITED"), (status.isin(408, 502, 503, 504) | text.rlike("timeout|temporar|unavailable|overload|busy"), "TRANSIENT"), ((status == 413) | text.contains("payload too large"), "PAYLOAD_TOO_LARGE"), (text.rlike("invalid image|decode|unsupported image|corrupt"), "INVALID_IMAGE"), (text.rlike("model.*missing|configuration|credential|unauthorized|forbidden"), "CONFIGURATION_ERROR")],
-        "UNKNOWN",
-    )
+    own = F.nullif(F.upper(F.coalesce(code, F.lit(""))) if code is not None else F.lit(""), F.lit(""))
+    made = lambda name, again, wait: F.struct(name.alias("code"), F.lit(again).alias("retryable"), F.lit(wait).cast("string").alias("backoff"))
+    kinds = []
+    for codes, patterns, name, again, wait in FAILURES:
+        shown = F.coalesce(own, F.lit(name)) if name == "TRANSIENT_PROVIDER_FAILURE" else F.lit(name)
+        met = text.rlike("|".join(patterns))
+        kinds.append((F.coalesce(status.isin(codes), F.lit(False)) | met if codes else met, made(shown, again, wait)))
+    return choose(kinds, made(F.coalesce(own, F.lit("UNKNOWN_TASK_FAILURE")), False, None))
+

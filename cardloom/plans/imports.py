@@ -296,10 +296,14 @@ def task_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", R.idempotency_key(task=F.lit("ocr"), job=(F.col("page_id") % 7), scope=F.when(F.col("page_id") % 2 == 0, "region")).alias("key"))
 
 
+FAILURE_MESSAGES = ["", "Rate limit", "decode failed", "forbidden", "timeout", None, "disk", "CUDA out of memory", "model file missing"]
+
+
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of tasks made from events, by class."""
-    rows = table(spark, sf_dir, "events").select(pick([200, 429, 503, 413, 400], F.col("event_id")).alias("status"), pick(["", "Rate limit", "decode failed", "forbidden", "timeout", None, "disk"], F.col("event_id")).alias("message"))
-    return rows.groupBy(Q.failure_class(F.col("status"), F.col("message")).alias("class")).agg(F.count(F.lit(1)).alias("tasks"))
+    """Failures of tasks made from events, by class: code, whether to try again, how to wait."""
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(pick([200, 429, 503, 413, 400, None], n).alias("status"), pick(FAILURE_MESSAGES, n).alias("message"), F.when(n % 4 == 0, F.concat(F.lit("e_"), "event_type")).alias("own"))
+    return rows.groupBy(Q.failure_class(F.col("status"), F.col("message"), F.col("own")).alias("f")).agg(F.count(F.lit(1)).alias("tasks")).select("f.*", "tasks")
 
 
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,8 +437,10 @@ ORACLES = {
     "provider_coverage": f"""WITH {SALES_SQL}, p AS (SELECT * FROM (VALUES ('P0', true, 'authorized'), ('P1', false, 'authorized'), ('P2', true, 'demo_only'), ('P8', true, 'authorized'), ('P9', true, 'demo_only')) AS v(provider, done, rights)), c AS (SELECT provider, count(*) AS n FROM sales GROUP BY provider)
       SELECT provider, rights, coalesce(n, 0) AS sales, done AND coalesce(n, 0) = 0 AND rights <> 'demo_only' AS stale FROM p LEFT JOIN c USING (provider)""",
     "task_keys": """SELECT page_id, sha256('{"job":' || (page_id % 7)::VARCHAR || CASE WHEN page_id % 2 = 0 THEN ',"scope":"region"' ELSE '' END || ',"task":"ocr"}') AS key FROM pages""",
-    "failure_classes": f"""WITH e AS (SELECT {pick_sql([200, 429, 503, 413, 400], 'event_id')} AS s, {pick_sql(['', 'rate limit', 'decode failed', 'forbidden', 'timeout', None, 'disk'], 'event_id')} AS m FROM events)
-      SELECT CASE WHEN s = 429 OR m = 'rate limit' THEN 'RATE_LIMITED' WHEN s = 503 OR m = 'timeout' THEN 'TRANSIENT' WHEN s = 413 THEN 'PAYLOAD_TOO_LARGE' WHEN m = 'decode failed' THEN 'INVALID_IMAGE' WHEN m = 'forbidden' THEN 'CONFIGURATION_ERROR' ELSE 'UNKNOWN' END AS class, count(*) AS tasks FROM e GROUP BY ALL""",
+    "failure_classes": f"""WITH e AS (SELECT {pick_sql([200, 429, 503, 413, 400, None], 'event_id')} AS s, coalesce({pick_sql(FAILURE_MESSAGES, 'event_id')}, '') AS m, CASE WHEN event_id % 4 = 0 THEN upper('e_' || event_type) END AS own FROM events
+      ), k AS (SELECT CASE WHEN s = 429 OR m = 'Rate limit' THEN 1 WHEN s = 503 OR m = 'timeout' THEN 2 WHEN s = 413 THEN 3 WHEN m = 'decode failed' THEN 4 WHEN m LIKE 'CUDA%' THEN 5 WHEN m IN ('forbidden', 'model file missing') THEN 6 ELSE 7 END AS k, own FROM e)
+      SELECT CASE k WHEN 2 THEN coalesce(own, 'TRANSIENT_PROVIDER_FAILURE') WHEN 7 THEN coalesce(own, 'UNKNOWN_TASK_FAILURE') ELSE (['RATE_LIMITED', '', 'PAYLOAD_TOO_LARGE', 'INVALID_IMAGE', 'GPU_OOM', 'CONFIGURATION_ERROR'])[k] END AS code, k IN (1, 2, 5) AS retryable,
+        CASE k WHEN 1 THEN 'provider' WHEN 2 THEN 'transient' WHEN 5 THEN 'smaller_batch' END AS backoff, count(*) AS tasks FROM k GROUP BY ALL""",
     "token_overlap": f"""WITH {CARDS_SQL}, t AS (SELECT card_id, list_distinct(string_split({_norm("player || ' ' || brand")}, ' ')) AS a, list_distinct(string_split({_norm("set_name || ' ' || brand")}, ' ')) AS b FROM cards)
       SELECT card_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS overlap FROM t""",
     "box_overlaps": """WITH b AS (SELECT page_id, (page_id * 3 % 7) / 10.0::DOUBLE AS ax, (page_id * 5 % 7) / 10.0::DOUBLE AS ay, (page_id * 7 % 11) / 10.0::DOUBLE AS aw, (page_id * 11 % 13) / 10.0::DOUBLE AS ah, (page_id * 13 % 7) / 10.0::DOUBLE AS bx, (page_id * 17 % 7) / 10.0::DOUBLE AS by_, (page_id * 19 % 11) / 10.0::DOUBLE AS bw, (page_id * 23 % 13) / 10.0::DOUBLE AS bh FROM pages

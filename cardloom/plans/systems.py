@@ -77,7 +77,8 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_rows(spark: SparkSession, sf_dir: str, cut: int) -> DataFrame:
     rows = predictions(spark, sf_dir).withColumn("predicted", (F.col("n_chars") >= cut).cast("int"))
     g = E.confusion(rows, "quality", "predicted")
-    return g.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1", "accuracy")])))
+    g = g.withColumn("failure_rate", F.round(1 - F.col("accuracy"), 6))
+    return g.select(F.inline(F.array(*[F.struct(F.lit(f"all.{m}" if m == "failure_rate" else m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1", "accuracy", "failure_rate")])))
 
 
 def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,16 @@ def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.compare(metric_rows(spark, sf_dir, 400), metric_rows(spark, sf_dir, 1200), F.lit(False))
+    return E.compare(metric_rows(spark, sf_dir, 400), metric_rows(spark, sf_dir, 1200))
+
+
+def promotion_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.promotion(benchmark_comparison(spark, sf_dir))
+
+
+def grouping_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold on the scores of labelled documents that keeps false positives rare."""
+    return E.grouping_threshold(predictions(spark, sf_dir).select("score", (F.col("quality") == 1).alias("positive")))
 
 
 def event_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +183,7 @@ def scan_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.job_status(graph_tasks(spark, sf_dir), "page_id")
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, indexed_vector_search, vector_index_recall, inventory_rollup, exact_duplicates, scene_confusion, latency_report, threshold_choice, release_gates, benchmark_comparison, event_intake, usage_counters, usage_quota, hourly_windows, rate_limit, conversation_latest, reply_work, outbox_transitions, outbox_claims, task_readiness, scan_job_status)}
+QUERIES = {f.__name__: f for f in (vector_search, vector_search_active, indexed_vector_search, vector_index_recall, inventory_rollup, exact_duplicates, scene_confusion, latency_report, threshold_choice, release_gates, benchmark_comparison, promotion_decision, grouping_threshold, event_intake, usage_counters, usage_quota, hourly_windows, rate_limit, conversation_latest, reply_work, outbox_transitions, outbox_claims, task_readiness, scan_job_status)}
 
 COSINE_SQL = r"""u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64
 ), n AS (SELECT id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u
@@ -193,8 +203,11 @@ def _confusion_sql(cut: int, by: str = "") -> str:
 
 
 def _metrics_sql(cut: int) -> str:
-    return f"SELECT unnest(['precision', 'recall', 'f1', 'accuracy']) AS metric, unnest([precision, recall, f1, accuracy]) AS value FROM ({_confusion_sql(cut)})"
+    return f"SELECT unnest(['precision', 'recall', 'f1', 'accuracy', 'all.failure_rate']) AS metric, unnest([precision, recall, f1, accuracy, round(1 - accuracy, 6)]) AS value FROM ({_confusion_sql(cut)})"
+
 
+_COMPARED_SQL = f"""{PREDICTED_SQL}, a AS ({_metrics_sql(400)}), b AS ({_metrics_sql(1200)}), d AS (SELECT metric, a.value AS before, b.value AS after, round(b.value - a.value, 12) AS change, metric = 'all.failure_rate' AS lower_ FROM a JOIN b USING (metric)
+), compared AS (SELECT metric, before, after, change, CASE WHEN lower_ THEN 'lower_is_better' ELSE 'higher_is_better' END AS direction, CASE WHEN abs(change) <= 1e-12 THEN 'equivalent' WHEN (change < 0) = lower_ THEN 'improved' ELSE 'regressed' END AS assessment FROM d)"""
 
 OUTBOX_SQL = r"""jobs AS (SELECT event_id AS job_id, user_id AS owner, (['PENDING', 'LEASED', 'RETRY_WAIT', 'SENT', 'DEAD_LETTER'])[event_id % 5 + 1] AS status, ([NULL, 'ok', 'retry', 'fail'])[event_id % 4 + 1] AS outcome, event_id % 6 AS attempts,
     ts + INTERVAL 5 MINUTE AS lease_until, ts AS due_at FROM events)"""
@@ -216,7 +229,11 @@ ORACLES = {
       ), r AS (SELECT threshold, round(tp::DOUBLE / np, 6) AS tpr, round(fp::DOUBLE / nn, 6) AS fpr FROM g) SELECT *, round(tpr - 8 * fpr, 6) AS utility, row_number() OVER (ORDER BY round(tpr - 8 * fpr, 6) DESC, threshold)::INT AS rank FROM r""",
     "release_gates": f"""WITH {PREDICTED_SQL}, m AS ({_metrics_sql(400)}), l(profile, metric, kind, lim) AS (VALUES ('beta', 'precision', 'min', 0.5), ('beta', 'recall', 'min', 0.5), ('production', 'precision', 'min', 0.8), ('production', 'recall', 'min', 0.9), ('superior', 'accuracy', 'min', 0.99), ('superior', 'hallucination', 'max', 0.1)
       ), x AS (SELECT profile, coalesce(CASE WHEN kind = 'min' THEN value >= lim ELSE value <= lim END, false) AS ok FROM l LEFT JOIN m USING (metric)) SELECT profile, bool_and(ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed FROM x GROUP BY profile""",
-    "benchmark_comparison": f"WITH {PREDICTED_SQL}, a AS ({_metrics_sql(400)}), b AS ({_metrics_sql(1200)}) SELECT metric, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS change, round(b.value - a.value, 6) < 0 AS regressed FROM a JOIN b USING (metric)",
+    "benchmark_comparison": f"WITH {_COMPARED_SQL} SELECT * FROM compared",
+    "promotion_decision": f"WITH {_COMPARED_SQL} SELECT count(*) AS metrics, count(*) FILTER (WHERE assessment = 'regressed') AS regressions, CASE WHEN count(*) FILTER (WHERE assessment = 'regressed') > 0 THEN 'REJECTED_REGRESSION' ELSE 'REVIEW_REQUIRED' END AS decision FROM compared",
+    "grouping_threshold": f"""WITH {PREDICTED_SQL}, t AS (SELECT DISTINCT score AS threshold FROM p UNION SELECT unnest({E.TRIED})::DOUBLE), n AS (SELECT greatest(1, count(*) FILTER (WHERE quality = 1)) AS np, greatest(1, count(*) FILTER (WHERE quality <> 1)) AS nn FROM p
+      ), c AS (SELECT threshold, count(*) FILTER (WHERE quality = 1 AND score >= threshold) AS tp, count(*) FILTER (WHERE quality = 1 AND score < threshold) AS fn, count(*) FILTER (WHERE quality <> 1 AND score >= threshold) AS fp, count(*) FILTER (WHERE quality <> 1 AND score < threshold) AS tn FROM p, t GROUP BY threshold
+      ) SELECT round(greatest(0.74::DOUBLE, least(0.94::DOUBLE, threshold)), 4) AS threshold, threshold AS best, round(tp / np, 4) AS tpr, round(fp / nn, 4) AS fpr, tp, fn, fp, tn FROM c, n ORDER BY tp / np - 8 * (fp / nn) DESC, fp, tp DESC, c.threshold DESC LIMIT 1""",
     "event_intake": """WITH e AS (SELECT event_id, ts, event_type, props FROM events UNION ALL SELECT event_id, ts + INTERVAL 1 SECOND, event_type, CASE WHEN event_id % 2 = 0 THEN props ELSE '{}' END FROM events WHERE event_id % 7 = 0
       ), w AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, props) AS r, first_value(props) OVER (PARTITION BY event_id ORDER BY ts, props) AS f FROM e
       ), o AS (SELECT event_type, CASE WHEN ts < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR THEN 'late' WHEN ts > TIMESTAMP '2024-01-20' + INTERVAL 5 MINUTE THEN 'early' WHEN r = 1 THEN 'accepted' WHEN f IS NOT DISTINCT FROM props THEN 'duplicate' ELSE 'conflict' END AS outcome FROM w)
