@@ -102,6 +102,19 @@ def scene_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards(spark, sf_dir).select("card_id", N.scene_type(pick(SCENE_TEXTS, F.col("card_id"))).alias("scene"), N.title_scene(pick(TITLES, F.col("card_id"))).alias("title_scene"), N.box_side(F.when(F.col("card_id") % 3 != 0, (F.col("card_id") % 250) / 2), 1.0).alias("side"))
 
 
+PAYLOADS = [
+    ("https://www.psacard.com/cert/{n}", "url", "PSA", "{n}"), ("https://www.psacard.com/cert/verify/{n}", "url", "PSA", "{n}"), ("https://www.beckett.com/grading/card-lookup?item_id={n}", "url", "BGS", "{n}"), ("https://www.gosgc.com/auth-code/AB{n}", "url", "SGC", "AB{n}"),
+    ("https://www.cgccards.com/certlookup/{n}", "url", "CGC", "{n}"), ("QR:psa {n}", "qr_text", "PSA", "{n}"), ("{n}", "numeric_cert", None, "{n}"), ("https://example.com/x", "url", None, None), ("hello", "text", None, None), ("", "none", None, None),
+]
+
+
+def scanned_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What payloads after the cards say."""
+    number = (F.lit(30_000_000) + F.col("card_id") * 37).cast("string")
+    rows = cards(spark, sf_dir).select("card_id", F.replace(pick([p for p, *_ in PAYLOADS], F.col("card_id")), F.lit("{n}"), number).alias("payload"))
+    return N.scanned_payloads(rows).select("card_id", "payload_type", "payload_grader", "payload_cert")
+
+
 LABELS = [
     "{year} Topps Chrome\n{player}\n#{n} Prizm\nPSA GEM MT 10\n3{id}", "BECKETT | {player} | {year} Panini Basketball | card no. {n}/99 | 9.5", "Pokemon {player} grade: 8", "CSG\n1234567", "", "{player} {n} / 25 SGC 9 cert AB12{id}",
 ]
@@ -321,7 +334,7 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_sales, coerced_imports, manual_evidence, parsed_certificates, certificate_evidence, scene_types, slab_labels, image_quality, survey_estimates, survey_summaries, scan_pairs, scan_turn_pairs, family_splits, capture_neighbours, open_sides, path_rules,
+        normalized_sales, coerced_imports, manual_evidence, parsed_certificates, certificate_evidence, scene_types, slab_labels, scanned_payloads, image_quality, survey_estimates, survey_summaries, scan_pairs, scan_turn_pairs, family_splits, capture_neighbours, open_sides, path_rules,
         image_rejections, unknown_card_rows, manifest_check, conversation_page, draft_versions, usage_log, latest_observations, corrected_sales, watch_alerts, watch_counts, embedding_queue, reference_upserts, provider_coverage, task_keys, failure_classes, token_overlap, box_overlaps,
     )
 }
@@ -397,6 +410,7 @@ ORACLES = {
         {pick_sql(['binder_page', 'sealed_product', 'multi_card_table', 'mixed_raw_slab', 'single_card', 'mixed_raw_slab', 'multi_card_table', 'sealed_product'], 'card_id')} AS title_scene,
         CASE WHEN card_id % 3 = 0 THEN 1 ELSE least(1, CASE WHEN (card_id % 250) / 2.0::DOUBLE > 1 THEN (card_id % 250) / 200.0::DOUBLE ELSE (card_id % 250) / 2.0::DOUBLE END) END AS side FROM cards""",
     "slab_labels": f"WITH {LABELS_SQL}",
+    "scanned_payloads": f"WITH {CARDS_SQL} SELECT card_id, {pick_sql([p[1] for p in PAYLOADS], 'card_id')} AS payload_type, {pick_sql([p[2] for p in PAYLOADS], 'card_id')} AS payload_grader, replace({pick_sql([p[3] for p in PAYLOADS], 'card_id')}, '{{n}}', (30000000 + card_id * 37)::VARCHAR) AS payload_cert FROM cards",
     "image_quality": f"""WITH h AS (SELECT page_id, length(coalesce(html, '')) AS size FROM pages), m AS (SELECT page_id, {_METRICS} FROM h), q AS (SELECT *, round(({_GAINED}) / {sum(N.QUALITY_WEIGHTS.values())}::DOUBLE, 6) AS quality, concat_ws(',', {_FAILED}) AS failures, concat_ws(',', {_ASKED}) AS asked FROM m
       ), t AS (SELECT *, CASE WHEN failures <> '' OR quality < 0.38 THEN 'insufficient' WHEN quality >= 0.78 AND edges >= 0.75 AND readability >= 0.65 THEN 'fast' WHEN quality >= 0.52 THEN 'enhance' ELSE 'review' END AS tier FROM q)
       SELECT page_id, quality, failures, tier, concat_ws(',', CASE tier {_BY_TIER} END, nullif(asked, '')) AS actions FROM t""",

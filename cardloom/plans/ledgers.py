@@ -13,6 +13,7 @@ from cardloom.operators import versions as V
 from cardloom.plans.catalog import NORM, RANKED_SQL, search_queries
 from cardloom.plans.views import CARDS_SQL, SALES_SQL, cards, sales
 from cardloom.session import table
+from cardloom.streaming import imports as S
 
 REASONS = ["wrong {player}", "is {brand} {set_name}", None, "{player} {set_name} {year}", "mixed up"]
 
@@ -86,6 +87,15 @@ def sales_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.page(rows, [F.desc("all_in"), F.col("raw_id"), F.col("card_id"), F.col("supplier"), F.col("sold_at")], 1000, 50)
 
 
+def echo_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sent jobs and as echoes of earlier ones: the earliest echo of each message, and whether its job was sent."""
+    events = table(spark, sf_dir, "events")
+    owner = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    sent = events.filter("event_id % 3 <> 0").select(F.lit("sent").alias("kind"), owner.alias("owner"), (F.col("event_id") % 700).cast("string").alias("message_id"), F.col("event_id").alias("job_id"), F.when(F.col("event_type") != "error", "SENT").otherwise("FAILED").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    echoes = events.filter("event_id % 2 = 0").select(F.lit("echo").alias("kind"), owner.alias("owner"), (F.col("event_id") % 700).cast("string").alias("message_id"), F.lit(None).cast("bigint").alias("job_id"), F.lit(None).cast("string").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    return S.echoes_of(sent.unionByName(echoes))
+
+
 RULES = [("verify", "NOT verified AND all_in > 1000"), ("reprice", "completed AND sale_type = 'auction'"), ("review", "confidence < 0.7")]
 
 
@@ -98,7 +108,7 @@ def recommended_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(ends, "rule", "left").select(name.alias("rule"), "found", "shown", "first", "last", "cards")
 
 
-QUERIES = {f.__name__: f for f in (learned_candidates, title_inference, image_overrides, overrides_restored, override_audit, training_rows, sales_page, recommended_sales)}
+QUERIES = {f.__name__: f for f in (learned_candidates, title_inference, image_overrides, overrides_restored, override_audit, training_rows, echo_reconciliation, sales_page, recommended_sales)}
 
 _words = lambda x: f"list_filter(string_split({NORM(x)}, ' '), lambda w: length(w) >= 3)"
 _share = lambda a, b: f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_filter({a}, lambda w: list_contains({b}, w))) / len({a})::DOUBLE ELSE 0 END"
@@ -135,6 +145,8 @@ ORACLES = {
       ), o AS (SELECT * FROM o1 WHERE status <> 'approved' OR n = 1), w AS (SELECT *, row_number() OVER (PARTITION BY front, back, status = 'approved' ORDER BY item, price) AS n FROM l WHERE turn > 1
       ), i AS (SELECT * FROM w WHERE status <> 'approved' OR (n = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.status = 'approved' AND o.front = w.front AND o.back IS NOT DISTINCT FROM w.back)))
       SELECT front, status, 'kept' AS action, count(*) AS "rows" FROM o GROUP BY ALL UNION ALL SELECT front, status, 'inserted', count(*) FROM i GROUP BY ALL""",
+    "echo_reconciliation": """WITH s AS (SELECT 'u' || user_id::VARCHAR AS owner, (event_id % 700)::VARCHAR AS message_id, min(event_id) AS job_id FROM events WHERE event_id % 3 <> 0 AND event_type <> 'error' GROUP BY ALL
+      ), e AS (SELECT 'u' || user_id::VARCHAR AS owner, (event_id % 700)::VARCHAR AS message_id, min(ts) AS echo_at FROM events WHERE event_id % 2 = 0 GROUP BY ALL) SELECT owner, message_id, job_id, echo_at, job_id IS NOT NULL AS matched FROM e LEFT JOIN s USING (owner, message_id)""",
     "sales_page": f"""WITH {SALES_SQL}, r AS (SELECT raw_id, card_id, seen[4] AS supplier, round(all_in, 6) AS all_in, sold_at, row_number() OVER (ORDER BY round(all_in, 6) DESC, raw_id, card_id, seen[4], sold_at) - 1 AS position FROM sales) SELECT * FROM r WHERE position BETWEEN 1000 AND 1049""",
     "recommended_sales": f"""WITH {SALES_SQL}, x AS ({_RULES_SQL}), p AS (SELECT *, row_number() OVER (ORDER BY r, raw_id, card_id, supplier, sold_at) - 1 AS position FROM x)
       SELECT rule, count(*) AS found, count(*) FILTER (WHERE position < 5000) AS shown, min(position) FILTER (WHERE position < 5000) AS first, max(position) FILTER (WHERE position < 5000) AS last, sum(card_id) FILTER (WHERE position < 5000)::BIGINT AS cards FROM p GROUP BY r, rule""",
