@@ -141,10 +141,7 @@ def signals(held: DataFrame, by: str = "owner") -> DataFrame:
     rows = held.filter("status <> 'sold'")
     matched = F.col("included").isNotNull()
     t30, t90 = F.when(matched, F.coalesce("trend30", F.lit(0.0))), F.when(matched, F.coalesce("trend90", F.lit(0.0)))
-    rows = rows.withColumns({"t30": t30, "t90": t90})
-    rows = rows.withColumn("mean30", money(F.avg("t30").over(Window.partitionBy(by))))
     short = F.when((F.col("d7_weighted") != 0) & (F.col("d30_weighted") != 0), money((F.col("d7_weighted") - F.col("d30_weighted")) / F.col("d30_weighted") * 100))
-    rows = rows.withColumns({"short": short, "relative": money(F.col("t30") - F.col("mean30"))})
     zero = lambda c, d=0: F.coalesce(F.col(c), F.lit(d))
     base, n = zero("confidence"), zero("included")
     fresh = F.coalesce(clamp(100 - F.col("freshness_hours") / 24, 0.0, 100.0), F.lit(0.0))
@@ -153,9 +150,14 @@ def signals(held: DataFrame, by: str = "owner") -> DataFrame:
         0.34 * base + 0.18 * F.coalesce("avg_quality", base) + 0.16 * F.coalesce("avg_trust", base) + 0.12 * F.coalesce("avg_match", base) + 0.1 * (clamp(zero("providers") / 4, 0.0, 1.0) * 100)
         + 0.07 * (clamp(F.log10(n + 1) / 1.45, 0.0, 1.0) * 100) + 0.03 * fresh - penalty
     )
+    # what one row tells comes before rows meet by owner, so that fewer columns are shuffled
+    rows = rows.withColumns({"t30": t30, "t90": t90, "short": short, "sureness": half_up(clamp(sure, 0.0, 99.0)), "comps": n})
+    rows = rows.withColumn("mean30", money(F.avg("t30").over(Window.partitionBy(by))))
+    rows = rows.withColumn("relative", money(F.col("t30") - F.col("mean30")))
+    n = F.col("comps")
     part = lambda c, shift, span, none: F.coalesce(clamp((F.col(c) + shift) / span, 0.0, 1.0) * 100, F.lit(none))
     speed = 0.42 * part("t30", 24, 48, 0.0) + 0.28 * part("t90", 30, 60, 0.0) + 0.2 * part("relative", 20, 40, 50.0) + 0.1 * part("short", 18, 36, 50.0)
-    rows = rows.withColumns({"sureness": half_up(clamp(sure, 0.0, 99.0)), "momentum": half_up(clamp(speed, 0.0, 100.0)), "comps": n})
+    rows = rows.withColumn("momentum", half_up(clamp(speed, 0.0, 100.0)))
     s, liquid, move = F.col("sureness"), F.col("liquidity"), F.col("momentum")
     none = lambda c: F.coalesce(c, F.lit(False))
     falling, profit = none(F.col("t30") <= -8), none(F.col("gain_pct") >= 35) & (liquid >= 55)

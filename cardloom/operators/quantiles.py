@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.operators.order import in_order
+from cardloom.session import written
+
+#: Rows of a group up to which one task takes them all; larger groups are dealt to many tasks.
+GATHERED = 20_000
+
+
+def by_group_size(rows: DataFrame, by: list[str], whole: Callable[[DataFrame], DataFrame], dealt: Callable[[DataFrame], DataFrame], most: int = GATHERED) -> DataFrame:
+    """whole of the rows in groups of at most so many rows, and dealt of those in larger groups, if there are any.
+
+    Both must give the same columns and see all rows of their groups. There are at most 1 / most as many
+    larger groups as rows, so their names are broadcast. A group of nulls counts as one.
+    """
+    named = [F.col(c).alias(f"_by_{c}") for c in by]
+    large = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*named))
+    if large.isEmpty():
+        return whole(rows)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return whole(rows.join(F.broadcast(large), same, "left_anti")).unionByName(dealt(rows.join(F.broadcast(large), same, "left_semi")))
 
 
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, subsets: dict[str, Column], probs: dict[str, float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.expr import choose, clamp, days_before, half_up, listed
-from cardloom.operators.quantiles import exact_quantiles, with_quantiles
+from cardloom.operators.quantiles import GATHERED, by_group_size, exact_quantiles, with_quantiles
 from cardloom.session import written
 
 #: Trust in a source by its authorization; the last two depend on verification.
@@ -100,14 +100,23 @@ def mark_repeats(scored: DataFrame, keys: list[str], order: str = "seen") -> Dat
     )
 
 
-def mark_outliers(scored: DataFrame, group: list[str], value: str = "all_in", least: int = 5, floor_zero: bool = True) -> DataFrame:
-    """Rows outside 1.5 interquartile ranges of the usable values of their group, if it has least of them.
+def with_fences(scored: DataFrame, group: list[str], value: str, whole: bool) -> DataFrame:
+    """scored with _n, _q1 and _q3: count and quartiles of the usable values of the group.
 
-    The rows are written once, as they are read for the quartiles and again beside them.
+    Whole groups are windows over rows that lie together. Else the rows are written once, as they are read for the quartiles and again beside them.
     """
+    if whole:
+        usable, together = F.when(F.col("usable"), F.col(value).cast("double")), Window.partitionBy(*group)
+        out = scored.withColumns({"_n": F.count(usable).over(together), "_q": F.percentile(usable, F.array(F.lit(0.25), F.lit(0.75))).over(together)})
+        return out.withColumns({"_q1": F.get("_q", F.lit(0)), "_q3": F.get("_q", F.lit(1))}).drop("_q")
     scored = written(scored)
     quartiles = exact_quantiles(scored, group, value, {"_u": F.col("usable")}, {"q1": 0.25, "q3": 0.75})
-    marked = with_quantiles(scored, group, quartiles).withColumnsRenamed({"_u_q1": "_q1", "_u_q3": "_q3", "_u_n": "_n"})
+    return with_quantiles(scored, group, quartiles).withColumnsRenamed({"_u_q1": "_q1", "_u_q3": "_q3", "_u_n": "_n"})
+
+
+def fence(scored: DataFrame, group: list[str], value: str, whole: bool, least: int = 5, floor_zero: bool = True) -> DataFrame:
+    """Rows outside the fences of their group become outliers; whole as in with_fences."""
+    marked = with_fences(scored, group, value, whole)
     spread = F.col("_q3") - F.col("_q1")
     low = F.col("_q1") - 1.5 * spread
     low = F.greatest(F.lit(0.0), low) if floor_zero else low
@@ -121,7 +130,20 @@ def mark_outliers(scored: DataFrame, group: list[str], value: str = "all_in", le
     )
 
 
-def judge_sales(sales: DataFrame, now: Column) -> DataFrame:
-    """Scores, repeats and outliers of each card's sales, in one shuffle by card."""
-    scored = score_sales(sales, now).repartition("card_id")
-    return mark_outliers(mark_repeats(scored, ["card_id", "provider", "raw_id"]), ["card_id"])
+def mark_outliers(scored: DataFrame, group: list[str], value: str = "all_in", least: int = 5, floor_zero: bool = True, most: int = GATHERED) -> DataFrame:
+    """Rows outside 1.5 interquartile ranges of the usable values of their group, if it has least of them.
+
+    Groups of more than most rows are dealt to many tasks.
+    """
+    return by_group_size(scored, group, lambda rows: fence(rows, group, value, True, least, floor_zero), lambda rows: fence(rows, group, value, False, least, floor_zero), most)
+
+
+def judged_groups(sales: DataFrame, now: Column, whole: bool) -> DataFrame:
+    """judge_sales over groups that are all whole, or all dealt to many tasks. Scores come after the shuffle, as they are wider than what they are made of."""
+    scored = score_sales(sales.repartition("card_id"), now)
+    return fence(mark_repeats(scored, ["card_id", "provider", "raw_id"]), ["card_id"], "all_in", whole)
+
+
+def judge_sales(sales: DataFrame, now: Column, most: int = GATHERED) -> DataFrame:
+    """Scores, repeats and outliers of each card's sales, in one shuffle by card; cards of more than most sales are dealt to many tasks for their quartiles."""
+    return by_group_size(sales, ["card_id"], lambda rows: judged_groups(rows, now, True), lambda rows: judged_groups(rows, now, False), most)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.expr import choose, clamp, half_up, money
-from cardloom.operators.quantiles import exact_quantiles, with_quantiles
-from cardloom.operators.scoring import mark_outliers
+from cardloom.operators.quantiles import GATHERED, by_group_size, exact_quantiles, with_quantiles
+from cardloom.operators.scoring import fence, judged_groups
 from cardloom.session import written
 
 WINDOWS = (7, 30, 90, 180, 365)
@@ -49,29 +49,50 @@ def change_pct(now: Column, before: Column) -> Column:
     return F.when((now != 0) & (before != 0), money((now - before) / before * 100))
 
 
-def value_cards(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
+def grouped_with_quantiles(rows: DataFrame, by: list[str], value: str, subsets: dict[str, Column], probs: dict[str, float], figures: list[Column], whole: bool) -> DataFrame:
+    """One row for each group with its figures and s_q, the quantiles of the subsets; whole groups lie together and need one aggregation."""
+    if not whole:
+        return with_quantiles(rows.groupBy(*by).agg(*figures), by, exact_quantiles(rows, by, value, subsets, probs)).drop(*[f"{s}_n" for s in subsets])
+    places = F.array(*map(F.lit, probs.values()))
+    gathered = [F.percentile(F.when(c, F.col(value).cast("double")), places).alias(f"_of_{s}") for s, c in subsets.items()]
+    out = rows.groupBy(*by).agg(*figures, *gathered)
+    return out.select("*", *[F.get(f"_of_{s}", F.lit(at)).alias(f"{s}_{q}") for s in subsets for at, q in enumerate(probs)]).drop(*[f"_of_{s}" for s in subsets])
+
+
+def value_sales(sales: DataFrame, now: Column, most: int = GATHERED) -> DataFrame:
+    """value_cards of judge_sales; sales meet by card once and are judged and valued there, but for cards of more than most sales."""
+    return by_group_size(sales, ["card_id"], lambda rows: valued_groups(judged_groups(rows, now, True), ["card_id"], True), lambda rows: valued_groups(judged_groups(rows, now, False), ["card_id"], False), most)
+
+
+def value_cards(judged: DataFrame, by: list[str] | None = None, most: int = GATHERED) -> DataFrame:
     """Value, range, windows, trends, liquidity and confidence of each card from its judged sales.
 
-    One aggregation computes every window, and exact_quantiles their quartiles, so no card's prices are
+    One aggregation computes every window. Quartiles of groups of more than most rows come from exact_quantiles, so no such group is
     gathered; the earlier periods of the trends are weighted without age. The value is the weighted mean of 30, 90 or 180 days, or the median of all.
     """
     by = by or ["card_id"]
+    return by_group_size(judged, by, lambda rows: valued_groups(rows, by, True), lambda rows: valued_groups(rows, by, False), most)
+
+
+def valued_groups(judged: DataFrame, by: list[str], whole: bool) -> DataFrame:
+    """value_cards over groups that are all whole, or all dealt to many tasks."""
     valid = F.col("usable") & (F.col("status") == "included") & F.col("all_in").isNotNull() & (F.col("all_in") >= 0)
     rows = judged.withColumn("valid", valid).withColumn("w_plain", sale_weight()).withColumn("w_aged", F.exp(-F.col("age_days") / 45) * F.col("w_plain"))
     used = ["status", "all_in", "provider", "verified", "is_outlier", "quality_score", "trust_score", "match_score", "valid", "w_plain", "w_aged", "age_days", "sold_at"]
-    rows = written(rows.select(*by, *used))
-    quartiles = exact_quantiles(rows, by, "all_in", {"_all": F.col("valid")} | {f"_d{d}": within(d) for d in WINDOWS}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    rows = rows.select(*by, *used)
+    rows = rows if whole else written(rows)
     price, age, ok = F.when(F.col("valid"), F.col("all_in")), F.col("age_days"), F.col("valid")
     mean = lambda c: F.coalesce(half_up(F.avg(c)), F.lit(0))
-    grouped = rows.groupBy(*by).agg(
+    figures = [
         F.count(F.lit(1)).alias("sales"), F.count(price).alias("included"), F.count_if(F.col("status").startswith("excluded")).alias("excluded"), F.count_if(F.col("status") == "needs_review").alias("in_review"),
         F.count_distinct(F.when(ok, F.col("provider"))).alias("providers"), F.count_if(F.col("is_outlier")).alias("outliers"), F.count_if(F.col("status") == "excluded_duplicate").alias("duplicates"),
         F.count_if(ok & F.col("verified")).alias("verified"), mean("quality_score").alias("avg_quality"), mean("trust_score").alias("avg_trust"), mean("match_score").alias("avg_match"),
         *[a for days in WINDOWS for a in window_aggregates(days)],
         weighted(ok & (age > 30) & (age <= 60), "w_plain").alias("prior30"), weighted(ok & (age > 90) & (age <= 180), "w_plain").alias("prior90"),
         F.max(F.when(ok, F.col("sold_at"))).alias("last_sale_at"), F.min(F.when(ok, age)).alias("_last_age"),
-    )
-    grouped = with_quantiles(grouped, by, quartiles).withColumns({"_median": money("_all_p50"), "_spread": F.col("_all_p75") - F.col("_all_p25")})
+    ]
+    grouped = grouped_with_quantiles(rows, by, "all_in", {"_all": ok} | {f"_d{d}": within(d) for d in WINDOWS}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, whole)
+    grouped = grouped.withColumns({"_median": money("_all_p50"), "_spread": F.col("_all_p75") - F.col("_all_p25")})
     plain = [c for c in grouped.columns if not c.startswith(("d1", "d3", "d7", "d9", "_d", "_all"))]
     grouped = grouped.select(*plain, *[c for days in WINDOWS for c in window_columns(days)])
     n, share = F.col("included"), lambda c: F.when(F.col("included") > 0, F.col(c) / (F.col("included") + F.col(c))).otherwise(F.when(F.col(c) > 0, 0.5).otherwise(0.0))
@@ -98,21 +119,25 @@ def value_cards(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     ).drop("_median", "_spread", "_last_age", "prior30", "prior90")
 
 
-def asking_context(asks: DataFrame, values: DataFrame) -> DataFrame:
-    """A robust summary of each card's active fixed-price listings, beside the value of its sales."""
+def asks_of_cards(asks: DataFrame, whole: bool) -> DataFrame:
+    """A robust summary of each card's active fixed-price listings, over cards that are all whole, or all dealt to many tasks."""
     turn = F.row_number().over(Window.partitionBy("card_id", "provider", "item", "ask").orderBy("seen"))
     kept = asks.repartition("card_id").withColumn("_first", turn == 1).withColumn("usable", F.col("_first") & F.col("fixed_price") & F.col("ask").isNotNull())
     kept = kept.withColumn("status", F.lit("included")).withColumn("reasons", F.array().cast("array<string>"))
-    trimmed = mark_outliers(kept, ["card_id"], "ask")
+    trimmed = fence(kept, ["card_id"], "ask", whole).select("card_id", "usable", "ask", "provider")
+    trimmed = trimmed if whole else written(trimmed)
     ask = F.when(F.col("usable"), F.col("ask"))
-    trimmed = written(trimmed.select("card_id", "usable", "ask", "provider"))
-    quartiles = exact_quantiles(trimmed, ["card_id"], "ask", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    grouped = trimmed.groupBy("card_id").agg(
+    figures = [
         F.count(ask).alias("asks"), F.count_if(~F.col("usable")).alias("rejected"), F.count_distinct(F.when(F.col("usable"), F.col("provider"))).alias("sources"),
         money(F.min(ask)).alias("low"), money(F.max(ask)).alias("high"),
-    )
-    grouped = with_quantiles(grouped, ["card_id"], quartiles)
-    grouped = grouped.select("card_id", "asks", "rejected", "sources", "low", money("_u_p25").alias("p25"), money("_u_p50").alias("median_ask"), money("_u_p75").alias("p75"), "high")
+    ]
+    grouped = grouped_with_quantiles(trimmed, ["card_id"], "ask", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, whole)
+    return grouped.select("card_id", "asks", "rejected", "sources", "low", money("_u_p25").alias("p25"), money("_u_p50").alias("median_ask"), money("_u_p75").alias("p75"), "high")
+
+
+def asking_context(asks: DataFrame, values: DataFrame, most: int = GATHERED) -> DataFrame:
+    """A robust summary of each card's active fixed-price listings, beside the value of its sales."""
+    grouped = by_group_size(asks, ["card_id"], lambda rows: asks_of_cards(rows, True), lambda rows: asks_of_cards(rows, False), most)
     joined = grouped.join(values.select("card_id", "value", "confidence", "volume90"), "card_id", "left")
     m, v, n = F.col("median_ask"), F.col("value"), F.col("asks")
     gap = (m - v) / v * 100
@@ -139,15 +164,20 @@ def asking_context(asks: DataFrame, values: DataFrame) -> DataFrame:
     return out.withColumn("list_anchor", blended).withColumn("pricing_confidence", sure).drop("confidence", "volume90")
 
 
-def robust_prices(prices: DataFrame, by: str, price: str, least: int = 3) -> DataFrame:
+def fair_prices(rows: DataFrame, by: str, whole: bool) -> DataFrame:
+    """Counts and quartiles of prices without outliers, over groups that are all whole, or all dealt to many tasks."""
+    trimmed = fence(rows.repartition(by), [by], "price", whole, least=4, floor_zero=False).select(by, "usable", "is_outlier", "price")
+    trimmed = trimmed if whole else written(trimmed)
+    figures = [F.count(F.when(F.col("usable"), F.col("price"))).alias("comps"), F.count_if(F.col("is_outlier")).alias("removed")]
+    grouped = grouped_with_quantiles(trimmed, [by], "price", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, whole)
+    return grouped.withColumnsRenamed({"_u_p25": "_low", "_u_p50": "_mid", "_u_p75": "_high"})
+
+
+def robust_prices(prices: DataFrame, by: str, price: str, least: int = 3, most: int = GATHERED) -> DataFrame:
     """Quartile prices, offers and confidence from positive prices without outliers, in decimals."""
     amount = money(price).cast("decimal(14,2)")
     rows = prices.select(by, amount.alias("price")).filter("price > 0").withColumn("usable", F.lit(True)).withColumn("status", F.lit("included")).withColumn("reasons", F.array().cast("array<string>"))
-    trimmed = mark_outliers(rows.repartition(by), [by], "price", least=4, floor_zero=False)
-    trimmed = written(trimmed.select(by, "usable", "is_outlier", "price"))
-    quartiles = exact_quantiles(trimmed, [by], "price", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    grouped = trimmed.groupBy(by).agg(F.count(F.when(F.col("usable"), F.col("price"))).alias("comps"), F.count_if(F.col("is_outlier")).alias("removed"))
-    grouped = with_quantiles(grouped, [by], quartiles).withColumnsRenamed({"_u_p25": "_low", "_u_p50": "_mid", "_u_p75": "_high"}).drop("_u_n")
+    grouped = by_group_size(rows, [by], lambda some: fair_prices(some, by, True), lambda some: fair_prices(some, by, False), most)
     enough = F.col("comps") >= least
     spread = F.when(F.col("_mid") > 0, (F.col("_high") - F.col("_low")) / F.col("_mid")).otherwise(F.lit(1.0))
     sure = 0.65 * F.least(F.col("comps") / 12, F.lit(1.0)) + 0.35 * (1 - F.least(spread, F.lit(1.0)))

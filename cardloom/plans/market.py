@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.expr import half_up, money
 from cardloom.operators.scoring import judge_sales, score_sales
-from cardloom.operators.valuation import WINDOWS, asking_context, dealer_offers, lot_economics, robust_prices, value_cards
+from cardloom.operators.valuation import WINDOWS, asking_context, dealer_offers, lot_economics, robust_prices, value_sales
 from cardloom.plans.views import ASKS_SQL, SALES_SQL, as_of, asks, cards, sales
 from cardloom.session import table
 
@@ -106,7 +106,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_cards(judged(spark, sf_dir))
+    return value_sales(sales(spark, sf_dir), as_of())
 
 
 def comp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cardloom.operators.scoring import apply_reviews, judge_sales, mark_outliers, score_sales
-from cardloom.operators.valuation import asking_context, lot_economics, robust_prices, value_cards
+from cardloom.operators.valuation import asking_context, lot_economics, robust_prices, value_cards, value_sales
 
 SALE = "card_id bigint, provider string, raw_id string, basis string, sale_type string, completed boolean, sold_at timestamp, price double, shipping double, premium double, verified boolean, confidence double, all_in double, seen struct<n:int>"
 
@@ -78,3 +78,25 @@ def test_robust_prices_and_lots(spark):
     lots = {r["lot"]: r for r in lot_economics(spark.createDataFrame(items, "lot string, low double, mid double, high double, sure double, asked double"), "lot").collect()}
     assert (lots["x"]["decision"], lots["x"]["conservative"], lots["x"]["fees"], lots["x"]["net"]) == ("BUY TARGET", 190.0, 27.1, 172.9)
     assert (lots["y"]["decision"], lots["z"]["decision"]) == ("NEEDS PRICING", "PASS AT CURRENT PRICE")
+
+
+def some_sales():
+    return [sale(n, 50.0 + n * 7 % 31 + (900 if n % 29 == 0 else 0), days=n % 200, raw=f"r{n % 70}", provider=f"P{n % 3}", card=None if n % 11 == 0 else n % 5, completed=n % 13 != 0) for n in range(240)]
+
+
+def test_sales_are_shuffled_once_and_not_written(spark):
+    plan = value_sales(table(spark, some_sales()), now())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
+
+
+def test_large_cards_are_dealt_to_many_tasks_with_the_same_values(spark):
+    sales = table(spark, some_sales())
+    whole, mixed, dealt = ({r["card_id"]: r for r in value_sales(sales, now(), most).collect()} for most in (1000, 40, 0))
+    assert len(whole) == 6 and whole == mixed == dealt
+    key = ["card_id", "seen", "status", "usable", "is_outlier"]
+    one, two, three = (sorted(map(repr, judge_sales(sales, now(), most).select(key).collect())) for most in (1000, 40, 0))
+    assert len(one) == 240 and one == two == three and any("excluded_outlier" in r for r in one)
+    asks = sales.select("card_id", "provider", F.col("raw_id").alias("item"), F.col("all_in").alias("ask"), F.lit(True).alias("fixed_price"), "seen")
+    values = value_sales(sales, now())
+    assert len({repr(sorted(map(repr, asking_context(asks, values, most).collect()))) for most in (1000, 40, 0)}) == 1
+    assert len({repr(sorted(map(repr, robust_prices(sales, "card_id", "all_in", most=most).collect()))) for most in (1000, 40, 0)}) == 1
