@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm.text import SPACE, SPACE_CLASS, lines_of, text_or_empty, words_of
+from cardloom.operators.quantiles import exact_quantiles
 from cardloom.session import table, written
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -20,26 +21,27 @@ def gram_buckets(words: Column, buckets: int) -> Column:
     return F.concat(single, F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int, key: str = "doc_id") -> DataFrame:
-    """The ids of at most max_trusted rows of quality 1, those first by hash of the id; _fold 0 for a quarter of them that sets the threshold."""
+def trusted_ids(labels: DataFrame, max_trusted: int | None = None, key: str = "doc_id") -> DataFrame:
+    """The ids of all rows of quality 1, with _fold 0 for a quarter of them that sets the threshold; if max_trusted is given, those first by hash of the id."""
     good = labels.filter((F.col("quality") == 1) & F.col(key).isNotNull()).select(key).distinct()
-    return good.orderBy(F.xxhash64(key), key).limit(max_trusted).withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), key), F.lit(4)))
+    good = good if max_trusted is None else good.orderBy(F.xxhash64(key), key).limit(max_trusted)
+    return good.withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), key), F.lit(4)))
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = 20_000, smoothing: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row, model: for each bucket the log ratio of its share among trusted texts to its share among all.
 
-    The trusted multinomial comes from three quarters of at most max_trusted labelled documents,
-    whose ids are broadcast (8 bytes each); the raw one counts every n-gram of every document.
+    The trusted multinomial comes from three quarters of all documents that labels trust; the raw one counts every n-gram of every document.
     Labels with a null id or quality, and labels of unknown documents, teach nothing; null texts
     count as empty. Counts are summed in each task before at most buckets rows of it are shuffled.
     """
-    trusted = F.broadcast(trusted_ids(labels, max_trusted, key).filter("_fold > 0").select(key, F.lit(1).alias("_trusted")))
-    split = docs.select(key, words_of(text_or_empty(text)).alias("_words")).join(trusted, key, "left")
-    grams = split.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(gram_buckets(F.col("_words"), buckets)).alias("_bucket"))
-    counts = grams.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_raw"), F.sum("_trusted").alias("_good"))
+    trusted = trusted_ids(labels, key=key).filter("_fold > 0").select(key)
+    # words are a column of their own, else they would be found anew for each pair
+    grams = lambda rows: rows.select(words_of(text_or_empty(text)).alias("_words")).select(F.explode(gram_buckets(F.col("_words"), buckets)).alias("_bucket")).groupBy("_bucket")
+    raw = grams(docs.select(text)).agg(F.count(F.lit(1)).alias("_raw"))
+    good = grams(docs.select(key, text).join(trusted, key, "left_semi")).agg(F.count(F.lit(1)).alias("_good"))
     every = docs.sparkSession.range(buckets, numPartitions=1).select(F.col("id").cast("int").alias("_bucket"))
-    filled = every.join(counts, "_bucket", "left").select("_bucket", F.coalesce("_raw", F.lit(0)).alias("_raw"), F.coalesce("_good", F.lit(0)).alias("_good"))
+    filled = every.join(raw, "_bucket", "left").join(good, "_bucket", "left").select("_bucket", F.coalesce("_raw", F.lit(0)).alias("_raw"), F.coalesce("_good", F.lit(0)).alias("_good"))
     gathered = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("_bucket", "_raw", "_good"))).alias("_all"), F.sum("_raw").alias("_raws"), F.sum("_good").alias("_goods"))
     share = lambda n, total: (n + F.lit(smoothing)) / (F.col(total) + F.lit(smoothing * buckets))
     return gathered.select(F.transform("_all", lambda x: F.log(share(x["_good"], "_goods")) - F.log(share(x["_raw"], "_raws"))).alias("model"))
@@ -85,20 +87,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, model: DataFrame, drop_share: float, buckets: int, max_trusted: int, key: str, text: str) -> DataFrame:
+def fit_threshold(docs: DataFrame, labels: DataFrame, model: DataFrame, drop_share: float, buckets: int, key: str, text: str) -> DataFrame:
     """One row, threshold: what a share of drop_share of the held-out trusted documents falls below; null without any.
 
     Only the quarter of the trusted documents that the ratio did not learn from counts, of these those that pass the base rules.
     """
-    held = F.broadcast(trusted_ids(labels, max_trusted, key).filter("_fold = 0").select(key))
-    # written, as a filter on these columns would repeat their expressions; bounded by max_trusted
-    counted = written(base_counts(docs.select(key, text).join(held, key, "left_semi"), text).select("n_words", "n_repeat_words", "_words"))
-    scored = counted.filter(~base_failed()).withColumn("_model", model.scalar()).select(ratio_of(F.col("_model"), buckets).alias("llr"))
-    return scored.agg(F.percentile("llr", F.lit(drop_share)).alias("threshold"))
+    held = trusted_ids(labels, key=key).filter("_fold = 0").select(key)
+    counted = base_counts(docs.select(key, text).join(held, key, "left_semi"), text).withColumn("_model", model.scalar())
+    # written, as a filter on these columns would repeat their expressions; three numbers for each document
+    scored = written(counted.select("n_words", "n_repeat_words", ratio_of(F.col("_model"), buckets).alias("llr")))
+    found = exact_quantiles(scored.filter(~base_failed()), [], "llr", {"llr": F.lit(True)}, {"least": drop_share})
+    return found.select(F.col("llr_least").alias("threshold"))
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, threshold: float | None = None, drop_share: float = 0.001, buckets: int = BUCKETS, max_trusted: int = 20_000, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, threshold: float | None = None, drop_share: float = 0.001, buckets: int = BUCKETS, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The documents with base counts, llr, base_failed and kept.
 
@@ -111,8 +114,8 @@ def judge(
     documents nothing is dropped for its ratio. An empty table gives an empty result.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
-    model = written(fit_ratio(docs, labels, buckets, max_trusted, key=key, text=text))
-    least = F.lit(threshold) if threshold is not None else fit_threshold(docs, labels, model, drop_share, buckets, max_trusted, key, text).scalar()
+    model = written(fit_ratio(docs, labels, buckets, key=key, text=text))
+    least = F.lit(threshold) if threshold is not None else fit_threshold(docs, labels, model, drop_share, buckets, key, text).scalar()
     counted = base_counts(docs.drop(*added), text).withColumn("_model", model.scalar())
     scored = counted.withColumn("llr", ratio_of(F.col("_model"), buckets)).drop("_words", "_model")
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.coalesce(least, F.lit(float("-inf")))))

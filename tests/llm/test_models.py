@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from cardloom.llm.language_id import UNDETERMINED, Compressors, dictionaries, folded, identify, op9_language_id, own_passages
-from cardloom.llm.quality import base_counts, judge, op8_quality_rules, trusted_ids
+from cardloom.llm.quality import base_counts, fit_ratio, judge, op8_quality_rules, trusted_ids
 from cardloom.llm.toxicity import BlockMaxIndex, fit, monotone, op7_toxicity, score, term_gains, terms_of
 
 from .helpers import documents, empty, remainder, words
@@ -90,6 +91,15 @@ def test_base_counts_match_plain_python(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == quality_by_hand(r["text"]), r["doc_id"]
 
 
+def test_every_trusted_document_is_used(spark):
+    good = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = good.select("doc_id", F.concat_ws(" ", F.lit("w"), "doc_id").alias("text"))
+    found = trusted_ids(good).groupBy().agg(F.count(F.lit(1)), F.count_if(F.col("_fold") > 0)).first()
+    model = fit_ratio(docs, good, 8).first()["model"]
+    everything = fit_ratio(docs, good.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)) > 0), 8).first()["model"]
+    assert found[0] == 20_500 and 0 < found[1] < 20_500 and model == everything
+
+
 def test_ratio_matches_plain_python(spark):
     docs = [(i, t) for i, t, *_ in table("documents")][:120]
     labels = [(i, q) for i, q, _ in table("labels") if i < 120]
