@@ -80,15 +80,20 @@ def flips(width: int, radius: int) -> list[int]:
 
 
 def banded(rows: DataFrame, bits: int, bands: int, radius: int, probing: bool) -> DataFrame:
-    """rows, once for each band (at) and key: the band's own value, or all values within radius of it."""
-    cuts = [bits * i // bands for i in range(bands + 1)]
-
-    def keys(i: int) -> Column:
-        own = band(F.col("hash"), cuts[i], cuts[i + 1])
-        near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips(cuts[i + 1] - cuts[i], radius)]), lambda x: own.bitwiseXOR(x)) if probing else F.array(own)
-        return F.transform(near, lambda key: F.struct(F.lit(i).alias("at"), key.alias("key")))
+    """rows, once for each band (at) and key: the band's own value, or all values within radius of it.
 
-    return rows.withColumn("_probe", F.explode(F.flatten(F.array(*map(keys, range(bands)))))).select("*", "_probe.at", "_probe.key").drop("_probe")
+    The patterns of a radius can be thousands, so they are rows to join with and no part of the plan.
+    """
+    cuts = [bits * i // bands for i in range(bands + 1)]
+    own = F.array(*[F.struct(F.lit(i).alias("at"), band(F.col("hash"), cuts[i], cuts[i + 1]).alias("key")) for i in range(bands)])
+    listed = rows.withColumn("_probe", F.explode(own)).select("*", "_probe.at", "_probe.key").drop("_probe")
+    if not probing or radius == 0:
+        return listed
+    patterns = [(width, x) for width in {cuts[i + 1] - cuts[i] for i in range(bands)} for x in flips(width, radius)]
+    near = rows.sparkSession.createDataFrame(patterns, "_width int, _flip bigint")
+    width = F.element_at(F.array(*[F.lit(cuts[i + 1] - cuts[i]) for i in range(bands)]), F.col("at") + 1)
+    met = listed.withColumn("_width", width).join(F.broadcast(near), "_width")
+    return met.withColumn("key", F.col("key").bitwiseXOR(F.col("_flip"))).drop("_width", "_flip")
 
 
 def neighbours(left: DataFrame, right: DataFrame, most: int, words: int, bands: int | None = None) -> DataFrame:

@@ -99,3 +99,14 @@ def test_queries_match_sql(spark, name):
     columns = sorted(frame.columns)
     listed = ", ".join(f'"{c}"' for c in columns)
     assert same(map(tuple, frame.select(columns).collect()), con.execute(f"SELECT {listed} FROM ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_probe_patterns_are_rows_and_no_part_of_the_plan(spark):
+    from cardloom.operators.hashes import banded, flips
+
+    rows = spark.createDataFrame([(1, [0x0123_4567_89AB_CDEF]), (2, [-1])], "id bigint, hash array<bigint>")
+    probes = banded(rows, 64, 4, 4, True)
+    assert "Join" in probes._jdf.queryExecution().analyzed().toString()
+    found = {(r["id"], r["at"], r["key"]) for r in probes.collect()}
+    words = {1: 0x0123_4567_89AB_CDEF, 2: (1 << 64) - 1}
+    assert found == {(i, at, (w >> 16 * at & 0xFFFF) ^ x) for i, w in words.items() for at in range(4) for x in flips(16, 4)}
