@@ -28,18 +28,26 @@ def trusted_ids(labels: DataFrame, max_trusted: int | None = None, key: str = "d
     return good.withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), key), F.lit(4)))
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def trusted_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text and _fold of the documents that labels trust, written: the ratio and the threshold both read them, and texts are shuffled once.
+
+    The plan is the same at any size: ids are hashed where the texts of their range lie, so texts are never sorted and no id is broadcast.
+    """
+    return written(docs.select(key, text).join(trusted_ids(labels, key=key).hint("shuffle_hash"), key))
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0, key: str = "doc_id", text: str = "text", trusted: DataFrame | None = None) -> DataFrame:
     """One row, model: for each bucket the log ratio of its share among trusted texts to its share among all.
 
     The trusted multinomial comes from three quarters of all documents that labels trust; the raw one counts every n-gram of every document.
     Labels with a null id or quality, and labels of unknown documents, teach nothing; null texts
-    count as empty. Counts are summed in each task before at most buckets rows of it are shuffled.
+    count as empty. Counts are summed in each task before at most buckets rows of it are shuffled. trusted: trusted_texts, if they are there already.
     """
-    trusted = trusted_ids(labels, key=key).filter("_fold > 0").select(key)
+    trusted = trusted_texts(docs, labels, key, text) if trusted is None else trusted
     # words are a column of their own, else they would be found anew for each pair
     grams = lambda rows: rows.select(words_of(text_or_empty(text)).alias("_words")).select(F.explode(gram_buckets(F.col("_words"), buckets)).alias("_bucket")).groupBy("_bucket")
     raw = grams(docs.select(text)).agg(F.count(F.lit(1)).alias("_raw"))
-    good = grams(docs.select(key, text).join(trusted, key, "left_semi")).agg(F.count(F.lit(1)).alias("_good"))
+    good = grams(trusted.filter("_fold > 0").select(text)).agg(F.count(F.lit(1)).alias("_good"))
     every = docs.sparkSession.range(buckets, numPartitions=1).select(F.col("id").cast("int").alias("_bucket"))
     filled = every.join(raw, "_bucket", "left").join(good, "_bucket", "left").select("_bucket", F.coalesce("_raw", F.lit(0)).alias("_raw"), F.coalesce("_good", F.lit(0)).alias("_good"))
     gathered = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("_bucket", "_raw", "_good"))).alias("_all"), F.sum("_raw").alias("_raws"), F.sum("_good").alias("_goods"))
@@ -87,13 +95,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, model: DataFrame, drop_share: float, buckets: int, key: str, text: str) -> DataFrame:
-    """One row, threshold: what a share of drop_share of the held-out trusted documents falls below; null without any.
+def fit_threshold(trusted: DataFrame, model: DataFrame, drop_share: float, buckets: int, text: str) -> DataFrame:
+    """One row, threshold: what a share of drop_share of the held-out trusted documents (of trusted_texts) falls below; null without any.
 
     Only the quarter of the trusted documents that the ratio did not learn from counts, of these those that pass the base rules.
     """
-    held = trusted_ids(labels, key=key).filter("_fold = 0").select(key)
-    counted = base_counts(docs.select(key, text).join(held, key, "left_semi"), text).withColumn("_model", model.scalar())
+    counted = base_counts(trusted.filter("_fold = 0").select(text), text).withColumn("_model", model.scalar())
     # written, as a filter on these columns would repeat their expressions; three numbers for each document
     scored = written(counted.select("n_words", "n_repeat_words", ratio_of(F.col("_model"), buckets).alias("llr")))
     found = exact_quantiles(scored.filter(~base_failed()), [], "llr", {"llr": F.lit(True)}, {"least": drop_share})
@@ -114,8 +121,9 @@ def judge(
     documents nothing is dropped for its ratio. An empty table gives an empty result.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
-    model = written(fit_ratio(docs, labels, buckets, key=key, text=text))
-    least = F.lit(threshold) if threshold is not None else fit_threshold(docs, labels, model, drop_share, buckets, key, text).scalar()
+    trusted = trusted_texts(docs, labels, key, text)
+    model = written(fit_ratio(docs, labels, buckets, key=key, text=text, trusted=trusted))
+    least = F.lit(threshold) if threshold is not None else fit_threshold(trusted, model, drop_share, buckets, text).scalar()
     counted = base_counts(docs.drop(*added), text).withColumn("_model", model.scalar())
     scored = counted.withColumn("llr", ratio_of(F.col("_model"), buckets)).drop("_words", "_model")
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.coalesce(least, F.lit(float("-inf")))))

@@ -7,9 +7,11 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
+from cardloom.llm import quality
 from cardloom.llm.language_id import UNDETERMINED, Compressors, dictionaries, folded, identify, op9_language_id, own_passages
 from cardloom.llm.quality import base_counts, fit_ratio, judge, op8_quality_rules, trusted_ids
 from cardloom.llm.toxicity import BlockMaxIndex, fit, monotone, op7_toxicity, score, term_gains, terms_of
+from cardloom.session import written
 
 from .helpers import documents, empty, remainder, words
 
@@ -146,6 +148,14 @@ def test_quality_keeps_clean_and_drops_bad_documents(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_trusted_texts_meet_their_labels_once_and_unsorted(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(quality, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    op8_quality_rules(spark, SF)
+    joined = [p for p in plans if "quality#" in p and "text#" in p]
+    assert len(joined) == 1 and "ShuffledHashJoin" in joined[0] and "SortMergeJoin" not in joined[0] and "BroadcastHashJoin" not in joined[0]
+
+
 def test_quality_of_hard_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, None)], "doc_id bigint, quality int")
     docs = documents(spark)
