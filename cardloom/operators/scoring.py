@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def price_reliability(price: Column, shipping: Column, premium: Column, sale_typ
     return F.when(price.isNull() | (price < 0), 0).otherwise(clamp(points, 0, 100)).cast("long")
 
 
-def completeness(fields: list[Column], shipping: Column, premium: Column, slots: int = 14) -> Column:
-    """Share of filled fields among slots, in points, with two for each known extra cost."""
-    filled = sum((F.when(f.isNotNull() & (F.trim(f.cast("string")) != ""), 1).otherwise(0) for f in fields), F.lit(0))
+def completeness(texts: list[Column], others: list[Column], shipping: Column, premium: Column, slots: int = 14) -> Column:
+    """Share of filled fields among slots, in points, with two for each known extra cost; texts of blanks are not filled, others are unless null."""
+    filled = sum((F.when(f.isNotNull() & (F.trim(f) != ""), 1).otherwise(0) for f in texts), F.lit(0)) + sum((F.when(f.isNotNull(), 1).otherwise(0) for f in others), F.lit(0))
     extra = F.when(shipping.isNotNull(), 2).otherwise(0) + F.when(premium.isNotNull(), 2).otherwise(0)
     return clamp(half_up(filled / slots * 100) + extra, 0, 100).cast("long")
 
@@ -46,21 +48,16 @@ def score_sales(sales: DataFrame, now: Column, reviews: DataFrame | None = None)
     (sale_id, decision), joined on raw_id, can reject any sale or approve one that is not excluded
     for good. A missing number counts as absent, not as zero.
     """
+    out = with_scores(with_status(sales, now))
+    return out if reviews is None else apply_reviews(out, reviews)
+
+
+def with_status(sales: DataFrame, now: Column) -> DataFrame:
+    """The sales with age, match and trust, and the status, usable and reasons that follow from these."""
     age = days_before("sold_at", now)
     has_date, price = F.col("sold_at").isNotNull(), F.col("all_in")
     match = half_up(clamp(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.7)) * 100, 1.0, 100.0))
-    present = [F.col(c) for c in ("provider", "sold_at", "all_in", "card_id", "raw_id", "basis")]
-    scored = sales.withColumns(
-        {
-            "age_days": age,
-            "match_score": match,
-            "trust_score": trust_score(F.col("basis"), F.col("verified")).cast("long"),
-            "freshness_score": F.when(has_date, freshness_score(age)).otherwise(0).cast("long"),
-            "reliability_score": price_reliability(price, F.col("shipping"), F.col("premium"), F.col("sale_type")),
-            # production is the mode of every sale here
-            "completeness_score": completeness([*present, F.lit("production")], F.col("shipping"), F.col("premium")),
-        }
-    )
+    scored = sales.withColumns({"age_days": age, "match_score": match, "trust_score": trust_score(F.col("basis"), F.col("verified")).cast("long")})
     refused = [
         (price.isNull() | (price < 0), "excluded_missing_price"),
         (~has_date, "excluded_missing_sale_date"),
@@ -72,10 +69,23 @@ def score_sales(sales: DataFrame, now: Column, reviews: DataFrame | None = None)
     out = scored.withColumn("status", choose([*refused, *doubtful], "included")).withColumn("usable", F.col("status") == "included")
     excluded = F.col("status").startswith("excluded")
     reasons = listed(*refused, (~excluded & (F.col("trust_score") < 45), "low_trust"), (~excluded & (F.col("match_score") < 68), "low_match"))
+    return out.withColumn("reasons", reasons)
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """Rows of with_status with the scores that no status needs."""
+    texts, others = [F.col(c) for c in ("provider", "raw_id", "basis")], [F.col(c) for c in ("sold_at", "all_in", "card_id")]
+    scored = rows.withColumns(
+        {
+            "freshness_score": F.when(F.col("sold_at").isNotNull(), freshness_score(F.col("age_days"))).otherwise(0).cast("long"),
+            "reliability_score": price_reliability(F.col("all_in"), F.col("shipping"), F.col("premium"), F.col("sale_type")),
+            # production is the mode of every sale here
+            "completeness_score": completeness([*texts, F.lit("production")], others, F.col("shipping"), F.col("premium")),
+        }
+    )
     quality = F.col("match_score") * 0.30 + F.col("trust_score") * 0.25 + F.col("freshness_score") * 0.16 + F.col("reliability_score") * 0.18 + F.col("completeness_score") * 0.11
     sure = F.col("match_score") * 0.42 + F.col("trust_score") * 0.26 + F.col("reliability_score") * 0.18 + F.col("completeness_score") * 0.14
-    out = out.withColumns({"reasons": reasons, "quality_score": half_up(clamp(quality, 0.0, 100.0)), "confidence_score": half_up(clamp(sure, 0.0, 100.0))})
-    return out if reviews is None else apply_reviews(out, reviews)
+    return scored.withColumns({"quality_score": half_up(clamp(quality, 0.0, 100.0)), "confidence_score": half_up(clamp(sure, 0.0, 100.0))})
 
 
 def apply_reviews(scored: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -88,8 +98,16 @@ def apply_reviews(scored: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def mark_repeats(scored: DataFrame, keys: list[str], order: str = "seen") -> DataFrame:
     """The first row of a key in order stays; later ones are duplicates, also of an excluded first."""
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    marked = scored.withColumn("is_repeat", turn > 1)
+    return without_repeats(with_repeats(scored, keys, order))
+
+
+def with_repeats(rows: DataFrame, keys: list[str], order: str = "seen") -> DataFrame:
+    """rows with is_repeat: whether a row with the same keys comes before in order."""
+    return rows.withColumn("is_repeat", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > 1)
+
+
+def without_repeats(marked: DataFrame) -> DataFrame:
+    """Rows with a status and is_repeat; repeats are not usable."""
     repeat = F.col("is_repeat")
     return marked.withColumns(
         {
@@ -138,12 +156,20 @@ def mark_outliers(scored: DataFrame, group: list[str], value: str = "all_in", le
     return by_group_size(scored, group, lambda rows: fence(rows, group, value, True, least, floor_zero), lambda rows: fence(rows, group, value, False, least, floor_zero), most)
 
 
-def judged_groups(sales: DataFrame, now: Column, whole: bool) -> DataFrame:
-    """judge_sales over groups that are all whole, or all dealt to many tasks. Scores come after the shuffle, as they are wider than what they are made of."""
-    scored = score_sales(sales.repartition("card_id"), now)
-    return fence(mark_repeats(scored, ["card_id", "provider", "raw_id"]), ["card_id"], "all_in", whole)
+def judged_groups(sales: DataFrame, now: Column, whole: bool, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """judge_sales over groups that are all whole, or all dealt to many tasks.
+
+    Sales are made after the shuffle, as they are wider than what they are made of. Each window gets only what it needs: all scores in one step before the first
+    window are a method too long to be compiled by the JVM.
+    """
+    dealt = sales.repartition("card_id")
+    marked = with_repeats(made(dealt) if made else dealt, ["card_id", "provider", "raw_id"])
+    return with_scores(fence(without_repeats(with_status(marked, now)), ["card_id"], "all_in", whole))
 
 
-def judge_sales(sales: DataFrame, now: Column, most: int = GATHERED) -> DataFrame:
-    """Scores, repeats and outliers of each card's sales, in one shuffle by card; cards of more than most sales are dealt to many tasks for their quartiles."""
-    return by_group_size(sales, ["card_id"], lambda rows: judged_groups(rows, now, True), lambda rows: judged_groups(rows, now, False), most)
+def judge_sales(sales: DataFrame, now: Column, most: int = GATHERED, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Scores, repeats and outliers of each card's sales, in one shuffle by card; cards of more than most sales are dealt to many tasks for their quartiles.
+
+    sales may be rows with card_id that made turns into sales, row by row; then only what these hold is shuffled.
+    """
+    return by_group_size(sales, ["card_id"], lambda rows: judged_groups(rows, now, True, made), lambda rows: judged_groups(rows, now, False, made), most)

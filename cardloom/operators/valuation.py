@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,48 +22,57 @@ def sale_weight() -> Column:
     return F.when(F.col("verified"), 1.18).otherwise(0.9) * confidence * F.when(F.col("sale_type") == "auction", 1.04).otherwise(1.0) * quality
 
 
-def weighted(inside: Column, weight: str) -> Column:
-    """Weighted mean price of the sales inside."""
-    return money(F.sum(F.when(inside, F.col("all_in") * F.col(weight))) / F.sum(F.when(inside, F.col(weight))))
+def weighted_sums(name: str, inside: Column, weight: str) -> dict[str, Column]:
+    """The sums that the weighted mean price of the sales inside is made of."""
+    return {f"_{name}_sum": F.sum(F.when(inside, F.col("all_in") * F.col(weight))), f"_{name}_weight": F.sum(F.when(inside, F.col(weight)))}
+
+
+def weighted(name: str) -> Column:
+    """Weighted mean price from weighted_sums."""
+    return money(F.col(f"_{name}_sum") / F.col(f"_{name}_weight"))
 
 
 def within(days: int) -> Column:
     return F.col("valid") & (F.col("age_days") <= days)
 
 
-def window_aggregates(days: int) -> list[Column]:
-    """Count, ends and weighted mean of the sales of the last days."""
+def window_aggregates(days: int) -> dict[str, Column]:
+    """Count, ends, mean and weighted sums of the sales of the last days."""
     price, name = F.when(within(days), F.col("all_in")), f"d{days}"
-    return [
-        F.count(price).alias(f"{name}_count"), money(F.min(price)).alias(f"{name}_low"), money(F.avg(price)).alias(f"{name}_average"), money(F.max(price)).alias(f"{name}_high"),
-        weighted(within(days), "w_aged").alias(f"{name}_weighted"),
-    ]
+    return {f"{name}_count": F.count(price), f"_{name}_low": F.min(price), f"_{name}_average": F.avg(price), f"_{name}_high": F.max(price)} | weighted_sums(name, within(days), "w_aged")
 
 
 def window_columns(days: int) -> list[Column]:
     """The figures of a window in order, its quartiles from exact_quantiles among them."""
     name = f"d{days}"
     quartile = lambda q, n: money(f"_d{days}_{q}").alias(f"{name}_{n}")
-    return [F.col(f"{name}_count"), F.col(f"{name}_low"), quartile("p25", "p25"), quartile("p50", "median"), F.col(f"{name}_average"), quartile("p75", "p75"), F.col(f"{name}_high"), F.col(f"{name}_weighted")]
+    figure = lambda n: money(f"_{name}_{n}").alias(f"{name}_{n}")
+    return [F.col(f"{name}_count"), figure("low"), quartile("p25", "p25"), quartile("p50", "median"), figure("average"), quartile("p75", "p75"), figure("high"), weighted(name).alias(f"{name}_weighted")]
 
 
 def change_pct(now: Column, before: Column) -> Column:
     return F.when((now != 0) & (before != 0), money((now - before) / before * 100))
 
 
-def grouped_with_quantiles(rows: DataFrame, by: list[str], value: str, subsets: dict[str, Column], probs: dict[str, float], figures: list[Column], whole: bool) -> DataFrame:
-    """One row for each group with its figures and s_q, the quantiles of the subsets; whole groups lie together and need one aggregation."""
+def grouped_with_quantiles(rows: DataFrame, by: list[str], value: str, subsets: dict[str, Column], probs: dict[str, float], figures: dict[str, Column], order: list[str], whole: bool) -> DataFrame:
+    """One row for each group with its figures (plain aggregates by name) and s_q, the quantiles of the subsets.
+
+    Whole groups lie together, sorted by group; their figures are windows over them, of which the first row by order (any that puts rows of a group in a row) stays. So no
+    group is hashed, and where rows were sorted by group and order before, they are not sorted anew.
+    """
     if not whole:
-        return with_quantiles(rows.groupBy(*by).agg(*figures), by, exact_quantiles(rows, by, value, subsets, probs)).drop(*[f"{s}_n" for s in subsets])
-    places = F.array(*map(F.lit, probs.values()))
-    gathered = [F.percentile(F.when(c, F.col(value).cast("double")), places).alias(f"_of_{s}") for s, c in subsets.items()]
-    out = rows.groupBy(*by).agg(*figures, *gathered)
+        return with_quantiles(rows.groupBy(*by).agg(*[c.alias(n) for n, c in figures.items()]), by, exact_quantiles(rows, by, value, subsets, probs)).drop(*[f"{s}_n" for s in subsets])
+    places, together = F.array(*map(F.lit, probs.values())), Window.partitionBy(*by)
+    figures = figures | {f"_of_{s}": F.percentile(F.when(c, F.col(value).cast("double")), places) for s, c in subsets.items()}
+    turned = rows.withColumn("_turn", F.row_number().over(together.orderBy(*order)))
+    out = turned.select(*by, "_turn", *[c.over(together).alias(n) for n, c in figures.items()]).filter("_turn = 1").drop("_turn")
     return out.select("*", *[F.get(f"_of_{s}", F.lit(at)).alias(f"{s}_{q}") for s in subsets for at, q in enumerate(probs)]).drop(*[f"_of_{s}" for s in subsets])
 
 
-def value_sales(sales: DataFrame, now: Column, most: int = GATHERED) -> DataFrame:
-    """value_cards of judge_sales; sales meet by card once and are judged and valued there, but for cards of more than most sales."""
-    return by_group_size(sales, ["card_id"], lambda rows: valued_groups(judged_groups(rows, now, True), ["card_id"], True), lambda rows: valued_groups(judged_groups(rows, now, False), ["card_id"], False), most)
+def value_sales(sales: DataFrame, now: Column, most: int = GATHERED, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """value_cards of judge_sales; sales meet by card once and are made (see judge_sales), judged and valued there, but for cards of more than most sales."""
+    valued = lambda whole: lambda rows: valued_groups(judged_groups(rows, now, whole, made), ["card_id"], whole)
+    return by_group_size(sales, ["card_id"], valued(True), valued(False), most)
 
 
 def value_cards(judged: DataFrame, by: list[str] | None = None, most: int = GATHERED) -> DataFrame:
@@ -79,21 +90,23 @@ def valued_groups(judged: DataFrame, by: list[str], whole: bool) -> DataFrame:
     valid = F.col("usable") & (F.col("status") == "included") & F.col("all_in").isNotNull() & (F.col("all_in") >= 0)
     rows = judged.withColumn("valid", valid).withColumn("w_plain", sale_weight()).withColumn("w_aged", F.exp(-F.col("age_days") / 45) * F.col("w_plain"))
     used = ["status", "all_in", "provider", "verified", "is_outlier", "quality_score", "trust_score", "match_score", "valid", "w_plain", "w_aged", "age_days", "sold_at"]
-    rows = rows.select(*by, *used)
+    order = [c for c in ("provider", "raw_id", "seen") if c in rows.columns]  # that of mark_repeats
+    rows = rows.select(*by, *dict.fromkeys([*used, *order] if whole else used))
     rows = rows if whole else written(rows)
     price, age, ok = F.when(F.col("valid"), F.col("all_in")), F.col("age_days"), F.col("valid")
-    mean = lambda c: F.coalesce(half_up(F.avg(c)), F.lit(0))
-    figures = [
-        F.count(F.lit(1)).alias("sales"), F.count(price).alias("included"), F.count_if(F.col("status").startswith("excluded")).alias("excluded"), F.count_if(F.col("status") == "needs_review").alias("in_review"),
-        F.count_distinct(F.when(ok, F.col("provider"))).alias("providers"), F.count_if(F.col("is_outlier")).alias("outliers"), F.count_if(F.col("status") == "excluded_duplicate").alias("duplicates"),
-        F.count_if(ok & F.col("verified")).alias("verified"), mean("quality_score").alias("avg_quality"), mean("trust_score").alias("avg_trust"), mean("match_score").alias("avg_match"),
-        *[a for days in WINDOWS for a in window_aggregates(days)],
-        weighted(ok & (age > 30) & (age <= 60), "w_plain").alias("prior30"), weighted(ok & (age > 90) & (age <= 180), "w_plain").alias("prior90"),
-        F.max(F.when(ok, F.col("sold_at"))).alias("last_sale_at"), F.min(F.when(ok, age)).alias("_last_age"),
-    ]
-    grouped = grouped_with_quantiles(rows, by, "all_in", {"_all": ok} | {f"_d{d}": within(d) for d in WINDOWS}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, whole)
-    grouped = grouped.withColumns({"_median": money("_all_p50"), "_spread": F.col("_all_p75") - F.col("_all_p25")})
-    plain = [c for c in grouped.columns if not c.startswith(("d1", "d3", "d7", "d9", "_d", "_all"))]
+    figures = {
+        "sales": F.count(F.lit(1)), "included": F.count(price), "excluded": F.count_if(F.col("status").startswith("excluded")), "in_review": F.count_if(F.col("status") == "needs_review"),
+        "_providers": F.collect_set(F.when(ok, F.col("provider"))), "outliers": F.count_if(F.col("is_outlier")), "duplicates": F.count_if(F.col("status") == "excluded_duplicate"),
+        "verified": F.count_if(ok & F.col("verified")), "_quality": F.avg("quality_score"), "_trust": F.avg("trust_score"), "_match": F.avg("match_score"),
+        **{n: c for days in WINDOWS for n, c in window_aggregates(days).items()},
+        **weighted_sums("prior30", ok & (age > 30) & (age <= 60), "w_plain"), **weighted_sums("prior90", ok & (age > 90) & (age <= 180), "w_plain"),
+        "last_sale_at": F.max(F.when(ok, F.col("sold_at"))), "_last_age": F.min(F.when(ok, age)),
+    }
+    grouped = grouped_with_quantiles(rows, by, "all_in", {"_all": ok} | {f"_d{d}": within(d) for d in WINDOWS}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, order, whole)
+    mean = lambda c: F.coalesce(half_up(F.col(c)), F.lit(0))
+    grouped = grouped.withColumns({"_median": money("_all_p50"), "_spread": F.col("_all_p75") - F.col("_all_p25"), "prior30": weighted("prior30"), "prior90": weighted("prior90")})
+    grouped = grouped.withColumns({"providers": F.size("_providers").cast("long"), "avg_quality": mean("_quality"), "avg_trust": mean("_trust"), "avg_match": mean("_match")})
+    plain = [*by, "sales", "included", "excluded", "in_review", "providers", "outliers", "duplicates", "verified", "avg_quality", "avg_trust", "avg_match", "prior30", "prior90", "last_sale_at", "_last_age", "_median", "_spread"]
     grouped = grouped.select(*plain, *[c for days in WINDOWS for c in window_columns(days)])
     n, share = F.col("included"), lambda c: F.when(F.col("included") > 0, F.col(c) / (F.col("included") + F.col(c))).otherwise(F.when(F.col(c) > 0, 0.5).otherwise(0.0))
     sure = (
@@ -124,15 +137,14 @@ def asks_of_cards(asks: DataFrame, whole: bool) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("card_id", "provider", "item", "ask").orderBy("seen"))
     kept = asks.repartition("card_id").withColumn("_first", turn == 1).withColumn("usable", F.col("_first") & F.col("fixed_price") & F.col("ask").isNotNull())
     kept = kept.withColumn("status", F.lit("included")).withColumn("reasons", F.array().cast("array<string>"))
-    trimmed = fence(kept, ["card_id"], "ask", whole).select("card_id", "usable", "ask", "provider")
+    order = ["provider", "item", "ask", "seen"]
+    trimmed = fence(kept, ["card_id"], "ask", whole).select("card_id", "usable", *(order if whole else ["ask", "provider"]))
     trimmed = trimmed if whole else written(trimmed)
     ask = F.when(F.col("usable"), F.col("ask"))
-    figures = [
-        F.count(ask).alias("asks"), F.count_if(~F.col("usable")).alias("rejected"), F.count_distinct(F.when(F.col("usable"), F.col("provider"))).alias("sources"),
-        money(F.min(ask)).alias("low"), money(F.max(ask)).alias("high"),
-    ]
-    grouped = grouped_with_quantiles(trimmed, ["card_id"], "ask", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, whole)
-    return grouped.select("card_id", "asks", "rejected", "sources", "low", money("_u_p25").alias("p25"), money("_u_p50").alias("median_ask"), money("_u_p75").alias("p75"), "high")
+    figures = {"asks": F.count(ask), "rejected": F.count_if(~F.col("usable")), "_sources": F.collect_set(F.when(F.col("usable"), F.col("provider"))), "_low": F.min(ask), "_high": F.max(ask)}
+    grouped = grouped_with_quantiles(trimmed, ["card_id"], "ask", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, order, whole)
+    cents = lambda c, name: money(c).alias(name)
+    return grouped.select("card_id", "asks", "rejected", F.size("_sources").cast("long").alias("sources"), cents("_low", "low"), cents("_u_p25", "p25"), cents("_u_p50", "median_ask"), cents("_u_p75", "p75"), cents("_high", "high"))
 
 
 def asking_context(asks: DataFrame, values: DataFrame, most: int = GATHERED) -> DataFrame:
@@ -168,8 +180,8 @@ def fair_prices(rows: DataFrame, by: str, whole: bool) -> DataFrame:
     """Counts and quartiles of prices without outliers, over groups that are all whole, or all dealt to many tasks."""
     trimmed = fence(rows.repartition(by), [by], "price", whole, least=4, floor_zero=False).select(by, "usable", "is_outlier", "price")
     trimmed = trimmed if whole else written(trimmed)
-    figures = [F.count(F.when(F.col("usable"), F.col("price"))).alias("comps"), F.count_if(F.col("is_outlier")).alias("removed")]
-    grouped = grouped_with_quantiles(trimmed, [by], "price", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, whole)
+    figures = {"comps": F.count(F.when(F.col("usable"), F.col("price"))), "removed": F.count_if(F.col("is_outlier"))}
+    grouped = grouped_with_quantiles(trimmed, [by], "price", {"_u": F.col("usable")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, figures, ["price"], whole)
     return grouped.withColumnsRenamed({"_u_p25": "_low", "_u_p50": "_mid", "_u_p75": "_high"})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cardloom.functions.expr import half_up, money
 from cardloom.operators.scoring import judge_sales, score_sales
 from cardloom.operators.valuation import WINDOWS, asking_context, dealer_offers, lot_economics, robust_prices, value_sales
-from cardloom.plans.views import ASKS_SQL, SALES_SQL, as_of, asks, cards, sales
+from cardloom.plans.views import ASKS_SQL, SALES_SQL, as_of, as_sales, asks, cards, sale_lines, sales
 from cardloom.session import table
 
 JUDGED_SQL = (
@@ -102,11 +102,11 @@ VALUE_COLUMNS = [
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_sales(sales(spark, sf_dir), as_of())
+    return judge_sales(sale_lines(spark, sf_dir), as_of(), made=as_sales)
 
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_sales(sales(spark, sf_dir), as_of())
+    return value_sales(sale_lines(spark, sf_dir), as_of(), made=as_sales)
 
 
 def comp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

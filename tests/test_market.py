@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cardloom.operators.scoring import apply_reviews, judge_sales, mark_outliers, score_sales
 from cardloom.operators.valuation import asking_context, lot_economics, robust_prices, value_cards, value_sales
+from cardloom.plans.market import valued
 
 SALE = "card_id bigint, provider string, raw_id string, basis string, sale_type string, completed boolean, sold_at timestamp, price double, shipping double, premium double, verified boolean, confidence double, all_in double, seen struct<n:int>"
 
@@ -89,6 +90,15 @@ def test_sales_are_shuffled_once_and_not_written(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
 
 
+def test_lines_are_shuffled_before_sales_are_made_of_them(spark):
+    plan = valued(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning")
+    assert "concat_ws" in above and "concat_ws" not in below and "HashAggregate" not in plan
+    # a sale without blanks in its texts is complete whatever its numbers look like
+    first = score_sales(table(spark, [sale(1), sale(2, provider=" ")]), now()).orderBy("seen").collect()
+    assert [r["completeness_score"] for r in first] == [54, 47]
+
+
 def test_large_cards_are_dealt_to_many_tasks_with_the_same_values(spark):
     sales = table(spark, some_sales())
     whole, mixed, dealt = ({r["card_id"]: r for r in value_sales(sales, now(), most).collect()} for most in (1000, 40, 0))
