@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.session import written
+from cardloom.session import spread, written
 
 
 def with_least(edges: DataFrame) -> DataFrame:
     """edges with m, the least of a and its neighbours b. Minima are summed in each task first, and a hot node's join is split."""
     least = written(edges.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("_m", "a").alias("m")))
-    return edges.join(least, "a")
+    return edges.join(spread(least), "a")
 
 
 def linked_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,4 +33,4 @@ def linked_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = written(with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         small = with_least(large)
         now = written(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct())
-    return nodes.select("id").join(now.select(F.col("a").alias("id"), F.col("b").alias("group")), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+    return nodes.select("id").join(spread(now.select(F.col("a").alias("id"), F.col("b").alias("group"))), "id", "left").select("id", F.coalesce("group", "id").alias("group"))

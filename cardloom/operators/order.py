@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.session import written
+from cardloom.session import spread, written
 
 
 def in_order(rows: DataFrame, order: list[Column], at: str = "_at") -> DataFrame:
@@ -33,7 +33,7 @@ def numbered(placed: DataFrame, by: list[str], number: str, at: str = "_at") ->
     same = F.col("_task") == F.col("_in")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return left.join(right, same).withColumn(number, F.col(at) + F.col("_shift")).drop("_task", "_in", "_shift", *[f"_by_{c}" for c in by])
+    return left.join(spread(right) if by else right, same).withColumn(number, F.col(at) + F.col("_shift")).drop("_task", "_in", "_shift", *[f"_by_{c}" for c in by])
 
 
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int, number: str = "position") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cardloom.operators.components import linked_groups
 from cardloom.operators.hashes import banded, distance
 from cardloom.operators.order import in_order, numbered
-from cardloom.session import written
+from cardloom.session import spread, written
 
 #: Evidence from the strongest on, with its confidence.
 METHODS = [("exact_content_duplicate", 0.999), ("cert_match", 0.995), ("serial_match", 0.98), ("visual_duplicate_with_capture_time", 0.90), ("front_back_identity", 0.88), ("unique", 1.0)]
@@ -38,7 +38,7 @@ def first_with(views: DataFrame, keys: list[str], turn: int) -> DataFrame:
     """_at, turn, parent: each view's first one with the same keys, where that is another. Hot keys: minima are taken in each task first."""
     known = views.dropna(subset=keys).select("_at", *keys)
     firsts = known.groupBy(*keys).agg(F.min("_at").alias("parent"))
-    return known.join(firsts, keys).filter("parent < _at").select("_at", F.lit(turn).alias("turn"), "parent")
+    return known.join(spread(firsts), keys).filter("parent < _at").select("_at", F.lit(turn).alias("turn"), "parent")
 
 
 def first_near(views: DataFrame, turn: int) -> DataFrame:
@@ -53,8 +53,8 @@ def first_near(views: DataFrame, turn: int) -> DataFrame:
     listed = banded(reps, 64, VIEW_BITS + 1, 0, False).withColumn("_slot", slot)
     asked = listed.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1))).select(F.col("hash").alias("_x"), F.col("_when").alias("_then"), "_slot", "at", "key")
     near = (distance(F.col("_x"), F.col("hash"), 1) <= VIEW_BITS) & (F.abs(F.col("_when") - F.col("_then")) <= VIEW_SECONDS * 1_000_000)
-    parents = asked.join(listed, ["_slot", "at", "key"]).filter(near).groupBy(F.col("_x").alias("hash"), F.col("_then").alias("_when")).agg(F.min("first").alias("parent"))
-    return shots.join(parents, ["hash", "_when"]).filter("parent < _at").select("_at", F.lit(turn).alias("turn"), "parent")
+    parents = asked.join(spread(listed), ["_slot", "at", "key"]).filter(near).groupBy(F.col("_x").alias("hash"), F.col("_then").alias("_when")).agg(F.min("first").alias("parent"))
+    return shots.join(spread(parents), ["hash", "_when"]).filter("parent < _at").select("_at", F.lit(turn).alias("turn"), "parent")
 
 
 def fold_sides(events: DataFrame) -> DataFrame:
@@ -104,19 +104,19 @@ def paired_sides(views: DataFrame) -> DataFrame:
     plain = F.col("_seeks") & (F.col("side") == F.col("_last")) & (F.col("_n") == F.col("_known")) & (F.col("identity") == F.col("_most"))
     trees = written(trees.filter("_known > 0").select("root", "side", "identity", F.coalesce(plain, F.lit(False)).alias("plain")))
     mixed = trees.filter("NOT plain").select("root")
-    touched = written(shown.filter("identity IS NOT NULL").join(mixed, "root", "left_semi").select("root", "identity").distinct())
+    touched = written(shown.filter("identity IS NOT NULL").join(spread(mixed), "root", "left_semi").select("root", "identity").distinct())
     least = touched.groupBy("identity").agg(F.min("root").alias("least"))
-    components = linked_groups(mixed.withColumnRenamed("root", "id"), touched.join(least, "identity").select(F.col("root").alias("a"), F.col("least").alias("b")))
-    of_identity = written(least.join(components.withColumnRenamed("id", "least"), "least").select("identity", F.col("group").alias("component")))
+    components = linked_groups(mixed.withColumnRenamed("root", "id"), touched.join(spread(least), "identity").select(F.col("root").alias("a"), F.col("least").alias("b")))
+    of_identity = written(least.join(spread(components.withColumnRenamed("id", "least")), "least").select("identity", F.col("group").alias("component")))
 
-    simple = trees.filter("plain").join(of_identity, "identity", "left_anti")
+    simple = trees.filter("plain").join(spread(of_identity), "identity", "left_anti")
     placed = numbered(in_order(simple.select("identity", "side", "root"), [F.col("identity"), F.col("side"), F.col("root")]), ["identity", "side"], "n")
     fronts, backs = (placed.filter(F.col("side") == s).select("identity", "n", F.col("root").alias(s)) for s in SIDES)
-    pairs = fronts.join(backs, ["identity", "n"]).select(F.greatest(*SIDES).alias("root"), F.least(*SIDES).alias("group"))
+    pairs = fronts.join(spread(backs), ["identity", "n"]).select(F.greatest(*SIDES).alias("root"), F.least(*SIDES).alias("group"))
 
     by_tree = components.select(F.col("id").alias("root"), F.col("group").alias("component"))
-    by_tree = by_tree.union(trees.filter("plain").join(of_identity, "identity").select("root", "component"))
-    events = shown.groupBy("root", "identity", "side").agg(F.min("_at").alias("at"), F.max("seeks").alias("seeks")).join(by_tree, "root")
+    by_tree = by_tree.union(trees.filter("plain").join(spread(of_identity), "identity").select("root", "component"))
+    events = shown.groupBy("root", "identity", "side").agg(F.min("_at").alias("at"), F.max("seeks").alias("seeks")).join(spread(by_tree), "root")
     return pairs.union(fold_sides(events))
 
 
@@ -137,14 +137,14 @@ def physical_items(views: DataFrame) -> DataFrame:
     parents = first_with(placed, ["content_hash"], 0).unionByName(first_with(placed, ["cert"], 1)).unionByName(first_with(placed, ["serial", "identity"], 2)).unionByName(first_near(placed, 3))
     parents = written(parents.groupBy("_at").agg(F.min(F.struct("turn", "parent")).alias("best")).select("_at", "best.turn", "best.parent"))
     trees = linked_groups(placed.select(F.col("_at").alias("id")), parents.select(F.col("_at").alias("a"), F.col("parent").alias("b")))
-    found = placed.join(trees.select(F.col("id").alias("_at"), F.col("group").alias("root")), "_at").join(parents.select("_at", "turn"), "_at", "left")
+    found = placed.join(spread(trees.select(F.col("id").alias("_at"), F.col("group").alias("root"))), "_at").join(spread(parents.select("_at", "turn")), "_at", "left")
     seeks = (F.col("_at") == F.col("root")) & F.col("identity").isNotNull() & (F.col("identity_confidence") >= SURE) & F.col("side").isin(*SIDES)
     found = written(found.select("id", "_at", "root", "turn", "identity", "side", F.coalesce(seeks, F.lit(False)).alias("seeks")))
     joined = written(paired_sides(found))
     group = F.coalesce("group", "root")
     turn = F.coalesce("turn", F.when(F.col("group").isNotNull(), 4).otherwise(5))
-    named = found.join(joined, "root", "left").select("id", group.alias("_first"), turn.alias("_turn"))
+    named = found.join(spread(joined), "root", "left").select("id", group.alias("_first"), turn.alias("_turn"))
     firsts = found.select(F.col("_at").alias("_first"), F.col("id").alias("group"))
     method = F.element_at(F.array(*[F.lit(m) for m, _ in METHODS]), F.col("_turn") + 1)
     sure = F.element_at(F.array(*[F.lit(c) for _, c in METHODS]), F.col("_turn") + 1)
-    return named.join(firsts, "_first").select("id", "group", method.alias("method"), sure.alias("confidence"))
+    return named.join(spread(firsts), "_first").select("id", "group", method.alias("method"), sure.alias("confidence"))

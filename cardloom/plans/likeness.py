@@ -13,7 +13,7 @@ from cardloom.operators import evaluation as E
 from cardloom.operators import hashes as H
 from cardloom.operators import physical as P
 from cardloom.operators import vectors as V
-from cardloom.session import table
+from cardloom.session import spread, table
 
 #: Bits of 256 in which near duplicates differ at most, and of 64 in which a match worth verifying does.
 NEAR, PREFILTER = 6, 16
@@ -110,7 +110,7 @@ def physical_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lot_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view of each physical item with the surest identity, the least id of several, and its views by side."""
     views = item_views(spark, sf_dir).select("id", F.coalesce("identity_confidence", F.lit(0.0)).alias("confidence"), "side")
-    placed = physical_items(spark, sf_dir).select("id", "group").join(views, "id")
+    placed = physical_items(spark, sf_dir).select("id", "group").join(spread(views), "id")
     best = F.max_by("id", F.struct("confidence", (-F.col("id")).alias("least")))
     return placed.groupBy("group").agg(best.alias("id"), F.round(F.max("confidence"), 4).alias("confidence"), F.count(F.lit(1)).alias("views"), F.count_if(F.col("side") == "front").alias("fronts"), F.count_if(F.col("side") == "back").alias("backs"))
 

@@ -2,7 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from cardloom.operators import components, order
+from cardloom.operators import physical as P
 from cardloom.operators.physical import identity_of, physical_items, unique_serial
+from cardloom.plans import likeness
 from cardloom.plans.likeness import item_views
 
 NAMES = ["id", "content_hash", "fingerprint", "captured", "identity", "identity_confidence", "side", "cert", "serial"]
@@ -90,3 +93,13 @@ def test_hard_rows(spark):
     assert [r[0] for r in row.select(unique_serial(F.col("s"))).collect()] == ["12/99", None, None]
     keys = row.select(identity_of([F.col("x"), F.lit(" B  c"), F.lit(2001)], F.lit("7"), F.lit(None))).collect()
     assert [k[0] for k in keys] == ["a|b c|2001", "a|b c|2001", None]
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    plans = []
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (P, components, order):
+        write = module.written
+        monkeypatch.setattr(module, "written", lambda df, write=write: plans.append(planned(df)) or write(df))
+    plans.append(planned(likeness.lot_representatives(spark, "/root/testdata/sf0.001")))
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
