@@ -14,6 +14,10 @@ from cardloom.operators.vectors import best_of_blocks, named_as_queries, packed
 from cardloom.session import written
 
 
+#: Rows that a task makes at a time when rows go to several cells each.
+MOST = 16_384
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """Cells (rows of unit length), how many of them a search probes, and the written posting lists: cell, ids, vectors."""
@@ -52,14 +56,16 @@ def probes_for(sample: np.ndarray, cells: np.ndarray, k: int, recall: float, ask
 
 
 def to_cells(rows: DataFrame, cells: np.ndarray, probes: int) -> DataFrame:
-    """id, v and cell for each of the nearest probes cells of a row."""
+    """id, v and cell for each of the nearest probes cells of a row; a batch is taken in steps of at most MOST rows to write, as its rows times probes grow with the index."""
+    step = max(1, min(MOST // 16, MOST // max(1, probes)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and len(cells):
-                near = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1) @ cells.T
+            for at in range(0, batch.num_rows if len(cells) else 0, step):
+                few = batch.slice(at, step)
+                near = few.column("v").flatten().to_numpy().reshape(few.num_rows, -1) @ cells.T
                 best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                rows_ = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
+                rows_ = few.take(pa.array(np.repeat(np.arange(few.num_rows), best.shape[1])))
                 yield pa.RecordBatch.from_arrays([rows_.column("id"), rows_.column("v"), pa.array(best.ravel())], ["id", "v", "cell"])
 
     ready = rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))

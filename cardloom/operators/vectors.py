@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions.expr import let
 from cardloom.session import written
 
+#: Query vectors whose products with a block are held at a time, whatever the size of their own block.
+LINES = 64
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -21,10 +24,11 @@ def dot(left: Column, right: Column) -> Column:
 def unit(vector: Column, length: int | None = None) -> Column:
     """The vector as doubles of length one; null for one of another length, with odd values or of norm zero."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(doubles, doubles))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)) & (norm > 0) & (norm < float("inf"))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
     fine = fine & (F.size(vector) == length) if length is not None else fine
-    return F.when(fine, F.transform(doubles, lambda x: x / norm))
+    # named once: inside the outer lambda the norm would be summed anew for each number
+    scaled = lambda norm: F.when((norm > 0) & (norm < float("inf")), F.transform(doubles, lambda x: x / norm))
+    return F.when(fine, let(F.sqrt(dot(doubles, doubles)), scaled))
 
 
 def packed(rows: DataFrame, size: int, by: list[str] | None = None) -> DataFrame:
@@ -63,10 +67,13 @@ def best_of_blocks(pairs: DataFrame, k: int, digits: int) -> DataFrame:
             for at in range(batch.num_rows):
                 q_ids, ids = read(batch.column("q_ids"), at, np.int64), read(batch.column("ids"), at, np.int64)
                 lines = read(batch.column("q_vectors"), at, np.float64).reshape(len(q_ids), -1)
-                found = (lines @ read(batch.column("vectors"), at, np.float64).reshape(len(ids), -1).T).round(digits)
-                order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :k]
-                columns = [np.repeat(q_ids, order.shape[1]), ids[order].ravel(), np.take_along_axis(found, order, 1).ravel()]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_id", "id", "cosine"])
+                held, columns = read(batch.column("vectors"), at, np.float64).reshape(len(ids), -1).T, []
+                for few in range(0, len(q_ids), LINES):
+                    found = (lines[few : few + LINES] @ held).round(digits)
+                    order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :k]
+                    columns.append((np.repeat(q_ids[few : few + LINES], order.shape[1]), ids[order].ravel(), np.take_along_axis(found, order, 1).ravel()))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["query_id", "id", "cosine"])
 
     scored = pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(score, "query_id bigint, id bigint, cosine double")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).filter(F.col("rank") <= k)
