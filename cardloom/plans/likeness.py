@@ -20,6 +20,8 @@ NEAR, PREFILTER = 6, 16
 #: Words below which a text has no hash, as too few cells of its grid are filled.
 LEAST_WORDS = 32
 ACCEPTED = 0.5
+#: Words whose cells a task keeps.
+MOST_WORDS = 50_000
 
 
 def grid_hash(text: Column, words: int) -> Column:
@@ -28,11 +30,17 @@ def grid_hash(text: Column, words: int) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def hashed(texts: pd.Series) -> pd.Series:
+        cell_of: dict[bytes, int] = {}  # texts share most of their words
+
         def one(text: str | None) -> list[int] | None:
             parts = (text or "").encode().split()
             if len(parts) < LEAST_WORDS:
                 return None
-            counts = np.bincount([int.from_bytes(hashlib.md5(w).digest()[:8], "little") % cells for w in parts], minlength=cells)
+            for w in set(parts).difference(cell_of):
+                cell_of[w] = int.from_bytes(hashlib.md5(w).digest()[:8], "little") % cells
+            counts = np.bincount([cell_of[w] for w in parts], minlength=cells)
+            if len(cell_of) > MOST_WORDS:
+                cell_of.clear()
             return H.pack_bits(counts[:-1] > counts[1:])
 
         return texts.map(one)

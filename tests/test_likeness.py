@@ -110,3 +110,10 @@ def test_probe_patterns_are_rows_and_no_part_of_the_plan(spark):
     found = {(r["id"], r["at"], r["key"]) for r in probes.collect()}
     words = {1: 0x0123_4567_89AB_CDEF, 2: (1 << 64) - 1}
     assert found == {(i, at, (w >> 16 * at & 0xFFFF) ^ x) for i, w in words.items() for at in range(4) for x in flips(16, 4)}
+
+
+def test_links_are_made_from_hashes_that_are_taken_once(spark):
+    from cardloom.plans.likeness import hamming_neighbours
+
+    plan = hamming_neighbours(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
