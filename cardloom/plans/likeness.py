@@ -13,7 +13,7 @@ from cardloom.operators import evaluation as E
 from cardloom.operators import hashes as H
 from cardloom.operators import physical as P
 from cardloom.operators import vectors as V
-from cardloom.session import spread, table
+from cardloom.session import spread, table, written
 
 #: Bits of 256 in which near duplicates differ at most, and of 64 in which a match worth verifying does.
 NEAR, PREFILTER = 6, 16
@@ -74,19 +74,64 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.leaking_groups(split_assignment(spark, sf_dir), "family", "row_split")
 
 
+def word_numbers(words: list[bytes], number_of: dict[bytes, int]) -> np.ndarray:
+    """A number of 64 bits for each word, the one whose remainder is its cell; number_of keeps those of earlier words."""
+    for w in set(words).difference(number_of):
+        number_of[w] = int.from_bytes(hashlib.md5(w).digest()[:8], "little")
+    found = np.array([number_of[w] for w in words], np.uint64)
+    if len(number_of) > MOST_WORDS:
+        number_of.clear()
+    return found
+
+
+def match_facts(text: Column, plain: Column) -> Column:
+    """Of a text and its lower-cased form: the hashes of both as grid_hash takes them at 64 bits, and how many distinct words the second has and the parities of these."""
+
+    @F.pandas_udf("hash array<bigint>, plain_hash array<bigint>, size int, parities array<bigint>")
+    def facts(texts: pd.Series, plains: pd.Series) -> pd.DataFrame:
+        number_of: dict[bytes, int] = {}
+
+        def hashed(numbers: np.ndarray) -> list[int] | None:
+            if len(numbers) < LEAST_WORDS:
+                return None
+            counts = np.bincount((numbers % np.uint64(65)).astype(np.int64), minlength=65)
+            return H.pack_bits(counts[:-1] > counts[1:])
+
+        def one(text: str | None, lower: str | None) -> tuple:
+            words, plain_words = (text or "").encode().split(), (lower or "").encode().split()
+            numbers = word_numbers(plain_words, number_of)
+            held = np.unique(numbers)
+            own = numbers if words == plain_words else word_numbers(words, number_of)
+            return hashed(own), hashed(numbers), len(held), H.pack_bits(H.parity_bits(held))
+
+        return pd.DataFrame([one(*both) for both in zip(texts, plains, strict=True)], columns=["hash", "plain_hash", "size", "parities"])
+
+    return facts(text, plain)
+
+
+def word_set(plain: Column) -> Column:
+    """The numbers of the distinct words of a lower-cased text."""
+
+    @F.pandas_udf("array<bigint>")
+    def numbered(plains: pd.Series) -> pd.Series:
+        number_of: dict[bytes, int] = {}
+        return plains.map(lambda lower: np.unique(word_numbers((lower or "").encode().split(), number_of)).view(np.int64))
+
+    return numbered(plain)
+
+
 def reference_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best match of every document whose id is divisible by 20 among all others.
 
     Equal texts match outright; else documents within 16 of 64 bits of the hash of the text or of its lower-cased form are compared by their words.
     """
     plain = F.lower(F.coalesce("text", F.lit("")))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.substring(F.md5(w), 1, 12)))
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.md5(F.nullif("text", F.lit(""))).alias("content"), grid_hash(F.col("text"), 1).alias("hash"), grid_hash(plain, 1).alias("plain_hash"), words.alias("evidence")
-    )
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = written(texts.select("id", F.md5(F.nullif("text", F.lit(""))).alias("content"), match_facts("text", plain).alias("facts")).select("id", "content", "facts.*"))
     shared = F.size(F.array_intersect("left", "right"))
     score = shared / (F.size("left") + F.size("right") - shared)
-    found = H.verified_matches(docs.filter("id % 20 = 0"), docs.filter("id % 20 <> 0"), PREFILTER, 1, score, score >= ACCEPTED)
+    words_of = lambda ids: texts.join(ids, "id", "left_semi").select("id", word_set(plain).alias("evidence"))
+    found = H.verified_matches(docs.filter("id % 20 = 0"), docs.filter("id % 20 <> 0"), PREFILTER, 1, score, score >= ACCEPTED, ACCEPTED, words_of)
     return found.select("query_id", "id", "method", F.round("score", 6).alias("score"))
 
 

@@ -117,3 +117,32 @@ def test_links_are_made_from_hashes_that_are_taken_once(spark):
 
     plan = hamming_neighbours(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_matches_move_only_pairs_that_may_win(spark, monkeypatch):
+    draw = random.Random(11)
+    number = lambda: draw.getrandbits(63)
+    bases = [[number() for _ in range(n)] for n in (3, 40, 250, 300, 900, 2500)]
+    sets = [[x if draw.random() < part else number() for x in draw.choice(bases)] for part in (1.0, 0.97, 0.9, 0.8, 0.6, 0.2) for _ in range(40)]
+    rows = [(i, None, [0], [draw.choice([0, 7])], len(set(s)), H.pack_bits(H.parity_bits(np.unique(np.array(s, np.uint64)))), s) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "id bigint, content string, hash array<bigint>, plain_hash array<bigint>, size int, parities array<bigint>, evidence array<bigint>")
+    shared = F.size(F.array_intersect("left", "right"))
+    score = shared / (F.size("left") + F.size("right") - shared)
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    wanted = {}
+    for i, s in enumerate(sets):
+        best = max(((jaccard(s, t), -k) for k, t in enumerate(sets) if i % 4 == 0 and k % 4), default=(0, 0))
+        if best[0] >= 0.5:
+            wanted[i] = (-best[1], best[0])
+    moved = []
+    monkeypatch.setattr(H, "written", lambda df, write=H.written: (moved.append(df.count()) if df.columns == ["a", "b", "score"] else None, write(df))[1])
+    monkeypatch.setattr(H, "FEW", 2)
+    found = H.verified_matches(frame.filter("id % 4 = 0"), frame.filter("id % 4 <> 0"), 2, 1, score, score >= 0.5, 0.5)
+    assert {r["query_id"]: (r["id"], r["score"]) for r in found.collect()} == wanted
+    assert sum(moved) < 60 * 180 / 20, "all 10,800 pairs are within the distance"
+    # the bound holds for sets of any two sizes
+    near = H.near_pairs(frame.select("id", "hash", F.col("hash").alias("plain"), "size", "parities", F.lit(0.0).alias("floor"), F.lit(0).cast("long").alias("floor_id")), frame, 2, 0.5, None).collect()
+    bounds = {(r["a"], r["b"]): r["bound"] for r in near}
+    for i, s in enumerate(sets):
+        for k, t in enumerate(sets):
+            assert jaccard(s, t) < 0.5 or bounds[i, k] >= jaccard(s, t)
