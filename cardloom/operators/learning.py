@@ -43,6 +43,49 @@ def containment_join(queries: DataFrame, labels: DataFrame, least: float = LEAST
     return pairs.withColumn("share", contained_share(F.col("_left"), F.col("_right"))).filter(F.col("share") >= least).select("query_id", "id", "share")
 
 
+def best_added(regions: DataFrame, learned: DataFrame, said: DataFrame, most: int) -> DataFrame:
+    """item, card_id: the most best of the corrected cards whose label holds a quarter of a region's words, by boost, ties the least id.
+
+    regions: item, words; learned: id, words; said: card_id, reason. Nearly every pair may hold a quarter, as labels have words in common, so pairs are
+    not listed: regions of equal words are one, and so are cards of equal label and reason words (a kind), by their least ids. Boosts come from the words
+    that reasons and regions share. The kinds of a region's best reasons give a floor, and only kinds that can pass it are looked
+    at further; kinds whose reasons share no word only for regions that the others leave short.
+    """
+    asked = written(regions.filter(F.size("words") > 0).select("item", F.array_sort("words").alias("words")))
+    texts = written(asked.groupBy("words").agg(F.min("item").alias("q")))
+    reasons = said.groupBy(F.col("card_id").alias("id")).agg(F.array_sort(F.collect_set(F.array_sort(long_words("reason")))).alias("reasons"))
+    cards = written(learned.select("id", F.array_sort("words").alias("words")).join(reasons, "id"))
+    place = F.row_number().over(Window.partitionBy("words", "reasons").orderBy("id"))
+    kinds = written(cards.withColumn("_place", place).filter(F.col("_place") <= most).groupBy("words", "reasons").agg(F.min("id").alias("kind"), F.array_sort(F.collect_list("id")).alias("ids")))
+    told = written(kinds.groupBy("reasons").agg(F.min("kind").alias("told"), F.sum(F.size("ids")).alias("n")))
+    kinds = written(kinds.join(told, "reasons").select("told", "kind", "ids", F.col("words").alias("_label")))
+
+    single = told.select("told", F.posexplode("reasons").alias("at", "_reason")).select("told", "at", F.size("_reason").alias("_size"), F.explode("_reason").alias("word"))
+    single = single.groupBy("told", "at", "_size", "word").agg(F.count(F.lit(1)).alias("_times"))
+    shared = texts.select("q", F.explode(F.array_distinct("words")).alias("word")).join(single, "word").groupBy("q", "told", "at", "_size").agg(F.sum("_times").alias("_held"))
+    boosted = written(shared.groupBy("q", "told").agg(F.round(F.max(0.03 + F.col("_held") / F.col("_size") * 0.05), 6).alias("boost")))
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """q, id, boost: the most best cards of the kinds in pairs (q, ids, boost, _label) that hold enough."""
+        fine = pairs.join(texts, "q").filter(contained_share(F.col("words"), F.col("_label")) >= LEAST_OVERLAP).select("q", "boost", F.explode("ids").alias("id"))
+        return best(fine)
+
+    def best(rows: DataFrame) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("boost"), "id"))
+        return rows.withColumn("_at", at).filter(F.col("_at") <= most)
+
+    before = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("boost"), "told").rowsBetween(Window.unboundedPreceding, -1))
+    first = boosted.join(told.select("told", "n"), "told").withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < most).select("q", "told", "boost")
+    floor = written(held(first.join(kinds, "told")).filter(F.col("_at") == most).select("q", F.col("boost").alias("_floor"), F.col("id").alias("_last")))
+    may = boosted.join(floor, "q", "left").filter("_floor IS NULL OR boost >= _floor").join(kinds, "told").filter("_floor IS NULL OR boost > _floor OR kind <= _last")
+    found = written(held(may))
+    short = texts.join(found.filter(F.col("_at") == most).select("q"), "q", "left_anti")
+    rest = containment_join(short.select(F.col("q").alias("query_id"), "words"), kinds.select(F.col("kind").alias("id"), F.col("_label").alias("words")))
+    rest = rest.select(F.col("query_id").alias("q"), F.col("id").alias("kind")).join(kinds, "kind").join(boosted.select("q", "told"), ["q", "told"], "left_anti")
+    every = best(found.select("q", "id", "boost").unionByName(rest.select("q", F.explode("ids").alias("id"), F.lit(0.02).alias("boost"))))
+    return asked.join(texts, "words").join(every.select("q", F.col("id").alias("card_id")), "q").select("item", "card_id")
+
+
 def learned_candidates(regions: DataFrame, matches: DataFrame, corrections: DataFrame, cards: DataFrame) -> DataFrame:
     """item, rank, card_id, confidence, boost, added: the seven best cards of each region after earlier corrections.
 
@@ -54,13 +97,15 @@ def learned_candidates(regions: DataFrame, matches: DataFrame, corrections: Data
     region = written(regions.select("item", long_words("text").alias("words")))
     label = written(cards.select(F.col("card_id"), F.array_distinct(long_words("label")).alias("words")))
     learned = label.join(corrections.select("card_id").distinct(), "card_id", "left_semi").withColumnRenamed("card_id", "id")
-    found = containment_join(region.withColumnRenamed("item", "query_id"), learned)
-    new = found.select(F.col("query_id").alias("item"), F.col("id").alias("card_id")).join(matches.select("item", "card_id"), ["item", "card_id"], "left_anti")
+    # corrections that say the same of a card count once
+    said = corrections.select("card_id", F.coalesce("reason", F.lit("")).alias("reason")).distinct()
+    matches = written(matches)
+    # of the best cards some may be matches already, as many as a region has
+    taken = matches.groupBy("item").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
+    new = best_added(region, learned, said, KEPT + taken).join(matches.select("item", "card_id"), ["item", "card_id"], "left_anti")
     every = matches.select("item", "card_id", "rank", "confidence", "match_score", F.lit(False).alias("added")).unionByName(
         new.select("item", "card_id", F.lit(None).cast("int").alias("rank"), F.lit(ADDED).alias("confidence"), F.lit(0.0).alias("match_score"), F.lit(True).alias("added"))
     )
-    # corrections that say the same of a card count once
-    said = corrections.select("card_id", F.coalesce("reason", F.lit("")).alias("reason")).distinct()
     met = every.select("item", "card_id").join(said, "card_id").join(region, "item", "left").join(label.withColumnRenamed("words", "_label"), "card_id", "left")
     seen = F.when(F.size("words") > 0, F.col("words")).otherwise(F.coalesce("_label", F.array().cast("array<string>")))
     share = contained_share(long_words("reason"), seen)

@@ -67,3 +67,37 @@ def test_partial_unique_inserts(spark):
     found = {r["id"]: r["action"] for r in V.insert_ignore(old, new, ["a", "b"], F.col("ok"), ["id"]).collect()}
     assert found == {1: "kept", 2: "kept", 4: "inserted", 6: "inserted", 7: "inserted"}
     assert V.insert_ignore(old.limit(0), new.limit(0), ["a"], F.col("ok"), ["id"]).count() == 0
+
+
+def test_only_cards_that_may_be_kept_are_listed(spark, monkeypatch):
+    draw = random.Random(8)
+    words = [f"w{i:02d}" for i in range(14)]
+    some = lambda least, most: [draw.choice(words) for _ in range(draw.randrange(least, most))]
+    labels = {i: ["brand", *some(1, 4)] for i in range(150)}
+    corrections = [(i, draw.choice([" ".join(["brand", *some(0, 3)]), " ".join(some(1, 4)), "zzz", None])) for i in range(150) for _ in range(draw.randrange(3))]
+    texts = {f"r{i}": ["brand"] * draw.randrange(2) + some(0, 6) for i in range(30)} | {"s": [], "t": ["other", "words"], "u": ["zzz", "w01"]}
+    matches = [(r, k + 1, c, 0.3 + 0.1 * draw.randrange(5), 1.0 * draw.randrange(3)) for r in texts for k, c in enumerate(draw.sample(range(150), draw.randrange(4)))]
+
+    share = lambda left, right: sum(w in right for w in left) / len(left) if left and right else 0
+    wanted = set()
+    for item, ws in texts.items():
+        own = [m for m in matches if m[0] == item]
+        every = [(c, rank, confidence, score, False) for _, rank, c, confidence, score in own]
+        every += [(c, None, 0.52, 0.0, True) for c in {c for c, _ in corrections} - {m[2] for m in own} if share(ws, labels[c]) >= 0.25]
+        rows = []
+        for card, rank, confidence, score, added in every:
+            shares = [share((r or "").split(), ws or labels[card]) for c, r in corrections if c == card]
+            boost = round(max([0.03 + x * 0.05 if x > 0 else 0.02 for x in shares], default=0.0), 6)
+            rows.append((-min(0.995, round(confidence + boost, 6)), -score, rank or 99, card, boost, added))
+        wanted |= {(item, at + 1, r[3], r[4], r[5]) for at, r in enumerate(sorted(rows)[:7])}
+
+    listed, join = [], L.containment_join
+    monkeypatch.setattr(L, "containment_join", lambda queries, *rest: listed.append(queries.count()) or join(queries, *rest))
+    found = L.learned_candidates(
+        spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "item string, text string"),
+        spark.createDataFrame(matches, "item string, rank int, card_id int, confidence double, match_score double"),
+        spark.createDataFrame(corrections, "card_id int, reason string"),
+        spark.createDataFrame([(k, " ".join(v)) for k, v in labels.items()], "card_id int, label string"),
+    )
+    assert {(r["item"], r["rank"], r["card_id"], r["boost"], r["added"]) for r in found.collect()} == wanted
+    assert sum(listed) < len(texts) / 2, "regions with enough cards of a good reason are not joined with all labels"
